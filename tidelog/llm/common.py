@@ -46,8 +46,3 @@ def crc_mod(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null ids count as the text 'null'."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("null")).cast("binary")), F.lit(modulus))
-
-
-def packed(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns beside a struct of all columns, so that no other column's name can clash with ours."""
-    return df.select(*[F.col(n).alias(f"in_{n}") for n in names], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("in_row"))

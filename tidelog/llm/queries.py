@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import exact_dedup, packing, simhash
-from tidelog.llm.common import table
+from tidelog.llm import exact_dedup, language_id, packing, simhash
+from tidelog.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,9 +30,15 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 4) == 2
+    model = language_id.fit(docs, ~held_out)
+    return language_id.predict(docs, model).withColumn("held_out", crc_mod("doc_id", 4) == 2).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {"op2_simhash": op2_simhash, "op5_exact_dedup": op5_exact_dedup, "op10_packing": op10_packing}
+QUERIES: dict[str, Query] = {"op2_simhash": op2_simhash, "op5_exact_dedup": op5_exact_dedup, "op8_language_id": op8_language_id, "op10_packing": op10_packing}
 SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
