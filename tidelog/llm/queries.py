@@ -8,12 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import exact_dedup, language_id, packing, simhash
+from tidelog.llm import exact_dedup, language_id, packing, quality, simhash
 from tidelog.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -40,5 +47,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {"op2_simhash": op2_simhash, "op5_exact_dedup": op5_exact_dedup, "op8_language_id": op8_language_id, "op10_packing": op10_packing}
+QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op5_exact_dedup": op5_exact_dedup, "op8_language_id": op8_language_id, "op10_packing": op10_packing}
 SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
