@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import exact_dedup, language_id, packing, pii, quality, simhash, token_store
+from tidelog.llm import exact_dedup, language_id, packing, permutation_index, pii, quality, simhash, token_store
 from tidelog.llm.common import crc_mod, fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"), pii.EXAMPLE_KEY)
 
 
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return permutation_index.search(vectors, vectors.where(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "query_id"), 20)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_report(table(spark, sf_dir, "documents"), keep="max")
 
@@ -57,5 +62,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_pii": op3_pii, "op5_exact_dedup": op5_exact_dedup, "op6_token_store": op6_token_store, "op8_language_id": op8_language_id, "op10_packing": op10_packing}
+QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_pii": op3_pii, "op4_permutation_index": op4_permutation_index, "op5_exact_dedup": op5_exact_dedup, "op6_token_store": op6_token_store, "op8_language_id": op8_language_id, "op10_packing": op10_packing}
 SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
