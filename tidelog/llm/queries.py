@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import exact_dedup, language_id, packing, permutation_index, pii, quality, simhash, token_store
+from tidelog.llm import exact_dedup, language_id, licenses, packing, permutation_index, pii, quality, simhash, token_store
 from tidelog.llm.common import crc_mod, fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path, manifest)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 4) == 2
     model = language_id.fit(docs, ~held_out)
@@ -62,5 +66,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_pii": op3_pii, "op4_permutation_index": op4_permutation_index, "op5_exact_dedup": op5_exact_dedup, "op6_token_store": op6_token_store, "op8_language_id": op8_language_id, "op10_packing": op10_packing}
+QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_pii": op3_pii, "op4_permutation_index": op4_permutation_index, "op5_exact_dedup": op5_exact_dedup, "op6_token_store": op6_token_store, "op7_licenses": op7_licenses, "op8_language_id": op8_language_id, "op10_packing": op10_packing}
 SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
