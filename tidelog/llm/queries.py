@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import exact_dedup, language_id, licenses, packing, permutation_index, pii, quality, simhash, token_store
+from tidelog.llm import exact_dedup, language_id, licenses, packing, permutation_index, pii, quality, sentencepiece_lattice, simhash, token_store
 from tidelog.llm.common import crc_mod, fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,9 +62,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).withColumn("held_out", crc_mod("doc_id", 4) == 2).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_pii": op3_pii, "op4_permutation_index": op4_permutation_index, "op5_exact_dedup": op5_exact_dedup, "op6_token_store": op6_token_store, "op7_licenses": op7_licenses, "op8_language_id": op8_language_id, "op10_packing": op10_packing}
+QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_pii": op3_pii, "op4_permutation_index": op4_permutation_index, "op5_exact_dedup": op5_exact_dedup, "op6_token_store": op6_token_store, "op7_licenses": op7_licenses, "op8_language_id": op8_language_id, "op9_sentencepiece": op9_sentencepiece, "op10_packing": op10_packing}
 SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
