@@ -1,0 +1,166 @@
+"""Detection, episode and label queries on the driver's journal: error is a fault, signup a normal, view and purchase unclear, click neutral."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.functions import rules, timeops
+from tidelog.operators import asof, detectors, episodes
+from tidelog.plans.registry import journal, query, table
+
+SEGMENTS = [("2024-01-01 00:00:00", "2024-01-16 00:00:00"), ("2024-01-16 00:00:00", "2024-02-01 00:00:00")]
+
+
+def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third hour's events share an instant, so that conflicts occur."""
+    coarse = F.when(F.hour("ts") % 3 == 0, timeops.floor_hour(F.col("ts"))).otherwise(F.col("ts"))
+    ev = journal(spark, sf_dir).withColumn("ts", coarse)
+    return ev.select("row_id", "channel_id", "ts", "state", rules.effect(F.col("state")).alias("effect"), timeops.segment_of(F.col("ts"), SEGMENTS).alias("segment"))
+
+
+DUCK_STATE = """e AS (SELECT row_id, channel_id, CASE WHEN hour(ts) % 3 = 0 THEN CAST(date_trunc('hour', ts) AS TIMESTAMP) ELSE ts END AS ts, state, CASE state WHEN 'error' THEN 'fault' WHEN 'signup' THEN 'normal' WHEN 'click' THEN 'neutral' ELSE 'uncertain' END AS effect FROM {ev}),
+g AS (SELECT channel_id, CAST(CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS INT) AS segment, ts, count(DISTINCT state) > 1 AS conflict, count(*) FILTER (WHERE effect = 'fault') AS faults, bool_and(effect = 'normal') AS all_normal, bool_or(effect = 'uncertain') AS unclear FROM e GROUP BY 1, 2, 3),
+k AS (SELECT *, CASE WHEN conflict THEN 'conflict' WHEN faults > 0 THEN 'fault' WHEN all_normal THEN 'normal' WHEN unclear THEN 'uncertain' ELSE 'neutral' END AS kind, row_number() OVER (PARTITION BY channel_id, segment ORDER BY ts) AS i FROM g)"""
+#: The state machine itself, a row at a time, as an independent form of the windows.
+DUCK_WALK = f"""{DUCK_STATE},
+w AS (SELECT channel_id, segment, i, ts, kind, CASE WHEN kind = 'normal' THEN ts END AS normal_at, faults > 0 AS active, kind IN ('conflict', 'uncertain') AS uncertain FROM k WHERE i = 1
+UNION ALL SELECT k.channel_id, k.segment, k.i, k.ts, k.kind, CASE WHEN k.kind = 'normal' THEN k.ts WHEN k.kind IN ('conflict', 'fault', 'uncertain') THEN NULL ELSE w.normal_at END, CASE WHEN k.kind = 'normal' THEN false WHEN k.faults > 0 THEN true ELSE w.active END, CASE WHEN k.kind IN ('normal', 'fault') THEN false WHEN k.kind IN ('conflict', 'uncertain') THEN true ELSE w.uncertain END
+FROM w JOIN k ON k.channel_id = w.channel_id AND k.segment = w.segment AND k.i = w.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {DUCK_WALK} SELECT channel_id, segment, ts, kind, normal_at, active, uncertain FROM w")
+def k11_state_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return episodes.state_timeline(effects(spark, sf_dir)).select("channel_id", "segment", "ts", "kind", "normal_at", "active", "uncertain")
+
+
+#: Episodes: open until a clear normal; onset by the catalogue's memory, which a fault inside an episode also clears.
+DUCK_EPISODES = f"""{DUCK_STATE},
+w AS (SELECT channel_id, segment, i, ts, kind, faults, faults > 0 AS is_open, faults > 0 AS starts, CASE WHEN kind = 'normal' THEN ts END AS normal_at, kind IN ('conflict', 'uncertain') AS unclear, CASE WHEN kind = 'conflict' THEN 'conflicted_same_timestamp' ELSE 'left_censored' END AS onset FROM k WHERE i = 1
+UNION ALL SELECT k.channel_id, k.segment, k.i, k.ts, k.kind, k.faults, CASE WHEN k.faults > 0 THEN true WHEN k.kind = 'normal' THEN false ELSE w.is_open END, k.faults > 0 AND NOT w.is_open,
+CASE WHEN k.kind = 'normal' THEN k.ts WHEN k.kind = 'neutral' THEN w.normal_at END, CASE k.kind WHEN 'normal' THEN false WHEN 'conflict' THEN true WHEN 'uncertain' THEN true ELSE w.unclear END,
+CASE WHEN k.kind = 'conflict' THEN 'conflicted_same_timestamp' WHEN w.unclear THEN 'uncertain_prior_state' WHEN w.normal_at IS NULL THEN 'left_censored' WHEN k.ts <= w.normal_at + INTERVAL 168 HOUR THEN 'candidate_new_onset' ELSE 'stale_normal' END
+FROM w JOIN k ON k.channel_id = w.channel_id AND k.segment = w.segment AND k.i = w.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {DUCK_EPISODES}, n AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY channel_id, segment ORDER BY i) AS number FROM w) SELECT channel_id, segment, min(ts) FILTER (WHERE starts) AS start_at, min(ts) FILTER (WHERE kind = 'normal') AS end_at, min(onset) FILTER (WHERE starts) AS onset_status, CAST(sum(CASE WHEN is_open THEN faults ELSE 0 END) AS BIGINT) AS fault_count FROM n WHERE number > 0 GROUP BY channel_id, segment, number")
+def k10_registered_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return episodes.registered_episodes(effects(spark, sf_dir)).select("channel_id", "segment", "start_at", "end_at", "onset_status", "fault_count")
+
+
+@query(f"WITH RECURSIVE {DUCK_EPISODES}, n AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY channel_id, segment ORDER BY i) AS number FROM w), p AS (SELECT channel_id, segment, min(onset) FILTER (WHERE starts) AS onset, min(ts) FILTER (WHERE starts) AS s, min(ts) FILTER (WHERE kind = 'normal') AS z, bool_or(kind IN ('conflict', 'uncertain') AND is_open) AS spoilt FROM n WHERE number > 0 GROUP BY channel_id, segment, number) SELECT channel_id, s AS start_at, z AS end_at FROM p WHERE onset = 'candidate_new_onset' AND z IS NOT NULL AND NOT spoilt")
+def z12_completed_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = episodes.registered_episodes(effects(spark, sf_dir))
+    return got.where("onset_status = 'candidate_new_onset' AND end_status = 'exact_norma' AND NOT uncertain").select("channel_id", "start_at", "end_at")
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hours = F.expr("sequence(TIMESTAMP_NTZ '2024-01-05 00:00:00', TIMESTAMP_NTZ '2024-01-30 00:00:00', INTERVAL 12 HOUR)")
+    p = journal(spark, sf_dir).select("channel_id").distinct().withColumn("t", F.explode(hours))
+    segment = timeops.segment_of(F.col("t"), SEGMENTS)
+    return p.select("channel_id", "t", segment.alias("segment"), F.when(segment == 0, F.lit(SEGMENTS[0][1])).otherwise(F.lit(SEGMENTS[1][1])).cast("timestamp_ntz").alias("segment_end"))
+
+
+@query(f"""WITH RECURSIVE {DUCK_EPISODES}, walk AS (SELECT channel_id, segment, i, ts, kind, CASE WHEN kind = 'normal' THEN ts END AS normal_at, faults > 0 AS active, kind IN ('conflict', 'uncertain') AS uncertain FROM k WHERE i = 1
+UNION ALL SELECT k.channel_id, k.segment, k.i, k.ts, k.kind, CASE WHEN k.kind = 'normal' THEN k.ts WHEN k.kind IN ('conflict', 'fault', 'uncertain') THEN NULL ELSE w.normal_at END, CASE WHEN k.kind = 'normal' THEN false WHEN k.faults > 0 THEN true ELSE w.active END, CASE WHEN k.kind IN ('normal', 'fault') THEN false WHEN k.kind IN ('conflict', 'uncertain') THEN true ELSE w.uncertain END
+FROM walk w JOIN k ON k.channel_id = w.channel_id AND k.segment = w.segment AND k.i = w.i + 1),
+p AS (SELECT channel_id, t, CAST(CASE WHEN t < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS INT) AS segment, CASE WHEN t < TIMESTAMP '2024-01-16' THEN TIMESTAMP '2024-01-16' ELSE TIMESTAMP '2024-02-01' END AS segment_end FROM (SELECT DISTINCT channel_id FROM e), (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-30', INTERVAL 12 HOUR)) AS t)),
+s AS (SELECT p.*, walk.ts AS seen, normal_at, active, uncertain FROM p ASOF LEFT JOIN walk ON p.channel_id = walk.channel_id AND p.segment = walk.segment AND p.t >= walk.ts),
+j AS (SELECT s.channel_id, s.segment, s.t, any_value(segment_end) AS segment_end, any_value(seen) AS seen, any_value(normal_at) AS normal_at, any_value(active) AS active, any_value(uncertain) AS uncertain, min(k.ts) FILTER (WHERE k.kind IN ('fault', 'uncertain', 'conflict')) AS adverse_at FROM s LEFT JOIN k ON k.channel_id = s.channel_id AND k.segment = s.segment AND k.ts > s.t GROUP BY 1, 2, 3),
+o AS (SELECT j.channel_id, j.t, min(w.ts) AS onset_at FROM j JOIN w ON w.channel_id = j.channel_id AND w.segment = j.segment AND w.ts > j.t AND w.starts AND w.onset = 'candidate_new_onset' GROUP BY 1, 2)
+SELECT j.channel_id, j.t, CASE WHEN seen IS NULL THEN 'no_verified_same_type_history' WHEN active THEN 'registered_episode_active_at_t' WHEN uncertain THEN 'uncertain_state_at_t' WHEN normal_at IS NULL OR j.t > normal_at + INTERVAL 168 HOUR THEN 'no_recent_explicit_normal_at_t'
+WHEN onset_at <= j.t + INTERVAL 24 HOUR AND onset_at < TIMESTAMP '2024-01-31' AND adverse_at >= onset_at THEN 'new_confident_registered_onset' WHEN adverse_at <= j.t + INTERVAL 24 HOUR THEN 'future_state_or_onset_uncertain' WHEN j.t + INTERVAL 24 HOUR >= TIMESTAMP '2024-01-31' THEN 'future_events_not_loaded' WHEN j.t + INTERVAL 24 HOUR >= segment_end THEN 'future_archive_window_incomplete' ELSE 'no_registered_onset_in_assumed_complete_archive' END AS reason
+FROM j LEFT JOIN o ON j.channel_id = o.channel_id AND j.t = o.t""")
+def k12_registered_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = effects(spark, sf_dir)
+    return episodes.registered_labels(_points(spark, sf_dir), ev, episodes.registered_episodes(ev), "2024-01-31 00:00:00").select("channel_id", "t", "reason")
+
+
+@query("WITH RECURSIVE e AS (SELECT channel_id, ts, row_number() OVER (PARTITION BY channel_id ORDER BY ts) AS i FROM {ev} WHERE alarm), w AS (SELECT channel_id, ts, ts AS last, i, true AS emitted FROM e WHERE i = 1 UNION ALL SELECT e.channel_id, e.ts, CASE WHEN e.ts >= w.last + INTERVAL 24 HOUR THEN e.ts ELSE w.last END, e.i, e.ts >= w.last + INTERVAL 24 HOUR FROM w JOIN e ON e.channel_id = w.channel_id AND e.i = w.i + 1) SELECT channel_id, ts, emitted FROM w")
+def w21_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.operators import alerts
+
+    return alerts.cooldown(journal(spark, sf_dir).where("alarm").select("channel_id", "ts"), ["channel_id"], "ts", 24)
+
+
+DUCK_SHIFT = """e AS (SELECT channel_id, row_id, ts, CASE WHEN state <> 'view' THEN value END AS value, state = 'click' AND value > 90 AS blocked FROM {ev}),
+n AS (SELECT *, count(value) OVER (PARTITION BY channel_id ORDER BY ts, row_id) AS k FROM e),
+b AS (SELECT channel_id, value, ts, blocked FROM n WHERE k <= 12 AND value IS NOT NULL),
+s AS (SELECT channel_id, median(value) AS med, max(ts) AS last, bool_or(blocked) AS bad, count(*) AS c FROM b GROUP BY 1),
+l AS (SELECT s.channel_id, any_value(med) AS med, any_value(last) AS last, median(abs(b.value - med)) AS mad FROM b JOIN s ON b.channel_id = s.channel_id WHERE NOT bad AND c = 12 GROUP BY 1),
+c AS (SELECT e.channel_id, e.ts, e.row_id, e.blocked, CASE WHEN e.blocked OR e.value IS NULL THEN 0 WHEN e.value - med > CASE WHEN mad = 0 THEN 0.5 ELSE mad * 0.9 END THEN 1 WHEN e.value - med < -CASE WHEN mad = 0 THEN 0.5 ELSE mad * 0.9 END THEN -1 ELSE 0 END AS code FROM e JOIN l ON e.channel_id = l.channel_id AND e.ts > l.last)"""
+
+
+@query(f"WITH {DUCK_SHIFT}, r AS (SELECT *, lag(code) OVER w AS p, lag(code, 2) OVER w AS q, lag(ts, 2) OVER w AS began, row_number() OVER w AS i FROM c WINDOW w AS (PARTITION BY channel_id ORDER BY ts, row_id)), h AS (SELECT channel_id, min(i) AS hit FROM r WHERE code <> 0 AND code = p AND code = q GROUP BY 1), x AS (SELECT channel_id, min(i) AS stop FROM r WHERE blocked GROUP BY 1), d AS (SELECT DISTINCT channel_id FROM c) SELECT d.channel_id, CASE WHEN stop IS NOT NULL AND (hit IS NULL OR stop < hit) THEN 'unknown' WHEN hit IS NOT NULL THEN 'candidate' ELSE 'no_candidate' END AS decision, CASE WHEN hit IS NOT NULL AND (stop IS NULL OR hit < stop) THEN r.began END AS start_at, CASE WHEN hit IS NOT NULL AND (stop IS NULL OR hit < stop) THEN r.ts END AS confirmed_at FROM d LEFT JOIN h ON d.channel_id = h.channel_id LEFT JOIN x ON d.channel_id = x.channel_id LEFT JOIN r ON r.channel_id = d.channel_id AND r.i = h.hit")
+def k01_first_level_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = journal(spark, sf_dir).select("channel_id", "row_id", "ts", F.when(F.col("state") != "view", F.col("value")).alias("value"), ((F.col("state") == "click") & (F.col("value") > 90)).alias("blocked"))
+    return detectors.first_level_shift(ev, 3, multiplier=0.9).select("channel_id", "decision", "start_at", "confirmed_at")
+
+
+@query()
+def k02_level_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = journal(spark, sf_dir).select("channel_id", "row_id", "ts", F.when(F.col("state") != "view", F.col("value")).alias("value"), F.lit(False).alias("blocked"))
+    return detectors.level_shifts(ev, 3, multiplier=0.9)
+
+
+@query()
+def k03_discrete_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = journal(spark, sf_dir).select("channel_id", "row_id", "ts", "state", F.lit(False).alias("blocked"))
+    return detectors.discrete_patterns(ev, repeat_minutes=60 * 48, switch_minutes=60 * 12)
+
+
+@query("WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS channel_id, c_nationkey AS obj FROM customer), e AS (SELECT channel_id, ts FROM {ev} WHERE alarm), a AS (SELECT e.channel_id, e.ts, obj FROM e JOIN c ON e.channel_id = c.channel_id), m AS (SELECT DISTINCT a.channel_id, a.ts FROM a JOIN a b ON a.obj = b.obj AND a.channel_id <> b.channel_id AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 2 HOUR), r AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY ts) AS i FROM m) SELECT channel_id, min(ts) AS start_at, max(ts) AS confirmed_at FROM r WHERE i <= 2 GROUP BY 1 HAVING count(*) = 2")
+def k05_context_coincidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    objects = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("channel_id"), F.col("c_nationkey").alias("obj"))
+    e = journal(spark, sf_dir).where("alarm").join(objects, "channel_id").select("channel_id", "ts", "obj")
+    hits = asof.window_rows(e.withColumnRenamed("ts", "t"), e, ["obj"], "t", "ts", 3, 3).where("f_channel_id <> channel_id AND f_ts >= t - INTERVAL '2' HOUR").select("channel_id", "t").distinct()
+    ranked = hits.withColumn("i", F.row_number().over(Window.partitionBy("channel_id").orderBy("t"))).where("i <= 2")
+    return ranked.groupBy("channel_id").agg(F.min("t").alias("start_at"), F.max("t").alias("confirmed_at"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
+
+
+@query("WITH e AS (SELECT DISTINCT c_nationkey AS object_id, state, channel_id, ts FROM {ev} JOIN customer ON channel_id = CAST(c_custkey AS VARCHAR)), n AS (SELECT a.object_id, a.state, a.ts, count(DISTINCT b.channel_id) AS n, min(b.ts) AS s FROM e a JOIN e b ON a.object_id = b.object_id AND a.state = b.state AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 1 HOUR GROUP BY 1, 2, 3) SELECT object_id, state, min(ts) AS confirmed_at, arg_min(s, ts) AS start_at FROM n WHERE n >= 2 GROUP BY 1, 2")
+def k06_shared_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    objects = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("channel_id"), F.col("c_nationkey").alias("object_id"))
+    return detectors.shared_states(journal(spark, sf_dir).join(objects, "channel_id"), 3600, 2).select("object_id", "state", "confirmed_at", "start_at")
+
+
+@query()
+def k07_consolidated_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = journal(spark, sf_dir).where("alarm")
+    recovery = journal(spark, sf_dir).where("state = 'signup'").groupBy("channel_id").agg(F.max("ts").alias("recovery_at"))
+    d = ev.select("channel_id", F.col("ts").alias("start_at"), F.col("ts").alias("confirmed_at"), (F.col("ts") + F.expr("INTERVAL '5' MINUTE")).alias("end_at"), (F.col("value") / 100).alias("score"), F.array(F.col("row_id").cast("string")).alias("evidence"))
+    return episodes.consolidate(d.join(recovery, "channel_id", "left"), ["channel_id"], 60 * 6, 60 * 3)
+
+
+@query()
+def k08_score_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = journal(spark, sf_dir)
+    scores = ev.select("channel_id", "ts", F.when(F.col("state") == "view", "unknown").otherwise("eligible").alias("status"), (F.col("value") / 100).alias("score"))
+    return episodes.score_episodes(scores, ["channel_id"], 0.45, 0.4, 2, 2, 24)
+
+
+@query("WITH RECURSIVE e AS (SELECT substring(channel_id, 1, 1) AS episode_id, ts, row_id, row_number() OVER (PARTITION BY substring(channel_id, 1, 1) ORDER BY ts, row_id) AS i FROM {ev} WHERE alarm), w AS (SELECT episode_id, row_id, ts AS last, i, true AS emitted FROM e WHERE i = 1 UNION ALL SELECT e.episode_id, e.row_id, CASE WHEN e.ts > w.last + INTERVAL 1 HOUR THEN e.ts ELSE w.last END, e.i, e.ts > w.last + INTERVAL 1 HOUR FROM w JOIN e ON e.episode_id = w.episode_id AND e.i = w.i + 1) SELECT episode_id, row_id FROM w WHERE emitted")
+def k09_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.operators import alerts
+
+    rows = journal(spark, sf_dir).where("alarm").select(F.substring("channel_id", 1, 1).alias("episode_id"), "row_id", "ts")
+    return alerts.cooldown(rows, ["episode_id"], "ts", 1, closed=True).where("emitted").select("episode_id", "row_id")
+
+
+@query("WITH e AS (SELECT * FROM {ev}), p AS (SELECT channel_id, t FROM (SELECT DISTINCT channel_id FROM e), (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-30', INTERVAL 24 HOUR)) AS t)), x AS (SELECT channel_id, ts AS s, ts + INTERVAL 3 HOUR AS z, value > 40 AS confirmed FROM e WHERE alarm), o AS (SELECT channel_id, min(ts) AS s, max(ts) AS z FROM e GROUP BY 1), j AS (SELECT p.channel_id, p.t, any_value(o.s <= p.t AND o.z >= p.t + INTERVAL 24 HOUR) AS seen, bool_or(x.s <= p.t) AS ongoing, bool_or(x.s > p.t AND confirmed) AS onset, bool_or(x.s > p.t AND NOT confirmed) AS odd FROM p JOIN o ON p.channel_id = o.channel_id LEFT JOIN x ON x.channel_id = p.channel_id AND x.s <= p.t + INTERVAL 24 HOUR AND x.z > p.t GROUP BY 1, 2) SELECT channel_id, t, CAST(CASE WHEN NOT seen OR coalesce(ongoing, false) THEN -1 WHEN onset THEN 1 WHEN odd THEN -1 ELSE 0 END AS INT) AS label FROM j")
+def k13_onset_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = journal(spark, sf_dir)
+    points = ev.select("channel_id").distinct().withColumn("t", F.explode(F.expr("sequence(TIMESTAMP_NTZ '2024-01-02 00:00:00', TIMESTAMP_NTZ '2024-01-30 00:00:00', INTERVAL 24 HOUR)")))
+    found = ev.where("alarm").select("channel_id", F.col("ts").alias("start_at"), timeops.hours_later(F.col("ts"), 3).alias("end_at"), (F.col("value") > 40).alias("confirmed"))
+    observed = ev.groupBy("channel_id").agg(F.min("ts").alias("start_at"), F.max("ts").alias("end_at")).withColumn("status", F.lit("include"))
+    return episodes.onset_labels(points, found, observed, 24)
+
+
+@query("WITH g AS (SELECT channel_id, date_trunc('hour', ts) AS h, list_sort(list_distinct(list(state))) AS s FROM {ev} GROUP BY 1, 2) SELECT CASE WHEN len(s) = 1 THEN 'single' WHEN list_contains(s, 'error') AND list_contains(s, 'signup') THEN 'normal_and_fault' WHEN list_contains(s, 'error') THEN 'fault_and_other' ELSE 'other_pair' END AS kind, count(*) AS n FROM g GROUP BY 1")
+def k17_same_time_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("s")
+    g = journal(spark, sf_dir).groupBy("channel_id", timeops.floor_hour(F.col("ts")).alias("h")).agg(F.array_sort(F.collect_set("state")).alias("s"))
+    kind = F.when(F.size(s) == 1, "single").when(F.array_contains(s, "error") & F.array_contains(s, "signup"), "normal_and_fault").when(F.array_contains(s, "error"), "fault_and_other").otherwise("other_pair")
+    return g.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
