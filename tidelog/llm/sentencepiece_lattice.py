@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text becomes words that no piece reaches across: runs of the space mark with what follows, and line ends. Each
-different word is worked on once, in Spark SQL: its substrings of at most the longest piece's length are
-exploded, equi-joined to the piece table (32,000 rows, broadcast), and grouped by word as edges of a lattice;
-a higher-order `aggregate` folds over the edges to the word's ids.
+A text becomes words that no piece reaches across: runs of space marks with the letters or the signs that follow, and
+line ends. Each different word is worked on once, in Spark SQL: at every place its substrings of one, two and
+HEAD characters are exploded and equi-joined to the piece table (32,000 pieces under their heads, broadcast);
+of the pieces under a head those stay that the word goes on with. They are grouped by word as edges of a
+lattice, and a higher-order `aggregate` folds over the edges to the word's ids.
 
 The fold. For a unigram model the best path is a Viterbi sum of scores. The model here is a BPE model, of which the
 scores are merge ranks, and a path of the best sum is not what it encodes to. So the fold walks the edges from
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -43,14 +45,25 @@ from tidelog.llm.tokens import little_batches
 
 SPACE = "▁"
 
-#: Words of a text: none of the model's pieces has a mark after another sign, or a line end beside anything.
-WORDS = f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n"
+#: Words of a text, as runs of letters and digits or of signs, with the marks before them. No piece of the model has a
+#: mark after another character, a letter beside a sign, or a line end beside anything; raised powers are signs here.
+_SIGN, _OTHER = f"(?:[^\\w{SPACE}\n]|[_²³¹])", "[^\\W_²³¹]"
+WORDS = f"{SPACE}+(?:{_SIGN}+|{_OTHER}*)|{_SIGN}+|{_OTHER}+|\n"
+
+#: Characters of a piece's head.
+HEAD = 3
+
+#: Where a long has an edge's rank, its start and its piece's id; its lowest bits have the size.
+RANK_AT, START_AT, ID_AT = 38, 26, 6
 
 #: Characters of a word that the fold takes; a long has a bit for each boundary.
 LONGEST = 60
 
 #: Most frequent words that every task knows.
-KNOWN = 500_000
+KNOWN = 100_000
+
+#: Different words that a task counts before it hands them on.
+COUNTED = 100_000
 
 
 class Model:
@@ -71,7 +84,8 @@ class Model:
         self.longest = max(map(len, self.pieces))
         order = {s: i for i, s in enumerate(sorted({s for s, _ in self.pieces.values()}, reverse=True))}
         self.rank = {p: order[s] for p, (s, _) in self.pieces.items()}
-        if any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1) for p in self.pieces):
+        whole = re.compile(WORDS).fullmatch
+        if not all(whole(p) for p in self.pieces):
             raise ValueError("a piece reaches across words")
 
     def irregular(self, piece: str) -> bool:
@@ -134,35 +148,65 @@ def marked(text: str | None) -> str:
 
 
 def word_table(words: DataFrame, file: str) -> DataFrame:
-    """(word, n, ids) of words: word, n, each word once and hash-partitioned by it."""
+    """(word, n, ids) of words: word, n, each word once."""
     m = model(file)
     spark = words.sparkSession
-    pieces = F.broadcast(spark.createDataFrame(m.rows(), "piece string, rank int, id int, irregular boolean"))
+    rows = m.rows()
+    # A piece is one long, rank first: rank, id and length; an edge adds the place where it starts.
+    coded = [(p, (r << RANK_AT) | (i << ID_AT) | len(p), len(p)) for p, r, i, _ in rows]
+    pieces = spark.createDataFrame(coded, "piece string, code long, size int")
+    odd = [re.escape(p) for p, _, _, irregular in rows if irregular]
+    smooth = (F.length("word") <= LONGEST) & (~F.col("word").rlike("|".join(odd)) if odd else F.lit(True))
+    head = F.substring("piece", 1, HEAD).alias("head")
+    heads = pieces.groupBy(head).agg(F.max(F.when(F.col("size") < HEAD, F.col("code"))).alias("short"), F.collect_list(F.when(F.col("size") >= HEAD, F.struct("piece", "code"))).alias("under"))
+    heads = F.broadcast(heads)
     size = F.length("word")
-    fits = words.where(size <= LONGEST)
-    at = fits.select("word", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
-    spans = at.select("word", "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + m.longest, F.length("word")))).alias("e"))
-    cut = spans.select("*", F.col("word").substr(F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
+    # Dealt by word before anything grows; what follows leaves each word where it is.
+    places = words.where(smooth).repartition("word").select("word", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
+    at = F.col("s") + 1
+    joined = places.withColumn("rest", F.col("word").substr(at, F.lit(m.longest)))
+    for n in range(1, HEAD + 1):
+        table = heads.select(F.col("head").alias(f"head{n}"), F.col("short" if n < HEAD else "under").alias(f"found{n}"))
+        joined = joined.join(table, (F.substring("rest", 1, n) == F.col(f"head{n}")) & (F.length("rest") >= n), "left")
+    long = F.transform(F.filter(f"found{HEAD}", lambda p: F.startswith(F.col("rest"), p["piece"])), lambda p: p["code"])
+    single = F.coalesce("found1", F.lit((1 << 62) | 1))  # a character without a piece
+    found = F.concat(F.array(single), F.array_compact(F.array(*[F.col(f"found{n}") for n in range(2, HEAD)])), F.coalesce(long, F.array().cast("array<long>")))
+    placed = F.transform(found, lambda c: c + F.col("s").cast("long") * (1 << START_AT))
+    lattice = joined.select("word", "n", placed.alias("found")).groupBy("word", "n").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("edges"))
+    one = F.lit(1).cast("long")
+    bit = lambda i: F.call_function("shiftleft", one, i)
+    begin = lambda x: F.shiftright(x, START_AT).bitwiseAND(63).cast("int")
+    size_of = lambda x: x.bitwiseAND(63).cast("int")
+    number = lambda x: F.shiftright(x, ID_AT).bitwiseAND((1 << 16) - 1).cast("int")
+    # Of an edge of size k moved down to its start: its ends are bits 0 and k, its inside what lies between.
+    down = lambda b, x: F.call_function("shiftright", b, begin(x)).bitwiseAND(F.call_function("shiftleft", F.lit(2).cast("long"), size_of(x)) - 1)
+    ends = lambda x: bit(size_of(x)) + 1
+    start = (bit(F.length("word")) * 2 - 1).alias("start")
+
+    def take(b, x):
+        own = down(b, x)
+        inside = own - ends(x)
+        merges = (inside > 0) & (own.bitwiseAND(ends(x)) == ends(x)) & (inside.bitwiseAND(inside - 1) == 0)
+        return F.when(merges, b - F.call_function("shiftleft", inside, begin(x))).otherwise(b)
+
+    several = F.filter("edges", lambda x: size_of(x) > 1)
+    walked = lattice.select("word", "n", "edges", F.aggregate(several, start, take).alias("b"))
+    chosen = F.filter("edges", lambda x: down(F.col("b"), x) == ends(x))
+    by_place = F.transform(F.sort_array(F.transform(chosen, lambda x: begin(x).cast("long") * (1 << 24) + F.when(x >= (1 << 62), F.lit(1 << 20)).otherwise(number(x)))), lambda y: y.bitwiseAND((1 << 24) - 1).cast("int"))
+    bare = F.element_at("edges", -1) < (1 << 62)
     first_byte = m.bytes[0]
-    edges = cut.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
-    one, two = F.lit(1).cast("long"), F.expr("shiftleft(1L, s) | shiftleft(1L, e)")
-    edge = F.struct(F.coalesce("rank", F.lit(1 << 30)).alias("rank"), F.col("s"), F.col("e"), two.alias("ends"), F.expr("(shiftleft(1L, e) - 1L) & ~(shiftleft(1L, s + 1) - 1L)").alias("inside"), F.when(F.col("id").isNull(), F.encode("piece", "UTF-8")).alias("raw"), F.col("id"))
-    lattice = edges.groupBy("word", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.coalesce(F.bool_or("irregular"), F.lit(False)).alias("irregular"))
-    start = (F.expr("shiftleft(1L, length(word))") * 2 - one).alias("start")
-    folded = F.aggregate("edges", start, lambda b, x: F.when((x["e"] - x["s"] > 1) & (b.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(b.bitwiseAND(x["inside"])) == 1), b.bitwiseAND(F.bitwise_not(x["inside"]))).otherwise(b))
-    smooth = lattice.where(~F.col("irregular")).select("word", "n", "edges", folded.alias("b"))
-    chosen = F.filter("edges", lambda x: (F.col("b").bitwiseAND(x["ends"]) == x["ends"]) & (F.col("b").bitwiseAND(x["inside"]) == 0))
-    by_place = F.array_sort(F.transform(chosen, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"), x["raw"].alias("raw"))))
-    octets = lambda raw: F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int") + first_byte)
-    ids = F.flatten(F.transform(by_place, lambda x: F.when(x["id"].isNull(), octets(x["raw"])).otherwise(F.array(x["id"]))))
-    rest = lattice.where("irregular").select("word", "n").unionByName(words.where(size > LONGEST))
+    octets = lambda c: F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: F.conv(F.hex(F.substring(F.encode(c, "UTF-8"), i, F.lit(1))), 16, 10).cast("int") + first_byte)
+    starts = F.sort_array(F.transform(F.filter("edges", lambda x: down(F.col("b"), x) == ends(x)), begin))
+    spelled = F.flatten(F.transform("ids", lambda y, i: F.when(y == (1 << 20), octets(F.col("word").substr(F.get(starts, i) + 1, F.lit(1)))).otherwise(F.array(y))))
+    cut = walked.select("word", "n", "edges", "b", by_place.alias("ids"), bare.alias("bare"))
+    smooth_rows = cut.select("word", "n", F.when(F.col("bare"), F.col("ids")).otherwise(spelled).alias("ids"))
 
     def queued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge = model(file).merge
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([merge(w) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "n", "ids"])
 
-    return smooth.select("word", "n", ids.alias("ids")).unionByName(rest.mapInArrow(queued, "word string, n long, ids array<int>"))
+    return smooth_rows.unionByName(words.where(~smooth).select("word", "n").mapInArrow(queued, "word string, n long, ids array<int>"))
 
 
 class Known:
@@ -174,6 +218,20 @@ class Known:
         self.ids, self.ends = lists.values.to_numpy(zero_copy_only=False).astype(np.uint16), lists.offsets.to_numpy().astype(np.int64)
 
 
+class Spelling:
+    """The bytes of many ids at once."""
+
+    def __init__(self, out: list[bytes]):
+        self.bytes, self.ends = np.frombuffer(b"".join(out), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in out])])
+
+    def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids in a row, bounds by id)."""
+        begin = self.ends[ids]
+        size = self.ends[ids.astype(np.int64) + 1] - begin
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        return self.bytes[np.repeat(begin - bounds[:-1], size) + np.arange(int(bounds[-1]))], bounds
+
+
 def _read(uri: str) -> pa.Table:
     fs, path = place(uri)
     if fs.get_file_info(path).type == pafs.FileType.NotFound:
@@ -190,19 +248,33 @@ def encode(docs: DataFrame, file: str, known: int = KNOWN) -> DataFrame:
     """One row per document: doc_id, ids, round_trip (decoding gives the text back)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    text = F.when(F.col("text") != "", F.concat(F.lit(SPACE), F.translate("text", " ", SPACE)))
-    words = rows.select(F.explode(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    find = re.compile(WORDS).findall
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def rows_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for t in batch.column(1).to_pylist():
+                counts.update(find(marked(t)))
+                if len(counts) > COUNTED:
+                    yield rows_of()
+                    counts.clear()
+        yield rows_of()
+
+    words = stored(rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     table = stored(word_table(words, file), "words")
     top = fresh_path(spark, "frequent-words")
     table.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(known).select("word", "ids").write.parquet(top)
-    find = re.compile(WORDS).findall
 
     def wants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, task, new = frequent(top).place, TaskContext.get().partitionId(), set()
         for batch in batches:
             for t in batch.column(1).to_pylist():
                 new.update(w for w in find(marked(t)) if w not in have)
-            if len(new) > 500_000:
+            if len(new) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array([task] * len(new), pa.int32()), pa.array(sorted(new))], ["task", "word"])
                 new = set()
         yield pa.RecordBatch.from_arrays([pa.array([task] * len(new), pa.int32()), pa.array(sorted(new), pa.string())], ["task", "word"])
@@ -220,10 +292,10 @@ def encode(docs: DataFrame, file: str, known: int = KNOWN) -> DataFrame:
 
         get = all_know.place.get
         other = own.place
-        out = m.out
+        out = Spelling(m.out)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, z in little_batches(texts):
+            for a, z in little_batches(texts, 500_000):
                 split = [find(marked(t)) for t in texts[a:z]]
                 counts = np.fromiter(map(len, split), np.int64, z - a)
                 flat = chain.from_iterable(split)
@@ -234,8 +306,8 @@ def encode(docs: DataFrame, file: str, known: int = KNOWN) -> DataFrame:
                 got = ids[np.repeat(begin - before, size) + np.arange(int(size.sum()))]
                 word_ends, id_ends = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(size)])
                 bounds = id_ends[word_ends]
-                values = got.tolist()
-                same = [decoded(values[i:k], out) == (t or "").replace(SPACE, " ") for t, i, k in zip(texts[a:z], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                raw, raw_ends = out.spell(got)
+                same = [bytes(raw[i:k]) == marked(t).replace(SPACE, " ").encode() for t, i, k in zip(texts[a:z], raw_ends[bounds[:-1]].tolist(), raw_ends[bounds[1:]].tolist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(a, z - a), lists, pa.array(same)], ["doc_id", "ids", "round_trip"])
 
