@@ -93,6 +93,11 @@ def scan(spark: SparkSession, path: str, columns: dict[str, str], channels: list
     return rows.select(*[(F.col(c).cast(t) if c in rows.columns else F.lit(None).cast(t)).alias(c) for c, t in columns.items()])
 
 
+#: Characters of the upper 128 bytes as ISO-8859-1 reads them, and as Windows-1251 means them.
+_UPPER = bytes(b for b in range(128, 256) if b != 0x98)
+_LATIN, _CYRILLIC = _UPPER.decode("iso-8859-1"), _UPPER.decode("cp1251")
+
+
 def upload(spark: SparkSession, path: str) -> DataFrame:
     """A .parquet or .csv upload; a CSV is UTF-8, or else Windows-1251."""
     if path.lower().endswith(".parquet"):
@@ -102,7 +107,8 @@ def upload(spark: SparkSession, path: str) -> DataFrame:
     for c in rows.columns:
         odd |= F.coalesce(F.contains(F.col(c), F.lit("�")), F.lit(False))
     if any("�" in c for c in rows.columns) or not rows.where(odd).isEmpty():
-        rows = spark.read.option("header", True).option("encoding", "windows-1251").csv(path)
+        latin = spark.read.option("header", True).option("encoding", "iso-8859-1").csv(path)
+        rows = latin.select(*[F.translate(F.col(f"`{c}`"), _LATIN, _CYRILLIC).alias(c.translate(str.maketrans(_LATIN, _CYRILLIC))) for c in latin.columns])
     return rows.withColumnsRenamed({c: c.removeprefix("﻿") for c in rows.columns})
 
 
