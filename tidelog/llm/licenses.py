@@ -98,7 +98,7 @@ def templates() -> dict[str, list[str]]:
 
 
 def differing(wording: list[str], words: list[str]) -> tuple[int, int, list[str]]:
-    """(first word, last word + 1, differing words) of the place in `words` that is nearest to the wording by words missing, changed or added."""
+    """(first word, last word + 1, differences: -missing, +added or was>is) of the place in `words` that is nearest to the wording by words missing, changed or added."""
     n, m = len(words), len(wording)
     ids = {w: i for i, w in enumerate(dict.fromkeys(wording))}
     a, b = np.array([ids[w] for w in wording]), np.array([ids.get(w, -1) for w in words], np.int64)
@@ -114,7 +114,7 @@ def differing(wording: list[str], words: list[str]) -> tuple[int, int, list[str]
     while i:
         if j and d[i, j] == d[i - 1, j - 1] + (b[j - 1] != a[i - 1]):
             if b[j - 1] != a[i - 1]:
-                odd += [f"-{wording[i - 1]}", f"+{words[j - 1]}"]
+                odd.append(f"{wording[i - 1]}>{words[j - 1]}")
             i, j = i - 1, j - 1
         elif d[i, j] == d[i - 1, j] + 1:
             odd.append(f"-{wording[i - 1]}")
@@ -122,7 +122,7 @@ def differing(wording: list[str], words: list[str]) -> tuple[int, int, list[str]
         else:
             odd.append(f"+{words[j - 1]}")
             j -= 1
-    return j, stop, [*reversed(odd)][: int(2 * d[m, stop])]
+    return j, stop, odd[::-1]
 
 
 class Scanner:
@@ -169,7 +169,7 @@ class Scanner:
                 if len(wording) > len(plain) + may or sum(w not in have for w in wording) > may:
                     continue
                 a, z, odd = differing(wording, plain)
-                count = sum(x[0] == "-" for x in odd) + sum(x[0] == "+" for x in odd) - sum(p[0] == "-" and q[0] == "+" for p, q in zip(odd, odd[1:], strict=False))
+                count = len(odd)
                 if a < z and count <= may and (best is None or (len(wording) - count, saved) > best[0]):
                     best = ((len(wording) - count, saved), a, z, name, saved, count, odd)
         return best

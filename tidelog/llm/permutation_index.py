@@ -98,7 +98,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
     n = entries.where(F.size("ids") > 0).count()
     asking = entries.where("asks").count()
     sample = entries.where(F.size("ids") > 0).select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(pivots).toArrow()
-    seen = np.array(sample["embedding"].to_pylist(), np.float64).reshape(-1, size)
+    seen = np.array(sample["embedding"].to_pylist(), np.float64).reshape(sample.num_rows, size)
     share = min(1.0, max(least, candidates * n**0.5) / max(n, 1))
     blocks, askers = max(1, -(-n // block)), max(1, -(-asking // QUERIES))
 
