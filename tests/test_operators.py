@@ -299,3 +299,35 @@ def test_rule_fills_zero_and_the_pilot_does_not(spark):
 def test_readiness():
     got = serving.readiness({"a": True, "b": False}, {"c": True}, False)
     assert not got["stage_complete"] and got["blockers"] == ["missing:b", "missing:external_validation_available"]
+
+
+def test_names_of_the_future_are_refused():
+    assert features.guard(["a", "b"], ["a", "b", "c"]) == ["a", "b"]
+    for bad in ("target_x", "future_y", "label", "z"):
+        with pytest.raises(ValueError):
+            features.guard(["a", bad], ["a", "b"])
+
+
+def test_a_clear_recovery_reopens_the_cooldown(spark):
+    d = spark.createDataFrame([("c", h(x), True, True, True) for x in (0, 5, 12, 14)], "channel_id string, at timestamp_ntz, eligible boolean, above boolean, healthy boolean")
+    r = spark.createDataFrame([("c", h(7), h(9))], "channel_id string, onset timestamp_ntz, at timestamp_ntz")
+    u = spark.createDataFrame([("c", h(10))], "channel_id string, at timestamp_ntz")
+    reasons = lambda *a: [x.reason for x in alerts.recovery_reset(*a).orderBy("at").collect()]
+    assert reasons(d, r, u.limit(0), True) == ["standard_24h_warning", "suppressed_24h", "recovered_episode_reset", "suppressed_24h"]
+    assert reasons(d, r, u, True) == reasons(d, r, u.limit(0), False) == ["standard_24h_warning", "suppressed_24h", "suppressed_24h", "suppressed_24h"]
+
+
+def test_availability_order(spark):
+    row = spark.createDataFrame([(h(0), 0, 0, None, 0, 0, 2, "unknown", ["insufficient_baseline_events"], False, True)], "t timestamp_ntz, past_count int, usable_count int, first_usable_at timestamp_ntz, usable_times int, types int, objects int, baseline_status string, baseline_reasons array<string>, windows_eligible boolean, excluded_any boolean")
+    assert features.availability(row, False).first().availability_reasons == ["no_observations_yet", "sensor_type_unknown", "object_mapping_conflict", "insufficient_history", "insufficient_baseline_events", "one_or_more_windows_unusable", "quality_exclusions_present", "cadence_unknown"]
+
+
+def test_synthetic_suite_is_found_and_controls_stay_silent(spark):
+    from tidelog.functions import simulation
+
+    events, truth = simulation.suite(spark, 5)
+    silent = {r.channel_id for r in truth.where("scenario_id IN ('stable', 'silence')").collect()}
+    found = {r.channel_id for r in detectors.level_shifts(events).collect()}
+    shifted = {r.channel_id for r in truth.where("kind = 'level'").collect()}
+    assert shifted <= found and not silent & found
+    assert events.exceptAll(simulation.suite(spark, 5)[0]).count() == 0

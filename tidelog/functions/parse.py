@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space that Python's str.strip takes off, as a pattern class.
-_BLANK = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\u0085\\u001c-\\u001f]"
+#: White space that Python's str.strip takes off.
+_BLANK = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(text, F.lit(_BLANK))
 
 
 def parse_alarm(text: Column) -> Column:

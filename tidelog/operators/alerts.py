@@ -174,3 +174,68 @@ def status_by_reason(reasons: Column, tests: list[tuple[str, str]], default: str
     for part, status in reversed(tests):
         out = F.when(F.contains(F.array_join(reasons, "\n"), F.lit(part)), status).otherwise(out)
     return out
+
+
+class _RecoveryReset:
+    """Warnings of one channel: inside the cooldown one more may come after an episode has begun and clearly ended there."""
+
+    def __init__(self, key: tuple, cooldown: timedelta, allow: bool):
+        self.key, self.cooldown, self.allow = key, cooldown, allow
+        self.last: datetime | None = None
+        self.recovered = False
+
+    def step(self, r: dict) -> Iterable[tuple]:
+        at = r["at"]
+        if r["kind"] == "recovery":
+            self.recovered = self.last is not None and self.last < r["onset"] <= self.last + self.cooldown and r["onset"] < at < self.last + self.cooldown
+            return []
+        if r["kind"] == "uncertain":
+            self.recovered = False
+            return []
+        quiet = self.last is not None and at < self.last + self.cooldown
+        reset = self.allow and quiet and self.recovered and r["healthy"]
+        if not r["eligible"]:
+            return [(*self.key, at, False, "not_eligible")]
+        if not r["above"]:
+            return [(*self.key, at, False, "below_threshold")]
+        if quiet and not reset:
+            return [(*self.key, at, False, "suppressed_24h")]
+        self.last, self.recovered = at, False
+        return [(*self.key, at, True, "recovered_episode_reset" if reset else "standard_24h_warning")]
+
+    def finish(self) -> Iterable[tuple]:
+        return []
+
+
+def recovery_reset(decisions: DataFrame, recoveries: DataFrame, uncertain: DataFrame, allow: bool, hours: float = 24) -> DataFrame:
+    """decisions: channel_id, at, eligible, above, healthy; recoveries: channel_id, onset, at (a confident onset's clear end); uncertain: channel_id, at.
+
+    Rows: channel_id, at, warning, reason. Evidence of an instant counts before its decision.
+    """
+    no = lambda c: F.lit(None).cast("boolean").alias(c)
+    d = decisions.select("channel_id", "at", F.lit(2).alias("k"), F.lit("decision").alias("kind"), F.lit(None).cast("timestamp_ntz").alias("onset"), "eligible", "above", "healthy")
+    r = recoveries.select("channel_id", "at", F.lit(1).alias("k"), F.lit("recovery").alias("kind"), "onset", no("eligible"), no("above"), no("healthy"))
+    u = uncertain.select("channel_id", "at", F.lit(0).alias("k"), F.lit("uncertain").alias("kind"), F.lit(None).cast("timestamp_ntz").alias("onset"), no("eligible"), no("above"), no("healthy"))
+    make = lambda key: _RecoveryReset(key, timedelta(hours=hours), allow)
+    return fold(d.unionByName(r).unionByName(u), ["channel_id"], ["at", "k"], make, "channel_id string, at timestamp_ntz, warning boolean, reason string")
+
+
+def blockers(rows: DataFrame, by: list[str], at: str, hours: float = 24) -> DataFrame:
+    """Suppressed rows with the emitted one that silenced each: blocker_at."""
+    marked = cooldown(rows, by, at, hours)
+    w = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return marked.withColumn("blocker_at", F.max(F.when(F.col("emitted"), F.col(at))).over(w)).where("NOT emitted").drop("emitted")
+
+
+def low_value_watch(readings: DataFrame, low: float, high: float, gap_hours: float, cooldown_hours: float = 24) -> DataFrame:
+    """Warnings of readings (channel_id, ts, value) in (low, high] that follow another within the gap, at most one each cooldown."""
+    w = Window.partitionBy("channel_id").orderBy("ts")
+    hours = F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts")) / 3.6e9
+    near = readings.dropDuplicates(["channel_id", "ts", "value"]).withColumn("gap_hours", hours).where((F.col("value") > low) & (F.col("value") <= high) & (F.col("gap_hours") <= gap_hours))
+    return cooldown(near, ["channel_id"], "ts", cooldown_hours).where("emitted").drop("emitted")
+
+
+def contributions(rows: DataFrame, by: list[str], terms: dict[str, float] = TERMS) -> DataFrame:
+    """Median contribution of every term to the score by key, largest first."""
+    each = rows.select(*by, F.explode(F.create_map(*[x for n, w in terms.items() for x in (F.lit(n), (F.coalesce(F.col(n).cast("double"), F.lit(0.0)) * w))])).alias("term", "value"))
+    return each.groupBy(*by, "term").agg(F.expr("percentile(value, 0.5)").alias("median_contribution")).orderBy(*by, F.desc("median_contribution"), "term")

@@ -134,3 +134,43 @@ def robust_scaled(rows: DataFrame, by: list[str], columns: list[str], low: float
     joined = rows.join(stats, by)
     spread = lambda q: F.when(q[2] == q[1], 1.0).otherwise(q[2] - q[1])
     return joined.select(*rows.columns, *[((F.col(c) - F.col(f"q_{c}")[0]) / spread(F.col(f"q_{c}"))).alias(f"scaled_{c}") for c in columns])
+
+
+def availability(rows: DataFrame, cadence_known: bool, history_hours: int = 168, least_times: int = 2) -> DataFrame:
+    """rows with availability_status and ordered availability_reasons.
+
+    rows: t, past_count, usable_count, first_usable_at, usable_times, types, objects (counts of different ones so far),
+    baseline_status, baseline_reasons, windows_eligible, excluded_any. Without a known cadence nothing is eligible.
+    """
+    c = F.col
+    young = c("first_usable_at").isNull() | (seconds_between(c("first_usable_at"), c("t")) < history_hours * 3600) | (c("usable_times") < least_times)
+    head = flags(
+        F.when(c("past_count") == 0, "no_observations_yet").when(c("usable_count") == 0, "all_causal_observations_excluded"), F.when(c("types") == 0, "sensor_type_unknown").when(c("types") > 1, "sensor_type_conflict"),
+        F.when(c("objects") > 1, "object_mapping_conflict"), F.when(young, "insufficient_history"),
+    )
+    base = F.when(c("baseline_status") != "eligible", c("baseline_reasons")).otherwise(F.array().cast("array<string>"))
+    tail = flags(F.when(~c("windows_eligible"), "one_or_more_windows_unusable"), F.when(c("excluded_any"), "quality_exclusions_present"), F.when(F.lit(not cadence_known), "cadence_unknown"))
+    reasons = F.array_distinct(F.concat(head, base, tail))
+    status = F.when((c("past_count") > 0) & (c("usable_count") == 0), "excluded").when(F.size(reasons) > 0, "unknown").otherwise("eligible")
+    return rows.withColumn("availability_reasons", reasons).withColumn("availability_status", status)
+
+
+def completed_history(grid: DataFrame, completed: DataFrame, hours: int = 168) -> DataFrame:
+    """Episodes that ended in (t - hours, t]: count, mean duration in seconds, age of the last end. completed: channel_id, start_at, end_at."""
+    spans = completed.withColumn("us", F.timestamp_diff("MICROSECOND", F.col("start_at"), F.col("end_at")))
+    sums = asof.trailing_sums(grid, spans, ["channel_id"], "t", "end_at", {"n": F.lit(1), "us": F.col("us")}, [hours])
+    last = asof.asof_last(sums, spans.groupBy("channel_id", "end_at").agg(F.max("start_at").alias("s")), ["channel_id"], "t", "end_at", "last")
+    n = F.col(f"n_{hours}h")
+    return last.select(*grid.columns, n.alias(f"completed_episode_count_{hours}h"), F.when(n > 0, F.col(f"us_{hours}h") / n / 1e6).alias("mean_duration_seconds"), seconds_between(F.col("last.end_at"), F.col("t")).alias("last_completed_episode_end_age_seconds"))
+
+
+#: Names that tell of the future; no feature or decision input may have them.
+FORBIDDEN, FORBIDDEN_PREFIXES = {"label", "outcome", "y"}, ("target_", "future_", "label_")
+
+
+def guard(columns: list[str], allowed: list[str] | None = None) -> list[str]:
+    """The columns, if none tells of the future and all are allowed."""
+    bad = [c for c in columns if c in FORBIDDEN or c.startswith(FORBIDDEN_PREFIXES) or (allowed is not None and c not in allowed)]
+    if bad:
+        raise ValueError(f"columns not allowed as inputs: {bad}")
+    return columns
