@@ -143,6 +143,13 @@ def model(file: str) -> Model:
     return Model(file)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that few texts are Python strings at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def marked(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
@@ -256,8 +263,8 @@ def encode(docs: DataFrame, file: str, known: int = KNOWN) -> DataFrame:
         def rows_of() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-        for batch in batches:
-            for t in batch.column(1).to_pylist():
+        for part in slices(batches):
+            for t in part.column(1).to_pylist():
                 counts.update(find(marked(t)))
                 if len(counts) > COUNTED:
                     yield rows_of()
@@ -271,8 +278,8 @@ def encode(docs: DataFrame, file: str, known: int = KNOWN) -> DataFrame:
 
     def wants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, task, new = frequent(top).place, TaskContext.get().partitionId(), set()
-        for batch in batches:
-            for t in batch.column(1).to_pylist():
+        for part in slices(batches):
+            for t in part.column(1).to_pylist():
                 new.update(w for w in find(marked(t)) if w not in have)
             if len(new) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array([task] * len(new), pa.int32()), pa.array(sorted(new))], ["task", "word"])
@@ -293,8 +300,8 @@ def encode(docs: DataFrame, file: str, known: int = KNOWN) -> DataFrame:
         get = all_know.place.get
         other = own.place
         out = Spelling(m.out)
-        for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
+        for part in slices(batches):
+            doc_ids, texts = part.column(0), part.column(1).to_pylist()
             for a, z in little_batches(texts, 500_000):
                 split = [find(marked(t)) for t in texts[a:z]]
                 counts = np.fromiter(map(len, split), np.int64, z - a)
