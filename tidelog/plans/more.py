@@ -11,7 +11,7 @@ from tidelog.plans import detection, features as feature_plans, scoring
 from tidelog.plans.registry import journal, query, run_sql, sql_query, table
 from tidelog.sources import readers, sinks
 
-sql_query("z21_stability_by_month", "SELECT month(ts) AS m, state, count(*) AS n, count(DISTINCT channel_id) AS channels, round(count(*) * 1.0 / count(DISTINCT channel_id), 6) AS per_channel FROM {ev} GROUP BY month(ts), state", "SELECT CAST(month(ts) AS INT) AS m, state, count(*) AS n, count(DISTINCT channel_id) AS channels, round(count(*) * 1.0 / count(DISTINCT channel_id), 6) AS per_channel FROM {ev} GROUP BY month(ts), state")
+sql_query("z21_stability_by_month", "SELECT month(ts) AS m, state, count(*) AS n, count(DISTINCT channel_id) AS channels, round(CAST(count(*) AS DOUBLE) / count(DISTINCT channel_id), 6) AS per_channel FROM {ev} GROUP BY month(ts), state", "SELECT CAST(month(ts) AS INT) AS m, state, count(*) AS n, count(DISTINCT channel_id) AS channels, round(CAST(count(*) AS DOUBLE) / count(DISTINCT channel_id), 6) AS per_channel FROM {ev} GROUP BY month(ts), state")
 sql_query("x23_key_boundaries", "SELECT count(*) AS groups FROM (SELECT user_id, event_type, props FROM {events} GROUP BY user_id, event_type, props)")
 sql_query("a09_variant_comparison", "WITH v AS (SELECT 'base' AS variant, state, count(*) AS n FROM {ev} GROUP BY state UNION ALL SELECT 'high', state, count(*) FROM {ev} WHERE value > 20 GROUP BY state) SELECT v.variant, v.state, v.n, v.n - b.n AS delta FROM v JOIN v b ON b.variant = 'base' AND v.state = b.state")
 sql_query("e22_pack_join", "WITH a AS (SELECT event_id, value FROM {events}), b AS (SELECT event_id, event_type FROM {events}) SELECT a.event_id, a.value, b.event_type FROM a JOIN b ON a.event_id = b.event_id")

@@ -22,7 +22,7 @@ sql_query("j02_left_dimension", "SELECT e.row_id, c.c_name, n.n_name FROM {ev} e
 sql_query("j03_full_outer_compare", "SELECT sum(CAST(a.k IS NULL AS INT)) AS only_b, sum(CAST(b.k IS NULL AS INT)) AS only_a, sum(CAST(a.k = b.k AND NOT (a.v <=> b.v) AS INT)) AS different FROM (SELECT event_id AS k, value AS v FROM {events} WHERE event_id % 3 <> 0) a FULL OUTER JOIN (SELECT event_id AS k, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS v FROM {events} WHERE event_id % 4 <> 0) b ON a.k = b.k", "SELECT CAST(sum(CAST(a.k IS NULL AS INT)) AS BIGINT) AS only_b, CAST(sum(CAST(b.k IS NULL AS INT)) AS BIGINT) AS only_a, CAST(sum(CAST(a.k = b.k AND a.v IS DISTINCT FROM b.v AS INT)) AS BIGINT) AS different FROM (SELECT event_id AS k, value AS v FROM {events} WHERE event_id % 3 <> 0) a FULL OUTER JOIN (SELECT event_id AS k, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS v FROM {events} WHERE event_id % 4 <> 0) b ON a.k = b.k")
 sql_query("j04_left_semi", "SELECT c_custkey, c_name FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 150000)")
 sql_query("j04_left_semi_range", "SELECT e.row_id FROM {ev} e WHERE e.alarm AND EXISTS (SELECT 1 FROM {ev} f WHERE f.channel_id = e.channel_id AND f.state = 'signup' AND f.ts < e.ts AND f.ts >= e.ts - INTERVAL '6' HOUR)")
-sql_query("j05_left_anti", "SELECT c_custkey FROM {customer} LEFT ANTI JOIN {orders} ON o_custkey = c_custkey", "SELECT c_custkey FROM {customer} ANTI JOIN {orders} ON o_custkey = c_custkey")
+sql_query("j05_left_anti", "SELECT c_custkey FROM {customer} LEFT ANTI JOIN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 150000) ON o_custkey = c_custkey", "SELECT c_custkey FROM {customer} ANTI JOIN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 150000) ON o_custkey = c_custkey")
 sql_query("j06_self_join_first", "WITH f AS (SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderstatus) AS first_key, o_totalprice FROM {orders}) SELECT a.o_orderkey, b.o_totalprice AS first_price FROM f a JOIN {orders} b ON a.first_key = b.o_orderkey WHERE a.o_orderkey <> a.first_key")
 sql_query("j07_null_safe_multi_key", "WITH k AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS t, CASE WHEN event_id % 11 = 0 THEN NULL ELSE user_id END AS u FROM {events}), g AS (SELECT t, u, min(event_id) AS first_id FROM k GROUP BY t, u) SELECT k.event_id, g.first_id FROM k JOIN g ON k.t <=> g.t AND k.u <=> g.u", "WITH k AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS t, CASE WHEN event_id % 11 = 0 THEN NULL ELSE user_id END AS u FROM {events}), g AS (SELECT t, u, min(event_id) AS first_id FROM k GROUP BY t, u) SELECT k.event_id, g.first_id FROM k JOIN g ON k.t IS NOT DISTINCT FROM g.t AND k.u IS NOT DISTINCT FROM g.u")
 sql_query("j15_dictionary_match", "WITH d AS (SELECT s_nationkey AS k, count(*) AS c, count(DISTINCT s_acctbal > 0) AS v FROM {supplier} GROUP BY s_nationkey) SELECT n_nationkey, CASE WHEN d.k IS NULL THEN 'unmapped_type' WHEN v > 1 THEN 'conflicting' WHEN c > 1 THEN 'multiple' ELSE 'exact' END AS status FROM {nation} LEFT JOIN d ON n_nationkey = d.k")
