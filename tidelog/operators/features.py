@@ -174,3 +174,31 @@ def guard(columns: list[str], allowed: list[str] | None = None) -> list[str]:
     if bad:
         raise ValueError(f"columns not allowed as inputs: {bad}")
     return columns
+
+
+def frozen_baseline(grid: DataFrame, events: DataFrame, embargo_hours: int, lookback_hours: int, least_events: int, least_span_hours: int) -> DataFrame:
+    """grid rows with the baseline that their day shares: fitted up to the day's start less the embargo."""
+    dated = grid.withColumn("fit_end", F.date_trunc("DAY", "t").cast("timestamp_ntz") - F.expr(f"INTERVAL '{embargo_hours}' HOUR"))
+    fits = baseline(events, dated.select("channel_id", "fit_end").distinct(), lookback_hours, least_events, least_span_hours)
+    return dated.join(fits, ["channel_id", "fit_end"])
+
+
+def snapshot(grid: DataFrame, events: DataFrame, hours: list[int] = WINDOWS, cadence_seconds: int | None = None) -> DataFrame:
+    """The whole block of every window for grid rows (channel_id, t): counts, eleven statistics, states, gap, coverage, status, reasons.
+
+    events: channel_id, ts, value, state, alarm, excluded. Event and alarm counts take all rows; numbers, states
+    and gaps only those that no quality flag excludes.
+    """
+    by, out = ["channel_id", "t"], grid.select("channel_id", "t")
+    for h in hours:
+        pairs = asof.window_rows(grid.select(*by), events.select("channel_id", "ts", "value", "state", "alarm", "excluded"), ["channel_id"], "t", "ts", h)
+        good = pairs.where("NOT f_excluded")
+        used = F.col("f_ts").isNotNull() & ~F.coalesce("f_excluded", F.lit(False))
+        counts = pairs.groupBy(*by).agg(
+            F.count("f_ts").alias("event_count"), F.count(F.when(F.col("f_alarm"), 1)).alias("alarm_count"), F.count(F.when(F.col("f_excluded"), 1)).alias("n_excluded"), F.count(F.when(used, 1)).alias("n_usable"),
+            F.countDistinct(F.when(used, F.col("f_ts"))).alias("n_times"), F.count(F.when(used, F.col("f_value"))).alias("numeric_count"), F.count(F.when(used, F.col("f_state"))).alias("state_count"),
+        )
+        block = counts.join(numeric_block(good, by, "f_value", "f_ts"), by, "left").join(state_block(good, by, "f_state", "f_ts"), by, "left").join(maximum_gap(good, by, "f_ts", "t", h), by, "left")
+        block = block.withColumns(window_status(h, cadence_seconds)).drop("n_usable", "n_times").withColumnRenamed("n_excluded", "excluded_quality_count")
+        out = out.join(block.select(*by, *[F.col(c).alias(f"{c}_{h}h") for c in block.columns if c not in by]), by)
+    return out

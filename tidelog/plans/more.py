@@ -214,3 +214,16 @@ def z16_attribute_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that are the first, in the order of their hash, to show some value: what a greedy walk keeps."""
     rows = journal(spark, sf_dir).select("row_id", F.sha2(F.col("row_id").cast("string"), 256).alias("k"), F.explode(F.array(F.concat(F.lit("s"), "state"), F.concat(F.lit("h"), F.hour("ts").cast("string")))).alias("v"))
     return rows.groupBy("v").agg(F.min_by("row_id", "k").alias("row_id")).select("row_id").distinct()
+
+
+@query(f"WITH {feature_plans.DUCK_PAIRS}, x AS (SELECT *, CASE WHEN row_id IS NOT NULL AND row_id % 11 = 0 THEN true ELSE false END AS excluded FROM (SELECT p.*, e.row_id FROM pairs p LEFT JOIN ev e ON p.channel_id = e.channel_id AND p.ts = e.ts)) SELECT channel_id, t, count(ts) AS event_count_24h, count(*) FILTER (WHERE alarm) AS alarm_count_24h, count(*) FILTER (WHERE excluded) AS excluded_quality_count_24h, count(value) FILTER (WHERE NOT excluded) AS numeric_count_24h, round(median(value) FILTER (WHERE NOT excluded), 6) AS numeric_median_24h, round(max(value) FILTER (WHERE NOT excluded) - min(value) FILTER (WHERE NOT excluded), 6) AS numeric_range_24h FROM x GROUP BY 1, 2")
+def e01_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = journal(spark, sf_dir).withColumn("excluded", F.col("row_id") % 11 == 0)
+    got = features.snapshot(feature_plans.grid(spark, sf_dir), ev, [6, 24])
+    return got.select("channel_id", "t", "event_count_24h", "alarm_count_24h", "excluded_quality_count_24h", "numeric_count_24h", F.round("numeric_median_24h", 6).alias("numeric_median_24h"), F.round("numeric_range_24h", 6).alias("numeric_range_24h"))
+
+
+@query(f"WITH ev AS (SELECT * FROM {{ev}}), {feature_plans.DUCK_GRID} SELECT g.channel_id, g.t, count(e.ts) AS n, round(median(e.value), 6) AS median FROM grid g LEFT JOIN ev e ON g.channel_id = e.channel_id AND e.ts > date_trunc('day', g.t) - INTERVAL 192 HOUR AND e.ts < date_trunc('day', g.t) - INTERVAL 24 HOUR GROUP BY 1, 2")
+def e05_frozen_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = features.frozen_baseline(feature_plans.grid(spark, sf_dir), journal(spark, sf_dir), 24, 168, 10, 120)
+    return got.select("channel_id", "t", F.col("baseline_event_count").alias("n"), F.round("baseline_numeric_median", 6).alias("median"))
