@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes looked at together; a longer text is looked at alone.
-BYTES_AT_ONCE = 2_000_000
+BYTES_AT_ONCE = 500_000
 
 
 def runs(column: pa.Array, most: int = BYTES_AT_ONCE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
