@@ -141,7 +141,7 @@ def encoder(file: str, newline_is_space: bool) -> Encoder:
     return Encoder(file, newline_is_space)
 
 
-def little_batches(texts: list[str | None], most: int = 4_000_000) -> Iterable[tuple[int, int]]:
+def little_batches(texts: list[str | None], most: int = 2_000_000) -> Iterable[tuple[int, int]]:
     """Ranges of texts with about `most` characters each, so that memory follows the largest text, not the batch."""
     start = held = 0
     for i, t in enumerate(texts):
