@@ -111,11 +111,27 @@ def within_budget(curve: DataFrame, channel_days: int, most_per_1000: float) ->
     return good.agg(F.max_by(F.struct("threshold", "warnings", "matched"), F.struct("matched", -unmatched, "threshold")).alias("best")).select("best.*")
 
 
+def score_curve(rows: DataFrame, score: str, label: str, ranges: int = 256) -> DataFrame:
+    """For every different score s from the highest down: p and n at it, tp and seen down to it, total positives.
+
+    Scores are dealt into ranges by approximate quantiles; each range has its own running sums, and starts from the
+    totals of the ranges above, of which there are at most `ranges`. So no task sees all scores.
+    """
+    ties = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
+    cuts = ties.agg(F.percentile_approx("s", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []
+    cuts = sorted(set(cuts))
+    above = F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>"), F.lit(0), lambda k, c: k + (c > F.col("s")).cast("int"))
+    dealt = ties.withColumn("range", above)
+    order = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn")).select(F.col("range").alias("r"), F.coalesce(F.sum("rp").over(order), F.lit(0)).alias("p0"), F.coalesce(F.sum("rn").over(order), F.lit(0)).alias("n0"), F.sum("rp").over(Window.partitionBy()).alias("total"))
+    inside = Window.partitionBy("range").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = dealt.join(F.broadcast(starts), F.col("range") == F.col("r"))  # at most `ranges` rows
+    return joined.select("s", "p", "n", (F.col("p0") + F.sum("p").over(inside)).alias("tp"), (F.col("n0") + F.sum("n").over(inside)).alias("seen"), "total")
+
+
 def ranking_metrics(rows: DataFrame, score: str, label: str) -> DataFrame:
     """average_precision and roc_auc; rows of one score stand together."""
-    ties = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = ties.select("s", "p", "n", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("seen"))
+    curve = score_curve(rows, score, label)
     total = F.sum("p")
     ap = F.sum(F.col("p") * F.col("tp") / F.col("seen")) / total
     # Pairs of a positive above a negative, halves for ties: negatives below each positive.

@@ -30,21 +30,21 @@ def z29_partition_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, event_type, value FROM events WHERE event_id < 500")
+@query("SELECT event_id, event_type, value FROM events")
 def s06_stated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.parquet_files(spark, [f"{sf_dir}/events.parquet"], "event_id long, event_type string, value double").where("event_id < 500")
+    return readers.parquet_files(spark, [f"{sf_dir}/events.parquet"], "event_id long, event_type string, value double")
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS id, nullif(trim(c_mktsegment), 'BUILDING') AS kind FROM customer WHERE c_custkey < 500")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, nullif(trim(c_mktsegment), 'BUILDING') AS kind FROM customer")
 def s04_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = sinks.work_path(spark, "dictionary")
-    table(spark, sf_dir, "customer").where("c_custkey < 500").selectExpr("CAST(c_custkey AS STRING) AS id", "CASE WHEN c_mktsegment = 'BUILDING' THEN ' ' ELSE concat(c_mktsegment, ' ') END AS kind").coalesce(1).write.option("header", True).option("ignoreTrailingWhiteSpace", False).csv(path)
+    table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS STRING) AS id", "CASE WHEN c_mktsegment = 'BUILDING' THEN ' ' ELSE concat(c_mktsegment, ' ') END AS kind").write.option("header", True).option("ignoreTrailingWhiteSpace", False).csv(path)
     return readers.dictionary(spark, path, ["id", "kind"], "id")
 
 
-@query("SELECT c_mktsegment AS kind, array_to_string(list_transform(list_sort(list(c_custkey)), lambda x: CAST(x AS VARCHAR)), ',') AS lines FROM customer WHERE c_custkey < 40 GROUP BY 1")
+@query("SELECT c_mktsegment AS kind, array_to_string(list_transform(list_sort(list(c_custkey)), lambda x: CAST(x AS VARCHAR)), ',') AS lines FROM customer GROUP BY 1")
 def s05_state_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").where("c_custkey < 40").selectExpr("c_mktsegment AS kind", "c_custkey AS source_row")
+    rows = table(spark, sf_dir, "customer").selectExpr("c_mktsegment AS kind", "c_custkey AS source_row")
     return readers.state_dictionary(rows, ["kind"]).select("kind", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
 
 
@@ -148,10 +148,8 @@ def k16_low_value_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {scoring.DUCK_POINTS}, t AS (SELECT rule_score AS s, sum(target) AS p, count(*) AS n FROM z GROUP BY 1), c AS (SELECT s, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS seen, sum(p) OVER () AS total FROM t), g AS (SELECT s, tp / seen AS pr, tp / total AS re FROM c) SELECT arg_max(s, (CASE WHEN pr > 0.3 AND re > 0.5 THEN 1 ELSE 0 END, CASE WHEN pr + re > 0 THEN round(2 * pr * re / (pr + re), 9) ELSE 0 END, s)) AS threshold FROM g")
 def a06_goal_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    ties = scoring.labelled(spark, sf_dir).groupBy(F.col("rule_score").alias("s")).agg(F.sum("target").alias("p"), F.count(F.lit(1)).alias("n"))
-    total = F.sum("p").over(Window.partitionBy())
-    g = ties.select("s", (F.sum("p").over(w) / F.sum("n").over(w)).alias("pr"), (F.sum("p").over(w) / total).alias("re"))
+    curve = alerts.score_curve(scoring.labelled(spark, sf_dir), "rule_score", "target")
+    g = curve.select("s", (F.col("tp") / F.col("seen")).alias("pr"), (F.col("tp") / F.col("total")).alias("re"))
     goal, f1 = F.when((F.col("pr") > 0.3) & (F.col("re") > 0.5), 1).otherwise(0), F.when(F.col("pr") + F.col("re") > 0, F.round(2 * F.col("pr") * F.col("re") / (F.col("pr") + F.col("re")), 9)).otherwise(0.0)
     return g.agg(F.max_by("s", F.struct(goal, f1, "s")).alias("threshold"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from tidelog.plans.registry import sql_query
 
 # Projections, filters, predicates.
-sql_query("f01_exclude_columns", "SELECT * EXCEPT (props) FROM {events} WHERE event_id < 500", "SELECT * EXCLUDE (props) FROM {events} WHERE event_id < 500")
+sql_query("f01_exclude_columns", "SELECT * EXCEPT (props) FROM {events}", "SELECT * EXCLUDE (props) FROM {events}")
 sql_query("f02_case_first_match", "SELECT row_id, CASE WHEN alarm THEN 'alarm' WHEN state = 'signup' THEN 'normal' WHEN value < 0 THEN 'negative' ELSE 'other' END AS category FROM {ev}")
 sql_query("f03_null_safe_equality", "SELECT c_custkey, (CASE WHEN c_acctbal < 0 THEN NULL ELSE c_nationkey END) <=> (CASE WHEN c_acctbal < 100 THEN NULL ELSE c_nationkey END) AS same FROM {customer}", "SELECT c_custkey, (CASE WHEN c_acctbal < 0 THEN NULL ELSE c_nationkey END) IS NOT DISTINCT FROM (CASE WHEN c_acctbal < 100 THEN NULL ELSE c_nationkey END) AS same FROM {customer}")
 sql_query("f04_in_between_half_open", "SELECT row_id, channel_id, ts FROM {ev} WHERE state IN ('error', 'signup') AND value BETWEEN 10 AND 60 AND ts >= TIMESTAMP_NTZ '2024-01-05 00:00:00' AND ts < TIMESTAMP_NTZ '2024-01-12 00:00:00'", "SELECT row_id, channel_id, ts FROM {ev} WHERE state IN ('error', 'signup') AND value BETWEEN 10 AND 60 AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00'")
@@ -81,11 +81,11 @@ sql_query("w24_stratified_sample", "SELECT channel_id, row_id FROM (SELECT *, ro
 sql_query("w25_top_quartile_hash", "SELECT channel_id FROM (SELECT channel_id, n, row_number() OVER (ORDER BY n DESC, channel_id) AS r, count(*) OVER () AS c FROM (SELECT channel_id, count(*) AS n FROM {ev} GROUP BY channel_id)) WHERE r <= floor((c + 3) / 4) ORDER BY md5(channel_id) LIMIT 10")
 
 # Sorts, limits, set operations.
-sql_query("o01_multi_key_sort", "SELECT row_id FROM {ev} ORDER BY state, value DESC, row_id LIMIT 200")
+sql_query("o01_multi_key_sort", "SELECT row_id, state, value FROM {ev} ORDER BY state, value DESC, row_id")
 sql_query("o02_limit", "SELECT row_id, ts FROM {ev} ORDER BY ts, row_id LIMIT 25")
 sql_query("o03_latest_per_key", "SELECT channel_id, row_id, state FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY ts DESC, row_id DESC) AS r FROM {ev}) WHERE r = 1")
 sql_query("o04_latest_time_per_key", "SELECT channel_id, max(ts) AS last_at FROM {ev} GROUP BY channel_id")
-sql_query("o05_dashboard_sort", "SELECT channel_id, warning, score FROM (SELECT channel_id, max(CAST(alarm AS INT)) AS warning, CASE WHEN count(*) > 60 THEN round(avg(value), 4) END AS score FROM {ev} GROUP BY channel_id) ORDER BY warning DESC, score IS NOT NULL DESC, coalesce(nullif(score, 0), -1) DESC, channel_id DESC LIMIT 40")
+sql_query("o05_dashboard_sort", "SELECT channel_id, warning, score FROM (SELECT channel_id, max(CAST(alarm AS INT)) AS warning, CASE WHEN count(*) > 60 THEN round(avg(value), 4) END AS score FROM {ev} GROUP BY channel_id) ORDER BY warning DESC, score IS NOT NULL DESC, coalesce(nullif(score, 0), -1) DESC, channel_id DESC")
 sql_query("o06_lexicographic_argmax", "SELECT max_by(state, struct(n, -v)) AS best FROM (SELECT state, count(*) AS n, min(row_id) AS v FROM {ev} GROUP BY state)", "SELECT arg_max(state, (n, -v)) AS best FROM (SELECT state, count(*) AS n, min(row_id) AS v FROM {ev} GROUP BY state)")
 sql_query("o07_union_all", "SELECT s_suppkey AS k, 's' AS kind FROM {supplier} UNION ALL SELECT p_partkey, 'p' FROM {part}")
 sql_query("o08_union_distinct", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}")
@@ -118,7 +118,7 @@ sql_query("z06_full_join_violations", "SELECT count(*) AS violations FROM (SELEC
 sql_query("z07_guard_predicate", "SELECT count(*) AS violations FROM (SELECT ts, array(state, CASE WHEN alarm THEN 'alarm' END) AS a FROM {ev}) WHERE size(filter(a, x -> x NOT IN ('view', 'click'))) > 1 AND NOT (a <=> array('error', 'other')) AND ts > TIMESTAMP_NTZ '2024-01-10 00:00:00'", "SELECT count(*) AS violations FROM (SELECT ts, [state, CASE WHEN alarm THEN 'alarm' END] AS a FROM {ev}) WHERE len(list_filter(a, lambda x: coalesce(x NOT IN ('view', 'click'), false))) > 1 AND a IS DISTINCT FROM ['error', 'other'] AND ts > TIMESTAMP '2024-01-10 00:00:00'")
 sql_query("z08_overlay", "SELECT f.event_id, CASE WHEN c.k IS NOT NULL THEN c.v ELSE f.value END AS value FROM {events} f LEFT JOIN (SELECT event_id AS k, CASE WHEN event_id % 14 = 0 THEN NULL ELSE value * 2 END AS v FROM {events} WHERE event_id % 7 = 0) c ON f.event_id = c.k")
 sql_query("z09_closed_range_join", "SELECT e.row_id, w.k FROM {ev} e JOIN (SELECT CAST(c_custkey AS VARCHAR(20)) AS channel_id, c_custkey AS k FROM {customer}) w ON e.channel_id = w.channel_id AND e.ts BETWEEN TIMESTAMP_NTZ '2024-01-03 00:00:00' AND TIMESTAMP_NTZ '2024-01-04 00:00:00'", "SELECT e.row_id, w.k FROM {ev} e JOIN (SELECT CAST(c_custkey AS VARCHAR(20)) AS channel_id, c_custkey AS k FROM {customer}) w ON e.channel_id = w.channel_id AND e.ts BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-04 00:00:00'")
-sql_query("z10_ordered_lookup", "SELECT CAST(o.ordinal AS BIGINT) AS ordinal, c.c_name FROM (SELECT o_custkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS ordinal FROM {orders}) o JOIN {customer} c ON o.o_custkey = c.c_custkey WHERE o.ordinal <= 50 ORDER BY o.ordinal")
+sql_query("z10_ordered_lookup", "SELECT CAST(o.ordinal AS BIGINT) AS ordinal, o.o_orderkey, c.c_name FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS ordinal FROM {orders}) o JOIN {customer} c ON o.o_custkey = c.c_custkey ORDER BY c.c_name, o.ordinal")
 sql_query("z11_head_and_largest", "SELECT DISTINCT row_id FROM (SELECT row_id FROM (SELECT row_id FROM {ev} ORDER BY ts, row_id LIMIT 20) UNION ALL SELECT row_id FROM (SELECT row_id FROM {ev} ORDER BY value DESC, row_id LIMIT 20) UNION ALL SELECT row_id FROM (SELECT row_id FROM {ev} WHERE alarm ORDER BY ts, row_id LIMIT 20))")
 sql_query("z13_admission_keys", "SELECT e.row_id FROM {ev} e JOIN (SELECT c_custkey FROM {customer} WHERE c_mktsegment = 'BUILDING') c ON e.channel_id = CAST(c.c_custkey AS VARCHAR(20)) WHERE e.state IN ('error', 'signup') AND e.ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'", "SELECT e.row_id FROM {ev} e JOIN (SELECT c_custkey FROM {customer} WHERE c_mktsegment = 'BUILDING') c ON e.channel_id = CAST(c.c_custkey AS VARCHAR(20)) WHERE e.state IN ('error', 'signup') AND e.ts < TIMESTAMP '2024-01-20 00:00:00'")
 sql_query("z14_tolerance_compare", "SELECT count(*) AS n, count(CASE WHEN a.k IS NULL OR b.k IS NULL THEN 1 END) AS missing, count(CASE WHEN abs(a.v - b.v) > 0.005 THEN 1 END) AS different FROM (SELECT event_id AS k, value AS v FROM {events}) a FULL OUTER JOIN (SELECT event_id AS k, CASE WHEN event_id % 50 = 0 THEN value + 0.01 ELSE value + 0.001 END AS v FROM {events} WHERE event_id % 100 <> 1) b ON a.k = b.k")

@@ -88,11 +88,7 @@ def g30_ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DUCK_POINTS}, t AS (SELECT rule_score AS s, sum(target) AS p, count(*) AS n FROM z GROUP BY 1), c AS (SELECT s, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS seen, sum(p) OVER () AS total FROM t) SELECT arg_max(s, (tp / total, tp / seen, s)) AS threshold FROM c WHERE tp / seen >= 0.4")
 def a07_precision_constrained_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    ties = labelled(spark, sf_dir).groupBy(F.col("rule_score").alias("s")).agg(F.sum("target").alias("p"), F.count(F.lit(1)).alias("n"))
-    curve = ties.select("s", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("seen"))
+    curve = alerts.score_curve(labelled(spark, sf_dir), "rule_score", "target")
     return curve.where(F.col("tp") / F.col("seen") >= 0.4).agg(F.max_by("s", F.struct("tp", F.col("tp") / F.col("seen"), "s")).alias("threshold"))
 
 

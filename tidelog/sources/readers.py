@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
     """The first record of a CSV file or folder, without a byte order mark."""
-    row = spark.read.option("multiLine", True).csv(path).limit(1).first()
+    row = spark.read.option("multiLine", True).option("escape", '"').csv(path).limit(1).first()
     names = [] if row is None else [x or "" for x in row]
     return [names[0].removeprefix("﻿"), *names[1:]] if names else []
 
@@ -29,7 +29,7 @@ def strict_csv(spark: SparkSession, path: str, header: list[str], most_rows: int
     if found != header:
         raise ValueError(f"header {found} differs from {header}")
     schema = ", ".join(f"`{c}` string" for c in header)
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("mode", "FAILFAST").option("enforceSchema", True).csv(path)
+    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("mode", "FAILFAST").option("enforceSchema", True).option("escape", '"').csv(path)
     numbered = rows.withColumn("source", F.input_file_name()).withColumn("order_", F.monotonically_increasing_id())
     numbered = numbered.withColumn("source_row", F.row_number().over(Window.partitionBy("source").orderBy("order_")) + 1).drop("order_")
     texts = numbered.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in header], "source", F.col("source_row").cast("long"))
