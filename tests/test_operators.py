@@ -197,10 +197,11 @@ def test_rows_of_one_instant_have_no_order(spark, seed):
 
 def test_stream_machine_sets_late_rows_apart_and_restores(spark):
     channel = shadow.Channel()
-    row = lambda x, effect, i=0: {"ts": h(x), "row_id": i, "state": effect, "effect": effect, "technical": effect == "fault"}
-    tick = lambda x: {"ts": h(x), "row_id": None, "state": None, "effect": None, "technical": False}
+    row = lambda x, effect, i=0: {"ts": h(x), "row_id": i, "state": effect, "effect": effect, "technical": effect == "fault", "blocking": i == 9}
+    tick = lambda x: {"ts": h(x), "row_id": None, "state": None, "effect": None, "technical": False, "blocking": False}
     out = channel.run("c", [row(0, "normal"), tick(1), row(0.5, "fault", 7), tick(2)])
     assert [r[2] for r in out] == ["decision", "late", "decision"] and out[2][3] == "eligible"
+    assert channel.run("c", [row(3, "normal", 9), tick(4), tick(28)])[0][4] == "qa_unusable_measurement_24h" and channel.warned is None
     again = shadow.Channel(channel.dump())
     assert again.dump() == channel.dump()
     with pytest.raises(ValueError):

@@ -21,14 +21,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidelog.operators.alerts import TERMS, THRESHOLD
 from tidelog.operators.ordered import fold
 
-VERSION = 1
+VERSION = 2
 DAY, WEEK = timedelta(hours=24), timedelta(hours=168)
 
 DECISION = "channel_id string, at timestamp_ntz, kind string, admission_status string, reasons string, rule_score double, warning_status string"
 STATE = "payload string"
 
-#: What an input row needs: effect is null for a tick.
-INPUT = ["channel_id", "ts", "row_id", "state", "effect", "technical"]
+#: What an input row needs: effect is null for a tick, blocking marks a measurement that quality rules out for a day.
+INPUT = ["channel_id", "ts", "row_id", "state", "effect", "technical", "blocking"]
 
 
 class Channel:
@@ -39,13 +39,13 @@ class Channel:
         if s["version"] != VERSION:
             raise ValueError(f"state of version {s['version']}, code of version {VERSION}")
         read = lambda x: None if x is None else datetime.fromisoformat(x)
-        self.faults, self.technical, self.completed = ([read(x) for x in s.get(k, [])] for k in ("faults", "technical", "completed"))
+        self.faults, self.technical, self.completed, self.blocked = ([read(x) for x in s.get(k, [])] for k in ("faults", "technical", "completed", "blocked"))
         self.normal, self.opened, self.warned, self.tick, self.seen = (read(s.get(k)) for k in ("normal", "opened", "warned", "tick", "seen"))
         self.uncertain, self.spoilt, self.confident = s.get("uncertain", False), s.get("spoilt", False), s.get("confident", False)
 
     def dump(self) -> str:
         text = lambda x: None if x is None else x.isoformat()
-        lists = {k: [text(x) for x in getattr(self, k)] for k in ("faults", "technical", "completed")}
+        lists = {k: [text(x) for x in getattr(self, k)] for k in ("faults", "technical", "completed", "blocked")}
         return json.dumps({"version": VERSION, **lists, **{k: text(getattr(self, k)) for k in ("normal", "opened", "warned", "tick", "seen")}, "uncertain": self.uncertain, "spoilt": self.spoilt, "confident": self.confident}, sort_keys=True)
 
     def observe(self, at: datetime, rows: list[dict[str, Any]]) -> None:
@@ -55,6 +55,7 @@ class Channel:
         conflict = len({r["state"] for r in rows}) > 1
         self.faults += [at for r in rows if r["effect"] == "fault"]
         self.technical += [at for r in rows if r["technical"]]
+        self.blocked += [at for r in rows if r["blocking"]]
         if conflict:
             self.normal, self.uncertain, self.spoilt = None, True, True
         if "fault" in effects:
@@ -73,7 +74,7 @@ class Channel:
 
     def decide(self, at: datetime) -> tuple[str, str, float | None, str]:
         self.faults, self.completed = ([t for t in x if t > at - WEEK] for x in (self.faults, self.completed))
-        self.technical = [t for t in self.technical if t > at - DAY]
+        self.technical, self.blocked = ([t for t in x if t > at - DAY] for x in (self.technical, self.blocked))
         reasons = []
         if self.seen is None:
             reasons.append("no_observations_in_current_archive_segment")
@@ -84,6 +85,8 @@ class Channel:
                 reasons.append("uncertain_past_registered_state")
             if self.normal is None or at - self.normal > WEEK:
                 reasons.append("no_recent_explicit_normal_at_t")
+            if self.blocked:
+                reasons.append("qa_unusable_measurement_24h")
         self.tick = at
         status = "eligible" if not reasons else "excluded" if self.opened is not None else "unknown"
         if reasons:
@@ -117,9 +120,11 @@ class Channel:
 
 
 def with_ticks(events: DataFrame, start: str, end: str, hours: int) -> DataFrame:
-    """Events and a tick for every channel and hour of [start, end]."""
+    """Events and a tick for every channel and hour of [start, end]; events without `blocking` block nothing."""
+    if "blocking" not in events.columns:
+        events = events.withColumn("blocking", F.lit(False))
     grid = F.explode(F.expr(f"sequence(TIMESTAMP_NTZ '{start}', TIMESTAMP_NTZ '{end}', INTERVAL '{hours}' HOUR)"))
-    ticks = events.select("channel_id").distinct().select("channel_id", grid.alias("ts"), F.lit(None).cast("long").alias("row_id"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("effect"), F.lit(False).alias("technical"))
+    ticks = events.select("channel_id").distinct().select("channel_id", grid.alias("ts"), F.lit(None).cast("long").alias("row_id"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("effect"), F.lit(False).alias("technical"), F.lit(False).alias("blocking"))
     return events.select(*INPUT).unionByName(ticks)
 
 
@@ -151,7 +156,7 @@ def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
     rows = pd.concat(list(frames))
     rows["is_tick"] = rows["effect"].isna()
     rows = rows.sort_values(["ts", "is_tick", "row_id"], kind="stable")
-    events = [{"ts": t.to_pydatetime(), "row_id": None if pd.isna(i) else int(i), "state": s, "effect": None if pd.isna(e) else e, "technical": bool(x)} for t, i, s, e, x in zip(rows["ts"], rows["row_id"], rows["state"], rows["effect"], rows["technical"], strict=True)]
+    events = [{"ts": t.to_pydatetime(), "row_id": None if pd.isna(i) else int(i), "state": s, "effect": None if pd.isna(e) else e, "technical": bool(x), "blocking": bool(b)} for t, i, s, e, x, b in zip(rows["ts"], rows["row_id"], rows["state"], rows["effect"], rows["technical"], rows["blocking"], strict=True)]
     out = channel.run(key[0], events)
     state.update((channel.dump(),))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in DECISION.split(", ")])
