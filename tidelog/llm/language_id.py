@@ -3,7 +3,12 @@
 A text's subwords are the 2-, 3- and 4-byte pieces of its words, in lower case, with a space at either end of
 a word; digits and ASCII punctuation count as space. Each hashes to a row of an embedding table; the mean of
 the rows goes through a linear softmax. A temperature, fitted on rows that training leaves out, makes the
-score a probability, and the rejection bound is the score that REJECT of those rows stay under.
+score a probability.
+
+Rejection is calibrated on those rows too. A text is rejected if it has no letter, if training has met less
+than half the share of its subwords that it has met of all but REJECT of those rows, or if its score is lower
+than all but REJECT of theirs and not a tenth of the way from chance to certainty. Texts in two known languages
+are not rejected.
 
 Training takes a bounded sample, SAMPLE rows at most, dealt evenly over the languages by a hash of the id, and
 gathers hashed counts (BUCKETS numbers a row at most), not texts. Prediction covers every whole text.
@@ -34,7 +39,7 @@ BUCKETS, WIDTH = 1 << 17, 16
 
 EPOCHS, RATE = 6, 0.5
 
-#: Share of the calibration rows that the rejection bound may cost.
+#: Share of the calibration rows that stand under the bounds of rejection.
 REJECT = 0.001
 
 UNKNOWN = "und"
@@ -76,19 +81,21 @@ def subwords(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray,
 @dataclass
 class Model:
     languages: list[str]
-    #: Embeddings times the softmax weights: a row of logits for each bucket, zero for none.
+    #: Embeddings times the softmax weights: a row of logits for each bucket, zero for none; the last column is 1 if training has met it.
     logits: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     bound: float = 0.0
+    least_met: float = 0.0
 
-    def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Probabilities, a row for each text."""
-        total, count = np.zeros((len(bounds) - 1, len(self.languages))), np.zeros(len(bounds) - 1)
+    def scores(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities, a row for each text, and the share of its subwords that training has met."""
+        total, count = np.zeros((len(bounds) - 1, len(self.languages) + 1)), np.zeros(len(bounds) - 1)
         for bucket, first, stop in subwords(data, bounds):
             total += sums(self.logits[bucket], first, stop)
             count += sums((bucket < BUCKETS).astype(np.float32), first, stop)
-        return softmax((total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature)
+        mean = total / np.maximum(count, 1)[:, None]
+        return softmax((mean[:, :-1] + self.bias) / self.temperature), mean[:, -1]
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -123,13 +130,19 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 8) -> Mode
             bias -= rate * 0.1 * g
             e[b] -= (rate * 20) * share[:, None] * back
     e[BUCKETS] = 0
-    model = Model(languages, (e @ w).astype(np.float32), bias.astype(np.float64))
-    raw = np.stack([data[i][2] @ model.logits[data[i][1]] for i in held]) + model.bias
+    met = np.zeros(BUCKETS + 1, np.float32)
+    for i in used.tolist():
+        met[data[i][1]] = 1
+    model = Model(languages, np.column_stack([e @ w, met]).astype(np.float32), bias.astype(np.float64))
+    sums_of = np.stack([data[i][2] @ model.logits[data[i][1]] for i in held])
+    raw = sums_of[:, :-1] + model.bias
     truth = np.array([data[i][0] for i in held])
     tries = np.geomspace(0.05, 20, 60)
     loss = [-np.log(softmax(raw / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in tries]
     model.temperature = float(tries[int(np.argmin(loss))])
-    model.bound = float(min(0.5, np.quantile(softmax(raw / model.temperature).max(axis=1), REJECT)))
+    chance = 1 / len(languages)
+    model.bound = float(min(chance + 0.1 * (1 - chance), np.quantile(softmax(raw / model.temperature).max(axis=1), REJECT)))
+    model.least_met = float(np.quantile(sums_of[:, -1], REJECT)) / 2
     return model
 
 
@@ -174,13 +187,13 @@ def guess(docs: DataFrame, model: Model | None) -> Column:
     def run(texts: pa.Array, letters: pa.Array) -> pa.Array:
         m, n = shared.value, len(texts)
         none = ~letters.to_numpy(zero_copy_only=False).astype(bool) if m else np.ones(n, bool)
-        best, score = np.zeros(n, np.int64), np.zeros(n)
+        best, score, met = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
         for start, stop, data, bounds in runs(texts) if m else ():
-            p = m.scores(data, bounds)
+            p, met[start:stop] = m.scores(data, bounds)
             best[start:stop], score[start:stop] = p.argmax(axis=1), p.max(axis=1)
         names = [*m.languages, UNKNOWN] if m else [UNKNOWN]
         best[none], score[none] = len(names) - 1, 0.0
-        rejected = none | (score < m.bound) if m else none
+        rejected = none | (score < m.bound) | (met < m.least_met) if m else none
         return pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(best)), pa.array(score), pa.array(rejected)], ["lang_pred", "score", "rejected"])
 
     return F.arrow_udf(run, GUESS)(F.col("text").cast("binary"), has_letter())
