@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 A text becomes words that no piece reaches across: runs of space marks with the letters or the signs that follow, and
-line ends. Each different word is worked on once, in Spark SQL: at every place its substrings of one, two and
+line ends. Each different word is worked on once, in Spark SQL: at every place its substrings of one to
 HEAD characters are exploded and equi-joined to the piece table (32,000 pieces under their heads, broadcast);
 of the pieces under a head those stay that the word goes on with. They are grouped by word as edges of a
 lattice, and a higher-order `aggregate` folds over the edges to the word's ids.
@@ -24,10 +24,12 @@ the mark of a space (U+2581) read as a space, as the library does.
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from functools import lru_cache
 from itertools import chain
 
@@ -36,7 +38,7 @@ import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import fresh_path, stored
@@ -50,8 +52,8 @@ SPACE = "▁"
 _SIGN, _OTHER = f"(?:[^\\w{SPACE}\n]|[_²³¹])", "[^\\W_²³¹]"
 WORDS = f"{SPACE}+(?:{_SIGN}+|{_OTHER}*)|{_SIGN}+|{_OTHER}+|\n"
 
-#: Characters of a piece's head.
-HEAD = 3
+#: Characters of a piece's head; few pieces have more, so few stand under one head.
+HEAD = 5
 
 #: Where a long has an edge's rank, its start and its piece's id; its lowest bits have the size.
 RANK_AT, START_AT, ID_AT = 38, 26, 6
@@ -143,6 +145,13 @@ def model(file: str) -> Model:
     return Model(file)
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system, as its worker stays for the next one."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
     """A few rows at a time, so that few texts are Python strings at once."""
     for batch in batches:
@@ -154,6 +163,18 @@ def marked(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+@contextmanager
+def hashed_groups(spark: SparkSession, keys: int = 200_000) -> Iterator[None]:
+    """Lists of up to so many words a task are gathered by hashing; beyond that, and at first by default, by sorting."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, keys)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def word_table(words: DataFrame, file: str) -> DataFrame:
     """(word, n, ids) of words: word, n, each word once."""
     m = model(file)
@@ -270,9 +291,12 @@ def encode(docs: DataFrame, file: str, known: int = KNOWN) -> DataFrame:
                     yield rows_of()
                     counts.clear()
         yield rows_of()
+        counts.clear()
+        give_back()
 
     words = stored(rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    table = stored(word_table(words, file), "words")
+    with hashed_groups(spark):
+        table = stored(word_table(words, file), "words")
     top = fresh_path(spark, "frequent-words")
     table.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(known).select("word", "ids").write.parquet(top)
 
@@ -285,6 +309,8 @@ def encode(docs: DataFrame, file: str, known: int = KNOWN) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([task] * len(new), pa.int32()), pa.array(sorted(new))], ["task", "word"])
                 new = set()
         yield pa.RecordBatch.from_arrays([pa.array([task] * len(new), pa.int32()), pa.array(sorted(new), pa.string())], ["task", "word"])
+        new.clear()
+        give_back()
 
     answers = fresh_path(spark, "wanted-words")
     wanted = stored(rows.mapInArrow(wants, "task int, word string"), "wants").distinct()
@@ -317,6 +343,8 @@ def encode(docs: DataFrame, file: str, known: int = KNOWN) -> DataFrame:
                 same = [bytes(raw[i:k]) == marked(t).replace(SPACE, " ").encode() for t, i, k in zip(texts[a:z], raw_ends[bounds[:-1]].tolist(), raw_ends[bounds[1:]].tolist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(a, z - a), lists, pa.array(same)], ["doc_id", "ids", "round_trip"])
+        del own, other, ids, ends
+        give_back()
 
     return rows.mapInArrow(assemble, "doc_id long, ids array<int>, round_trip boolean")
 
