@@ -76,8 +76,10 @@ def a04_alert_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def a05_threshold_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curve = alerts.threshold_curve(labelled(spark, sf_dir), "rule_score", [4.0, 6.6, 7.1, 8.0, 10.0, 12.0])
-    return alerts.within_budget(curve, 3000, 200.0)
+    rows = labelled(spark, sf_dir)
+    days = rows.select("channel_id", F.to_date("prediction_time")).distinct().count()
+    curve = alerts.threshold_curve(rows, "rule_score", [4.0, 6.6, 7.1, 8.0, 10.0, 12.0])
+    return alerts.within_budget(curve, days, 200.0)
 
 
 @query(f"WITH {DUCK_POINTS}, t AS (SELECT rule_score AS s, sum(target) AS p, count(*) AS n FROM z GROUP BY 1), c AS (SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS seen FROM t) SELECT round(sum(p * tp / seen) / sum(p), 6) AS average_precision, round(sum((n - p) * (tp - p / 2.0)) / (sum(p) * sum(n - p)), 6) AS roc_auc, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS rows FROM c")
