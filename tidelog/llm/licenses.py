@@ -1,8 +1,8 @@
 """License scans by conditional compression.
 
 Candidate blocks are the surroundings of words that licenses use. A block is compressed alone and once with
-each license's template as zstandard raw dictionary; templates are ranked by how many bytes they save, and the
-best RANKED are held against the block word by word. A license is found where one of its wordings lies in the
+each license's template as zstandard raw dictionary; templates are ranked by how many bytes they save, and all
+are held against the block word by word. A license is found where one of its wordings lies in the
 block with at most DIFFERENCES of its words missing, changed or added (so a wording of fewer than 20 words
 has to be there exactly); the differing words are given. What was found is taken out and the rest ranked anew.
 
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 #: Characters of a block, and those kept around a word.
 BLOCK, AROUND = 6000, 1200
 
-#: Templates that are held against the wording, and the share of a wording's words that may differ.
-RANKED, DIFFERENCES = 4, 0.05
+#: The share of a wording's words that may differ.
+DIFFERENCES = 0.05
 
 LEVEL = 9
 
@@ -156,14 +156,14 @@ class Scanner:
         raw = text.encode()
         alone = len(self.plain.compress(raw))
         saved = [((alone - len(c.compress(raw))) / alone, name) for name, c in self.given.items()]
-        return sorted((x for x in saved if x[0] > 0), key=lambda x: (-x[0], x[1]))
+        return sorted(saved, key=lambda x: (-x[0], x[1]))
 
     def _best(self, words: list[re.Match], text: str) -> tuple | None:
         if not words:
             return None
         plain = [w[0] for w in words]
         have, best = set(plain), None
-        for saved, name in self.ranked(text)[:RANKED]:
+        for saved, name in self.ranked(text):
             for wording in self.wordings[name]:
                 may = int(DIFFERENCES * len(wording))
                 if len(wording) > len(plain) + may or sum(w not in have for w in wording) > may:
