@@ -321,7 +321,7 @@ def test_nearest_neighbours(spark):
     v = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
     q = v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     got = defaultdict(list)
-    for r in permutation_index.search(v, q, 20, block=512, least=200).orderBy("query_id", "rank").collect():
+    for r in permutation_index.search(v, q, 20, block=8).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r)
     assert sorted(got) == list(range(0, 3000, 100))
     xd, found = x.astype(np.float64), []
@@ -338,6 +338,39 @@ def test_nearest_neighbours(spark):
     assert permutation_index.search(v.limit(0), q.limit(0), 20).count() == 0
 
 
+def test_vectors_of_each_length_are_searched_on_their_own(spark):
+    rows = [(i, [float(i), 1.0], i, "p", 1, 2) for i in range(1, 30)] + [(100 + i, [float(i), 1.0, 2.0], i, "p", 1, 2) for i in range(1, 30)] + [(200, [5.0], 0, "p", 1, 2)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, size int, block string, asks int, id int")
+    q = v.where("vec_id IN (3, 103, 200)").withColumnRenamed("vec_id", "query_id")
+    got = defaultdict(list)
+    for r in permutation_index.search(v, q, 4, block=0.1).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert dict(got) == {3: [(i, 3.0 * i + 1) for i in (29, 28, 27, 26)], 103: [(100 + i, 3.0 * i + 5) for i in (29, 28, 27, 26)]}
+
+
+def test_ties_go_to_the_smaller_id_at_any_number(spark):
+    axes = np.eye(40)
+    rows = [(i, axes[i % 40].tolist()) for i in range(200)]
+    v = spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>")
+    q = v.where("vec_id IN (5, 45)").withColumnRenamed("vec_id", "query_id")
+    got = defaultdict(list)
+    for r in permutation_index.search(v, q, 8, block=1.5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    others = [(i, 0.0) for i in range(5)]
+    assert dict(got) == {5: [(i, 1.0) for i in (45, 85, 125, 165)] + others[:4], 45: [(i, 1.0) for i in (5, 85, 125, 165)] + others[:4]}
+
+
+def test_registered_search_of_the_table(spark):
+    x = {r.vec_id: np.array(r.embedding, np.float64) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()}
+    got = defaultdict(list)
+    for r in __spark_entry__.queries()["op4_permutation_index"](spark, DATA).orderBy("query_id", "rank").collect():
+        assert r.score == pytest.approx(float(x[r.query_id] @ x[r.vec_id]), abs=1e-12)
+        got[r.query_id].append(r.vec_id)
+    assert sorted(got) == sorted(i for i in x if i % 20 == 0)
+    best = {i: sorted((j for j in x if j != i), key=lambda j: (-float(x[i] @ x[j]), j))[:20] for i in got}
+    assert np.mean([len(set(got[i]) & set(best[i])) / len(best[i]) for i in got]) >= 0.9 and all(len(got[i]) == len(best[i]) for i in got)
+
+
 def test_pipeline(spark, docs):
     kept = docs
     sizes = []

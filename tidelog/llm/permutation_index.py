@@ -1,26 +1,31 @@
 """Approximate nearest neighbours by largest inner product, with a permutation index.
 
-PIVOTS vectors, a bounded sample in the order of a hash, see every vector in an order: from the pivot with the
-largest inner product down. A vector is represented by the first PREFIX pivots of that order and their ranks,
-and posted, with the rank, in the inverted file of each. A query reads the files of its own pivots only and
-adds up, for every vector met there, PREFIX minus the later of the two ranks; that is the Spearman footrule
-distance of the two prefixes up to a constant. The best by footrule are reranked by the exact inner product
-in double precision.
+Pivots see every vector in an order: from the pivot with the largest inner product down. A vector is represented
+by the first PREFIX pivots of that order and their ranks, and posted, with the rank, in the inverted file of each.
+A query reads the files of its own pivots only and adds up, for every vector met there, PREFIX minus the later
+of the two ranks; that is the Spearman footrule distance of the two prefixes up to a constant. The best by
+footrule are reranked by the exact inner product in double precision.
+
+Growth. Pivots are PIVOTS times the square root of the number of entries, a sample in the order of a hash (at
+most PIVOTS_MOST), so a query reads PREFIX squared / PIVOTS times that root in postings; CANDIDATES times the
+root are reranked. Nothing else depends on the size.
 
 Layout. Equal vectors are one entry with their k + 1 least ids (an entry needs no more, as ties go to the
 smaller id), so a vector that a third of the rows share costs one entry. Entries are dealt by a hash into
-blocks of BLOCK with an inverted file each, queries into blocks of QUERIES; each pair of blocks is a task's
-work, and gives k + 1 entries a query. Candidates for the rerank: CANDIDATES times the square root of the
-number of entries, LEAST at least, the same share of every block. Memory follows the block sizes.
-
-Defined results: vectors that are null or zero or hold null or non-finite components, and those of another
-length than most, take no part, neither as query nor as candidate; rows that repeat id and vector count once;
-null ids take no part. A query never finds its own id. With k candidates or fewer a query gets all. Empty
-tables give no rows; other columns are ignored.
+blocks of BLOCK times the root (BLOCK_MOST at most), each moved once and indexed once, in one task; the
+queries, a vector and its prefix each, are sent to every block and stream through it. A block gives k + 1
+entries a query, whatever ties there are. Memory follows BLOCK_MOST.
+
+Defined results: vectors that are null or zero or hold null or non-finite components take no part, neither as query
+nor as candidate; only vectors of one length have an inner product, so each length is searched on its own;
+rows that repeat id and vector count once; null ids take no part. A query never finds its own id. With k
+candidates or fewer a query gets all. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,13 +33,17 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import stored
 
-PIVOTS, PREFIX = 128, 64
+#: Pivots of a vector's representation.
+PREFIX = 64
+
+#: Times the square root of the number of entries: pivots, candidates that are reranked, entries of a block.
+PIVOTS, CANDIDATES, BLOCK = 4, 20, 32
 
-#: Entries of a block of the index, and of a block of queries.
-BLOCK, QUERIES = 4096, 1024
+#: The bound of the sample of pivots, and of a block's entries.
+PIVOTS_MOST, BLOCK_MOST = 1 << 17, 1 << 18
 
-#: Candidates that are reranked: this many times the square root of the entries, and at least so many.
-CANDIDATES, LEAST = 20, 1000
+#: Vectors that are held against all pivots together.
+ROWS = 1024
 
 FOUND = "query long, score double, ids array<long>"
 
@@ -45,83 +54,135 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def ranks(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
+def times_root(factor: float, n: int) -> int:
+    return int(np.ceil(factor * np.sqrt(n)))
+
+
+def prefixes(x: np.ndarray, pivots: np.ndarray, size: int) -> np.ndarray:
     """The first pivots of each vector's order, a row each."""
-    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix]
+    size = min(size, len(pivots))
+    out = np.empty((len(x), size), np.int32)
+    for a in range(0, len(x), ROWS):
+        near = -(x[a : a + ROWS] @ pivots.T)
+        first = np.argpartition(near, size - 1, axis=1)[:, :size]
+        order = np.argsort(np.take_along_axis(near, first, 1), axis=1, kind="stable")
+        out[a : a + ROWS] = np.take_along_axis(first, order, 1)
+    return out
 
 
 class Block:
-    """Inverted files over some vectors."""
-
-    def __init__(self, x: np.ndarray, pivots: np.ndarray, prefix: int):
-        self.x, self.pivots, self.prefix = x, pivots, min(prefix, len(pivots))
-        order = ranks(x, pivots, self.prefix)
-        by_pivot = np.argsort(order.ravel(), kind="stable")
-        self.rows, self.at = np.divmod(by_pivot, self.prefix)
-        self.files = np.searchsorted(order.ravel()[by_pivot], np.arange(len(pivots) + 1))
-
-    def nearness(self, order: np.ndarray) -> np.ndarray:
-        """Of every vector to a query that sees the pivots in this order: the footrule distance, turned round and moved."""
-        cuts = [slice(self.files[p], self.files[p + 1]) for p in order]
-        own = np.repeat(np.arange(self.prefix), [c.stop - c.start for c in cuts])
-        rows, at = np.concatenate([self.rows[c] for c in cuts]), np.concatenate([self.at[c] for c in cuts])
-        return np.bincount(rows, weights=self.prefix - np.maximum(own, at), minlength=len(self.x))
-
-    def search(self, q: np.ndarray, candidates: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query: (places, inner products) of the k best of the candidates, best first."""
-        out = []
-        for query, order in zip(q, ranks(q, self.pivots, self.prefix), strict=True):
-            if candidates < len(self.x):
-                near = self.nearness(order)
-                some = np.sort(np.argpartition(-near, candidates - 1)[:candidates])
-            else:
-                some = np.arange(len(self.x))
-            product = np.einsum("ij,j->i", self.x[some], query)
-            if len(some) > k:  # with ties at the edge
-                edge = np.partition(product, len(some) - k)[len(some) - k]
-                some, product = some[product >= edge], product[product >= edge]
-            out.append((some, product))
-        return out
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, prefix: int = PREFIX, block: int = BLOCK, candidates: int = CANDIDATES, least: int = LEAST) -> DataFrame:
+    """Inverted files over some vectors; `least` holds the least id of each."""
+
+    def __init__(self, x: np.ndarray, least: np.ndarray, pivots: np.ndarray, size: int):
+        self.x, self.least, self.prefix = x, least, min(size, len(pivots))
+        posted = prefixes(x, pivots, size).ravel()
+        order = np.argsort(posted, kind="stable")
+        self.files = np.searchsorted(posted[order], np.arange(len(pivots) + 1))
+        self.rows, self.gain = (order // self.prefix).astype(np.int32), (self.prefix - order % self.prefix).astype(np.int16)
+
+    def nearness(self, prefix: np.ndarray) -> np.ndarray:
+        """Of every vector to a query with this prefix: the footrule distance, turned round and moved."""
+        cuts = [slice(self.files[p], self.files[p + 1]) for p in prefix]
+        rows = np.concatenate([self.rows[c] for c in cuts])
+        gain = np.concatenate([np.minimum(self.gain[c], self.prefix - i) for i, c in enumerate(cuts)])
+        return np.bincount(rows, weights=gain, minlength=len(self.x))
+
+    def search(self, query: np.ndarray, prefix: np.ndarray, candidates: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, inner products) of the k best of the candidates by product, then by least id."""
+        near, most = self.nearness(prefix), min(candidates, len(self.x))
+        some = np.sort(np.argpartition(-near, most - 1)[:most])
+        product = np.einsum("ij,j->i", self.x[some].astype(np.float64), query.astype(np.float64))
+        if len(some) > k:  # all as good as the k-th, of which the least ids stay
+            good = product >= np.partition(product, len(some) - k)[len(some) - k]
+            some, product = some[good], product[good]
+        best = np.lexsort((self.least[some], -product))[:k]
+        return some[best], product[best]
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bool, pa.RecordBatch]]:
+    """(size, block, asks, rows) of rows sorted by these."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(keys[0, a]), int(keys[1, a]), bool(keys[2, a]), b.slice(a, z - a)
+
+
+def _searcher(pivots: dict[int, np.ndarray], shares: dict[int, float], prefix: int, k: int):
+    def answers(index: Block, own: pa.Array, size: int, rows: pa.RecordBatch) -> pa.RecordBatch:
+        q, orders = _matrix(pa.chunked_array([rows.column("embedding")])), _matrix(pa.chunked_array([rows.column("prefix")]))
+        candidates = int(np.ceil(shares[size] * len(index.x))) + k
+        found = [index.search(query, order, candidates, k) for query, order in zip(q, orders, strict=True)]
+        each = [len(some) for some, _ in found]
+        ids = own.take(pa.array(np.concatenate([some for some, _ in found])))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(rows.column("node").to_numpy(), each)), pa.array(np.concatenate([s for _, s in found])), ids], ["query", "score", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, index, own = None, [], None, None
+        for size, block, asks, rows in _segments(batches):
+            if (size, block) != at:
+                at, held, index, own = (size, block), [], None, None
+            if not asks:
+                held.append(rows)
+                continue
+            if not held:
+                continue
+            if index is None:
+                table = pa.Table.from_batches(held)
+                own = table["ids"].combine_chunks()
+                held = held[:1]
+                index = Block(_matrix(table["embedding"]), own.flatten().to_numpy()[own.offsets.to_numpy()[:-1] - own.offsets[0].as_py()], pivots[size], prefix)
+            yield answers(index, own, size, rows)
+
+    return run
+
+
+def _with_prefixes(pivots: dict[int, np.ndarray], prefix: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, lists = b.column("size").to_numpy(), [None] * b.num_rows
+            for size in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == size)
+                own = b.column("embedding").take(pa.array(rows))
+                for i, p in zip(rows.tolist(), prefixes(_matrix(pa.chunked_array([own])), pivots[size], prefix), strict=True):
+                    lists[i] = p
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.list_(pa.int32()))], [*b.schema.names, "prefix"])
+
+    return run
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: float = PIVOTS, prefix: int = PREFIX, block: float = BLOCK, candidates: float = CANDIDATES) -> DataFrame:
     """vectors: vec_id, embedding; queries: query_id, embedding. Rows: query_id, rank from 1, vec_id, score."""
     v = vectors.select(F.col("vec_id").cast("long").alias("id"), "embedding").where(F.col("id").isNotNull() & usable(F.col("embedding")))
     q = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").where(F.col("query_id").isNotNull() & usable(F.col("embedding")))
-    common = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    size = common.n if common else 0
-    v, q = v.where(F.size("embedding") == size), q.where(F.size("embedding") == size)
     first = v.withColumn("r", F.dense_rank().over(Window.partitionBy("embedding").orderBy("id"))).where(F.col("r") <= k + 1)
     both = first.select("embedding", "id", F.lit(False).alias("asks")).unionByName(q.select("embedding", F.lit(None).cast("long").alias("id"), F.lit(True).alias("asks")).distinct())
     entries = both.groupBy("embedding").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.max("asks").alias("asks"))
-    entries = stored(entries.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    n = entries.where(F.size("ids") > 0).count()
-    asking = entries.where("asks").count()
-    sample = entries.where(F.size("ids") > 0).select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(pivots).toArrow()
-    seen = np.array(sample["embedding"].to_pylist(), np.float64).reshape(sample.num_rows, size)
-    share = min(1.0, max(least, candidates * n**0.5) / max(n, 1))
-    blocks, askers = max(1, -(-n // block)), max(1, -(-asking // QUERIES))
-
-    def matrix(table: pa.Table) -> np.ndarray:
-        return table["embedding"].combine_chunks().values.to_numpy().reshape(-1, size).astype(np.float64)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        query, score, ids = [], [], []
-        if left.num_rows and right.num_rows:
-            own = right["ids"].combine_chunks()
-            index = Block(matrix(right), seen, prefix)
-            found = index.search(matrix(left), min(right.num_rows, int(share * right.num_rows) + k + 32), k + 1)
-            for node, (some, product) in zip(left["node"].to_pylist(), found, strict=True):
-                query.append(np.full(len(some), node))
-                score.append(product)
-                ids.append(some)
-        if not query:
-            return pa.table({"query": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "ids": pa.array([], pa.list_(pa.int64()))})
-        return pa.table({"query": np.concatenate(query), "score": np.concatenate(score), "ids": own.take(pa.array(np.concatenate(ids)))})
-
-    data = entries.where(F.size("ids") > 0).select("embedding", "ids", F.pmod(F.xxhash64("embedding"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(askers - 1))).alias("a"))
-    asks = entries.where("asks").select("embedding", "node", F.pmod(F.xxhash64("embedding"), F.lit(askers)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
-    found = asks.groupBy("a", "b").cogroup(data.groupBy("a", "b")).applyInArrow(run, FOUND)
+    entries = stored(entries.select(F.size("embedding").alias("size"), "embedding", "ids", "asks", F.monotonically_increasing_id().alias("node"), F.xxhash64("embedding").alias("hash")), "vectors")
+    data = entries.where(F.size("ids") > 0)
+    counts = {r.size: r.n for r in data.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length of a vector
+    per_size = lambda values: F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("size")) if values else F.lit(0)
+    wanted = {s: min(PIVOTS_MOST, times_root(pivots, n)) for s, n in counts.items()}
+    placed = data.withColumn("r", F.row_number().over(Window.partitionBy("size").orderBy("hash", "embedding"))).where(F.col("r") <= max(wanted.values(), default=0))
+    sample = placed.where(F.col("r") <= per_size(wanted)).select("size", "embedding").toArrow() if counts else None
+    seen = {s: _matrix(sample.filter(pa.compute.equal(sample["size"], s))["embedding"]) for s in counts}
+    shares = {s: min(1.0, times_root(candidates, n) / n) for s, n in counts.items()}
+    blocks = {s: -(-n // min(BLOCK_MOST, times_root(block, n))) for s, n in counts.items()}
+    firsts = dict(zip(blocks, np.cumsum([0, *blocks.values()]).tolist(), strict=False))
+    asks = entries.where("asks").where(F.col("size").isin(list(counts))).select("size", "embedding", "node")
+    asks = asks.mapInArrow(_with_prefixes(seen, prefix), asks.schema.simpleString()[7:-1].replace(":", " ", 3) + ", prefix array<int>") if counts else asks.withColumn("prefix", F.lit(None).cast("array<int>"))
+    none = F.lit(None)
+    dealt = data.select("size", F.pmod("hash", per_size(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), none.cast("long").alias("node"), "embedding", none.cast("array<int>").alias("prefix"), "ids")
+    sent = asks.select("size", F.explode(F.sequence(F.lit(0), per_size(blocks).cast("int") - 1)).alias("block"), F.lit(1).alias("asks"), "node", "embedding", "prefix", none.cast("array<long>").alias("ids"))
+    all_rows = dealt.unionByName(sent).repartitionById(max(1, sum(blocks.values())), (per_size(firsts) + F.col("block")).cast("int"))
+    found = all_rows.sortWithinPartitions("size", "block", "asks").mapInArrow(_searcher(seen, shares, prefix, k + 1), FOUND)
     ranked = found.select("query", "score", F.explode("ids").alias("id")).withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k + 1)
     lists = ranked.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "id", "score"))).alias("near"))
     nodes = q.join(entries.where("asks").select("embedding", "node"), "embedding").select("query_id", "node").distinct()
