@@ -5,8 +5,10 @@ at most PIECE ids, so that a window has several and sums can meet. They are deal
 the two partitions with the largest imbalance are merged, the fullest window of one with the emptiest of the
 other, until one is left. Its windows are near-equal; k rises whenever one exceeds the capacity.
 
-Everything happens where a document is read: no shuffle, no gathered group, memory by batch. Sequence ids
-hold the task's partition, so a task that runs again gives the same ids.
+Everything happens where a document is read: no shuffle, no gathered group, memory by batch. A sequence id holds
+the number of the partition that its documents are read in, as the plan has it beneath the packing, so a task that
+runs again gives the same ids, and whatever later merges, moves or unites partitions leaves them apart. Ids are
+unique within one call; results that are to be united get a different `run_number` each.
 
 Defined results: a null or empty text has only its end id; a text of a whole number of windows has no rest;
 repeated rows are packed each on its own; empty tables give no rows; other columns are ignored.
@@ -20,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,9 @@ PIECE = 256
 #: Pieces of rests that are dealt out together, about.
 BATCH = 1024
 
+#: Where a sequence id has the run and the partition; its lowest bits count.
+RUN_AT, PART_AT = 48, 24
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -129,7 +133,7 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 0, capacity: int = CAPACITY, batch: int = BATCH, piece: int = PIECE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 0, capacity: int = CAPACITY, batch: int = BATCH, piece: int = PIECE, run_number: int = 0) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     names = [x.split()[0] for x in PIECES.split(", ")]
 
@@ -138,8 +142,10 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 0, capacity: int =
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, packer = encoder(tokenizer_file, False), Packer(TaskContext.get().partitionId() << 40, capacity, batch, piece)
+        code, packer = encoder(tokenizer_file, False), None
         for b in batches:
+            if b.num_rows and packer is None:
+                packer = Packer(run_number << RUN_AT | b.column(2)[0].as_py() << PART_AT, capacity, batch, piece)
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for a, z in little_batches(texts):
                 ids, bounds = code.encode(texts[a:z])
@@ -149,7 +155,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 0, capacity: int =
                 pieces = packer.add(doc_ids[a:z], all_ids, np.concatenate([[0], ends]))
                 if pieces:
                     yield rows([p for part in pieces for p in part])
-        if packer.rests:
+        if packer and packer.rests:
             yield rows(packer.flush())
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("part")).mapInArrow(run, PIECES)
