@@ -14,8 +14,11 @@ the space mark mostly), or exceeds LONGEST characters; those words go through th
 
 Assembly. Different words outnumber what one task may hold, so a task knows the KNOWN most frequent words and asks
 for the others it has: its wants are joined to the word table and written to the shared folder by task, and
-the second reading of the texts finds all its words. Texts themselves are never shuffled. A task that cannot
-find a word stops with an error instead of guessing.
+the second reading of the texts finds all its words. Texts themselves are never shuffled. A task goes by the number
+of the partition that its texts are read in, as the plan has it beneath the encoding, so merging or uniting
+partitions later changes nothing. Where texts lie otherwise at the second reading (an input that is not
+the same twice, a scan cut anew after executors were lost), a word that was not asked for goes through the
+same rule with a queue, so ids are right whatever happens.
 
 Defined results: a null or empty text has no ids; characters without a piece become byte pieces; repeated rows give
 repeated results; empty tables give no rows; other columns are ignored. `decode` gives the text back, with
@@ -37,7 +40,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -246,6 +248,21 @@ class Known:
         self.ids, self.ends = lists.values.to_numpy(zero_copy_only=False).astype(np.uint16), lists.offsets.to_numpy().astype(np.int64)
 
 
+class Others(dict):
+    """The place of each word of one task behind those of the frequent ones; a word that is new gets the next place and waits for its ids."""
+
+    def __init__(self, place: dict[str, int], shift: int):
+        super().__init__((w, p + shift) for w, p in place.items())
+        self.new: list[str] = []
+        self.next = shift + len(self)
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        place = self[word] = self.next
+        self.next += 1
+        return place
+
+
 class Spelling:
     """The bytes of many ids at once."""
 
@@ -275,7 +292,7 @@ def frequent(uri: str) -> Known:
 def encode(docs: DataFrame, file: str, known: int = KNOWN) -> DataFrame:
     """One row per document: doc_id, ids, round_trip (decoding gives the text back)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("part"))
     find = re.compile(WORDS).findall
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,8 +318,9 @@ def encode(docs: DataFrame, file: str, known: int = KNOWN) -> DataFrame:
     table.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(known).select("word", "ids").write.parquet(top)
 
     def wants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, task, new = frequent(top).place, TaskContext.get().partitionId(), set()
+        have, task, new = frequent(top).place, 0, set()
         for part in slices(batches):
+            task = part.column(2)[0].as_py()
             for t in part.column(1).to_pylist():
                 new.update(w for w in find(marked(t)) if w not in have)
             if len(new) > 50_000:
@@ -318,21 +336,25 @@ def encode(docs: DataFrame, file: str, known: int = KNOWN) -> DataFrame:
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, all_know = model(file), frequent(top)
-        own = Known(_read(f"{answers}/task={TaskContext.get().partitionId()}"))
-        shift = len(all_know.place)
-        ids = np.concatenate([all_know.ids, own.ids])
-        ends = np.concatenate([all_know.ends, own.ends[1:] - own.ends[0] + all_know.ends[-1]])
-
-        get = all_know.place.get
-        other = own.place
-        out = Spelling(m.out)
+        get, other, out = all_know.place.get, None, Spelling(m.out)
         for part in slices(batches):
+            if other is None:
+                own = Known(_read(f"{answers}/task={part.column(2)[0].as_py()}"))
+                ids = np.concatenate([all_know.ids, own.ids])
+                ends = np.concatenate([all_know.ends, own.ends[1:] - own.ends[0] + all_know.ends[-1]])
+                other = Others(own.place, len(all_know.place))
+                del own
             doc_ids, texts = part.column(0), part.column(1).to_pylist()
             for a, z in little_batches(texts, 500_000):
                 split = [find(marked(t)) for t in texts[a:z]]
                 counts = np.fromiter(map(len, split), np.int64, z - a)
                 flat = chain.from_iterable(split)
-                at = np.fromiter((p if (p := get(w)) is not None else other[w] + shift for w in flat), np.int64, int(counts.sum()))
+                at = np.fromiter((p if (p := get(w)) is not None else other[w] for w in flat), np.int64, int(counts.sum()))
+                if other.new:
+                    found = [m.merge(w) for w in other.new]
+                    other.new = []
+                    ids = np.concatenate([ids, np.array(list(chain.from_iterable(found)), ids.dtype)])
+                    ends = np.concatenate([ends, ends[-1] + np.cumsum([len(x) for x in found])])
                 begin = ends[at]
                 size = ends[at + 1] - begin
                 before = np.cumsum(size) - size
@@ -343,7 +365,7 @@ def encode(docs: DataFrame, file: str, known: int = KNOWN) -> DataFrame:
                 same = [bytes(raw[i:k]) == marked(t).replace(SPACE, " ").encode() for t, i, k in zip(texts[a:z], raw_ends[bounds[:-1]].tolist(), raw_ends[bounds[1:]].tolist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(a, z - a), lists, pa.array(same)], ["doc_id", "ids", "round_trip"])
-        del own, other, ids, ends
+        other = ids = ends = None
         give_back()
 
     return rows.mapInArrow(assemble, "doc_id long, ids array<int>, round_trip boolean")
