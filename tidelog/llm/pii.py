@@ -8,6 +8,11 @@ written with the same separators, takes its stead. The mapping is one to one for
 equal values stay linked across documents however they are spaced, and `reverse` undoes it. E-mail names
 and hosts and secrets (access keys, passwords, tokens) are permuted letter for letter, digit for digit.
 
+A value of more than CHUNK characters is permuted in chunks of so many, forwards and then backwards, and a chunk's
+permutation depends on its place and on all that was made before it. So every character of the result
+depends on every character of the value, and the time follows its length. A secret is permuted again until
+the result is of its own kind (access key, digits, hexadecimal, other), which is what `reverse` goes by.
+
 Only values change; a text without any stays as it is, byte for byte. Texts without a digit, '@' or '=' never
 leave the JVM. Defined results: null stays null and empty stays empty; numbers that fail validation stay; the
 same row twice gives the same text twice; empty tables give no rows; other columns pass unchanged.
@@ -18,6 +23,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -27,6 +33,9 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 
+#: Characters of a value that one permutation takes.
+CHUNK = 64
+
 #: A key for tests and examples; a deployment passes its own.
 EXAMPLE_KEY = b"an example key, not for production"
 
@@ -86,8 +95,31 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _chunked(text: str, form: str, permute: Feistel, one: Callable[[str, str, Feistel], str]) -> str:
+    """`one` over a text of any length."""
+    if len(text) <= CHUNK:
+        return one(text, form, permute)
+    parts = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
+    forwards = range(len(parts))
+    for way, places in reversed([("on", forwards), ("back", forwards[::-1])]) if permute.reverse else (("on", forwards), ("back", forwards[::-1])):
+        made = hashlib.blake2b(f"{form}:{way}:{len(text)}".encode(), key=permute.key, digest_size=16)
+        for i in places:
+            before, old = made.hexdigest(), parts[i]
+            parts[i] = one(old, f"{form}:{way}:{i}:{before}", permute)
+            made.update((old if permute.reverse else parts[i]).encode())
+    return "".join(parts)
+
+
 def _letters(text: str, form: str, permute: Feistel) -> str:
     """Letters for letters of their case, digits for digits; anything else stays."""
+    return _chunked(text, form, permute, _few_letters)
+
+
+def _hexadecimal(text: str, form: str, permute: Feistel) -> str:
+    return _chunked(text, form, permute, lambda x, f, p: format(p(int(x, 16), 16 ** len(x), f"{f}{len(x)}"), f"0{len(x)}x"))
+
+
+def _few_letters(text: str, form: str, permute: Feistel) -> str:
     ranges = {c: (base, n) for base, n, chars in ((97, 26, "abcdefghijklmnopqrstuvwxyz"), (65, 26, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (48, 10, "0123456789")) for c in chars}
     value, size = 0, 1
     for c in text:
@@ -207,14 +239,24 @@ def _email(m: re.Match, permute: Feistel) -> str:
     return _letters(name, "name", permute) + "@" + ".".join([*(_letters(x, "host", permute) for x in labels), top])
 
 
+def _kind(value: str) -> str:
+    """What a secret is by its look; empty if it is none."""
+    if not any("0" <= c <= "9" for c in value):
+        return ""
+    if re.fullmatch("[0-9]+", value):
+        return "digits"
+    return "hex" if re.fullmatch("[0-9a-f]+", value) else "key" if value.startswith(("AKIA", "ASIA")) else "secret"
+
+
 def _secret(m: re.Match, permute: Feistel) -> str | None:
-    lead, value = m["lead"] or "", m["value"]
-    if not any(c.isdigit() for c in value):
+    value, kind = m["value"], _kind(m["value"])
+    if not kind:
         return None
-    if re.fullmatch("[0-9a-f]+", value):
-        return lead + format(permute(int(value, 16), 16 ** len(value), f"hex{len(value)}"), f"0{len(value)}x")
-    fixed = 4 if value.startswith(("AKIA", "ASIA")) else 0
-    return lead + value[:fixed] + _letters(value[fixed:], "secret", permute)
+    fixed, new = 4 if kind == "key" else 0, value
+    while True:
+        new = new[:fixed] + (_hexadecimal if kind == "hex" else _letters)(new[fixed:], kind if kind == "hex" else "secret", permute)
+        if _kind(new) == kind:
+            return (m["lead"] or "") + new
 
 
 #: Fixed patterns, tried in this order at each place of a text; a group's name is the format.
@@ -244,22 +286,26 @@ class Pseudonyms:
 
     def __call__(self, text: str) -> tuple[str, int]:
         """(text, values replaced). Of values that overlap the first form's stays."""
-        spans: list[tuple[int, int, str]] = []
-        taken: list[tuple[int, int]] = []
+        spans: list[tuple[int, int, str]] = []  # by place
+        starts: list[int] = []
         for pattern, new, need in self.forms:
             if need and not any(c in text for c in need) and not (new is _secret and any(a in text for a in self.access)):
                 continue
+            found = []
             for m in pattern.finditer(text):
-                if any(a < m.end() and m.start() < z for a, z in taken):
+                i = bisect_left(starts, m.end())  # what was taken begins before its end, or behind it
+                if i and spans[i - 1][1] > m.start():
                     continue
                 made = new(m, self.permute)
                 if made is not None:
-                    spans.append((m.start(), m.end(), made))
-            taken = [(a, z) for a, z, _ in spans]
+                    found.append((m.start(), m.end(), made))
+            if found:
+                spans = sorted(spans + found)
+                starts = [a for a, _, _ in spans]
         if not spans:
             return text, 0
         out, at = [], 0
-        for a, z, made in sorted(spans):
+        for a, z, made in spans:
             out += [text[at:a], made]
             at = z
         return "".join([*out, text[at:]]), len(spans)
