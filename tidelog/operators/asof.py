@@ -28,6 +28,18 @@ def asof_last(points: DataFrame, facts: DataFrame, by: list[str], at: str, fact_
     return out.select("point_.*", F.col("found_").alias(payload))
 
 
+def running_max(points: DataFrame, facts: DataFrame, by: list[str], at: str, fact_at: str, value: str, name: str) -> DataFrame:
+    """points with `name`: the greatest value of the facts at or before each point; null if none.
+
+    With spans as facts (start, end as the value) it tells whether a span that began by then reaches a time.
+    """
+    left = points.select(*by, F.col(at).alias("o_"), F.lit(1).alias("side_"), F.struct(*points.columns).alias("point_"), F.lit(None).cast(facts.schema[value].dataType).alias("v_"))
+    right = facts.select(*by, F.col(fact_at).alias("o_"), F.lit(0).alias("side_"), F.lit(None).cast(left.schema["point_"].dataType).alias("point_"), F.col(value).alias("v_"))
+    window = Window.partitionBy(*by).orderBy("o_", "side_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = left.unionByName(right).withColumn("found_", F.max("v_").over(window)).where("side_ = 1")
+    return out.select("point_.*", F.col("found_").alias(name))
+
+
 def trailing_sums(points: DataFrame, facts: DataFrame, by: list[str], at: str, fact_at: str, values: dict[str, Column], hours: list[int]) -> DataFrame:
     """points with `name_{h}h` for every value and window: its sum over facts in (at - h, at].
 
@@ -60,6 +72,8 @@ def window_rows(points: DataFrame, facts: DataFrame, by: list[str], at: str, fac
     same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"f_{c}") for c in by])
     inside = (F.col(f"f_{fact_at}") > far) & (F.col(f"f_{fact_at}") <= F.col(at))
     hits = keyed.join(f, same & (F.col("b_") == F.col("fb_")) & inside).drop("b_", "fb_")
-    missing = points.join(hits.select(*points.columns).distinct(), points.columns, "left_anti")
+    # Whether a point has facts depends on its key and time alone, so only these are compared: other columns may be null.
+    met = hits.select(*[F.col(c).alias(f"m_{i}") for i, c in enumerate([*by, at])]).distinct()
+    missing = points.join(met, reduce(lambda x, y: x & y, [F.col(c) == F.col(f"m_{i}") for i, c in enumerate([*by, at])]), "left_anti")
     nulls = [F.lit(None).cast(t.dataType).alias(t.name) for t in hits.schema if t.name not in points.columns]
     return hits.unionByName(missing.select("*", *nulls))

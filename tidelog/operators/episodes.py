@@ -19,105 +19,109 @@ from tidelog.operators.ordered import fold
 def collapse(events: DataFrame) -> DataFrame:
     """One row a (channel_id, segment, ts) of events with row_id, state, effect: what an unordered instant says.
 
-    conflict: several states; kind: fault, normal, neutral, uncertain or conflict.
+    conflict: several states, or several sensor types; kind: fault, normal, neutral, uncertain or conflict.
+    own_type: the instant's sensor type, among several that of its faults; null where that is not one. Events without
+    a column sensor_type have one type for good.
     """
-    at = events.groupBy("channel_id", "segment", "ts").agg(
-        (F.countDistinct("state") > 1).alias("conflict"), F.count(F.when(F.col("effect") == "fault", 1)).alias("faults"), F.min(F.when(F.col("effect") == "fault", F.col("row_id"))).alias("first_row_id"),
-        F.bool_and(F.col("effect") == "normal").alias("all_normal"), F.bool_or(F.col("effect") == "uncertain").alias("any_uncertain"),
+    typed = events if "sensor_type" in events.columns else events.withColumn("sensor_type", F.lit(None).cast("string"))
+    kind, state, fault = F.col("sensor_type"), F.col("state"), F.col("effect") == "fault"
+    several = F.coalesce(F.min(kind) != F.max(kind), F.lit(False)) | ((F.count(kind) > 0) & (F.count(kind) < F.count(F.lit(1))))
+    of_faults = F.when(fault, kind)
+    at = typed.groupBy("channel_id", "segment", "ts").agg(
+        (F.coalesce(F.min(state) != F.max(state), F.lit(False)) | several).alias("conflict"), F.count(F.when(fault, 1)).alias("faults"), F.min(F.when(fault, F.col("row_id"))).alias("first_row_id"),
+        F.min(F.when(fault, F.struct("row_id", "sensor_type")))["sensor_type"].alias("fault_type"), F.bool_and(F.col("effect") == "normal").alias("all_normal"), F.bool_or(F.col("effect") == "uncertain").alias("any_uncertain"),
+        F.when(~several, F.max(kind)).when(F.min(of_faults) == F.max(of_faults), F.max(of_faults)).alias("own_type"),
     )
-    kind = F.when(F.col("conflict"), "conflict").when(F.col("faults") > 0, "fault").when(F.col("all_normal"), "normal").when(F.col("any_uncertain"), "uncertain").otherwise("neutral")
-    return at.select("*", kind.alias("kind"))
+    said = F.when(F.col("conflict"), "conflict").when(F.col("faults") > 0, "fault").when(F.col("all_normal"), "normal").when(F.col("any_uncertain"), "uncertain").otherwise("neutral")
+    return at.select("*", said.alias("kind"))
+
+
+def typed_instants(events: DataFrame) -> DataFrame:
+    """Instants with the channel's sensor type then, and the run of instants of one type they lie in.
+
+    An instant without a type keeps the one before it in the segment; another type begins a run, into which
+    nothing is carried.
+    """
+    w = Window.partitionBy("channel_id", "segment").orderBy("ts")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = collapse(events).withColumn("sensor_type", F.last("own_type", ignorenulls=True).over(upto))
+    changed = (F.row_number().over(w) > 1) & ~F.col("sensor_type").eqNullSafe(F.lag("sensor_type").over(w))
+    return rows.withColumn("changed", changed).withColumn("run", F.sum(F.col("changed").cast("int")).over(upto))
 
 
 def state_timeline(events: DataFrame) -> DataFrame:
     """Per (channel, segment, ts): the registered state after it: normal_at, active, uncertain; adverse: whether it speaks against health.
 
-    A fault opens, a normal closes; conflicts and unclear texts make the state uncertain until the next normal.
+    A fault opens, a normal closes; conflicts and unclear texts make the state uncertain until the next normal;
+    another sensor type starts afresh, and is adverse itself.
     """
-    w = Window.partitionBy("channel_id", "segment").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("channel_id", "segment", "run").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kind = F.col("kind")
     last = lambda cond: F.max(F.when(cond, F.col("ts"))).over(w)
-    rows = collapse(events).withColumns({
+    rows = typed_instants(events).withColumns({
         "n_": last(kind == "normal"), "u_": last(kind.isin("uncertain", "conflict")), "f_": last((F.col("faults") > 0)), "clear_f_": last((kind == "fault")),
     })
     since_normal = lambda c: F.coalesce(F.col(c) > F.col("n_"), F.col(c).isNotNull() & F.col("n_").isNull())
     spoilt = F.greatest("u_", "f_")
     uncertain = since_normal("u_") & F.coalesce(F.col("clear_f_") < F.col("u_"), F.lit(True))
-    return rows.select("channel_id", "segment", "ts", "kind", "faults", "first_row_id", F.when(F.coalesce(F.col("n_") > spoilt, F.col("n_").isNotNull()), F.col("n_")).alias("normal_at"), since_normal("f_").alias("active"), uncertain.alias("uncertain"), kind.isin("fault", "uncertain", "conflict").alias("adverse"))
-
-
-class _Catalogue:
-    """Registered episodes of one channel and segment: opened by a fault, ended by the next clear normal."""
-
-    def __init__(self, key: tuple, recent: timedelta):
-        self.key, self.recent = key, recent
-        self.normal_at: datetime | None = None
-        self.uncertain = False
-        self.open: dict | None = None
-
-    def _row(self, e: dict, end: datetime | None, status: str) -> tuple:
-        return (f"{self.key[0]}:{e['start'].isoformat()}:{e['row']}", *self.key, e["start"], end, e["onset"], status, e["prior"], e["row"], e["last"], e["count"], e["unclear"])
-
-    def _onset(self, at: datetime, conflict: bool) -> str:
-        if conflict:
-            return "conflicted_same_timestamp"
-        if self.uncertain:
-            return "uncertain_prior_state"
-        if self.normal_at is None:
-            return "left_censored"
-        return "candidate_new_onset" if timedelta(0) < at - self.normal_at <= self.recent else "stale_normal"
-
-    def step(self, r: dict) -> Iterable[tuple]:
-        at, kind = r["ts"], r["kind"]
-        if kind == "conflict":
-            self.normal_at, self.uncertain = None, True
-            if self.open:
-                self.open["unclear"] = True
-        if r["faults"]:
-            if self.open:
-                self.open["count"] += r["faults"]
-                self.open["last"] = at
-            else:
-                self.open = {"start": at, "row": r["first_row_id"], "onset": self._onset(at, kind == "conflict"), "prior": self.normal_at, "last": at, "count": r["faults"], "unclear": kind == "conflict"}
-            self.normal_at = None
-        elif kind == "normal":
-            done, self.open = self.open, None
-            self.normal_at, self.uncertain = at, False
-            if done:
-                return [self._row(done, at, "exact_norma_after_uncertainty" if done["unclear"] else "exact_norma")]
-        elif kind == "uncertain":
-            self.normal_at, self.uncertain = None, True
-            if self.open:
-                self.open["unclear"] = True
-        return []
-
-    def finish(self) -> Iterable[tuple]:
-        return [self._row(self.open, None, "open_unknown")] if self.open else []
-
-
-EPISODE = "episode_id string, channel_id string, segment int, start_at timestamp_ntz, end_at timestamp_ntz, onset_status string, end_status string, prior_normal_at timestamp_ntz, first_row_id long, last_fault_at timestamp_ntz, fault_count long, uncertain boolean"
+    return rows.select(
+        "channel_id", "segment", "ts", "kind", "sensor_type", "faults", "first_row_id", F.when(F.coalesce(F.col("n_") > spoilt, F.col("n_").isNotNull()), F.col("n_")).alias("normal_at"),
+        since_normal("f_").alias("active"), uncertain.alias("uncertain"), (kind.isin("fault", "uncertain", "conflict") | F.col("changed")).alias("adverse"),
+    )
 
 
 def registered_episodes(events: DataFrame, recent_hours: int = 168) -> DataFrame:
-    """The catalogue of episodes of events (channel_id, segment, ts, row_id, state, effect)."""
-    recent = timedelta(hours=recent_hours)
-    return fold(collapse(events).select("channel_id", "segment", "ts", "kind", "faults", "first_row_id"), ["channel_id", "segment"], ["ts"], lambda key: _Catalogue(key, recent), EPISODE)
+    """The catalogue of episodes of events (channel_id, segment, ts, row_id, state, effect, and sensor_type if known).
+
+    An episode is what lies between the first fault after a clear normal and the next clear normal, inside one run of
+    a sensor type. onset_status: conflicted_same_timestamp, uncertain_prior_state, left_censored, candidate_new_onset or
+    stale_normal; end_status: exact_norma, exact_norma_after_uncertainty, open_type_or_archive_boundary (the channel
+    goes on with another type or segment) or open_unknown. No fold: islands of a running count, and one aggregate.
+    """
+    run = ["channel_id", "segment", "run"]
+    upto = Window.partitionBy(*run).orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kind, ts, fault = F.col("kind"), F.col("ts"), F.col("faults") > 0
+    islands = typed_instants(events).withColumn("island", F.sum((kind == "normal").cast("int")).over(upto))
+    unclear = kind.isin("conflict", "uncertain")
+    sums = islands.groupBy(*run, "island").agg(
+        F.min(F.when(fault, F.struct("ts", "first_row_id", "fault_type", "kind"))).alias("first"), F.max(F.when(kind == "normal", ts)).alias("normal_at"), F.sum("faults").alias("fault_count"),
+        F.max(F.when(fault, ts)).alias("last_fault_at"), F.min(F.when(unclear, ts)).alias("unclear_from"), F.max(F.when(unclear, ts)).alias("unclear_to"),
+    )
+    place = F.struct(F.coalesce("segment", F.lit(-1)), F.col("run"))
+    ended = sums.withColumn("end_at", F.lead("normal_at").over(Window.partitionBy(*run).orderBy("island"))).withColumn("goes_on", F.max(place).over(Window.partitionBy("channel_id")) > place)
+    start, conflicted, before = F.col("first.ts"), F.col("first.kind") == "conflict", F.coalesce(F.col("unclear_from") < F.col("first.ts"), F.lit(False))
+    recent = start <= F.col("normal_at") + F.expr(f"INTERVAL '{recent_hours}' HOUR")
+    onset = F.when(conflicted, "conflicted_same_timestamp").when(before, "uncertain_prior_state").when(F.col("normal_at").isNull(), "left_censored").when(recent, "candidate_new_onset").otherwise("stale_normal")
+    spoilt = F.coalesce(F.col("unclear_to") >= start, F.lit(False))
+    end_status = F.when(F.col("end_at").isNotNull(), F.when(spoilt, "exact_norma_after_uncertainty").otherwise("exact_norma")).when(F.col("goes_on"), "open_type_or_archive_boundary").otherwise("open_unknown")
+    iso = F.concat(F.date_format(start, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.date_format(start, "SSSSSS") == "000000", "").otherwise(F.concat(F.lit("."), F.date_format(start, "SSSSSS"))))
+    return ended.where("first IS NOT NULL").select(
+        F.concat_ws(":", "channel_id", iso, F.col("first.first_row_id")).alias("episode_id"), "channel_id", "segment", F.col("first.fault_type").alias("sensor_type"), start.alias("start_at"), "end_at", onset.alias("onset_status"), end_status.alias("end_status"),
+        F.when(~(conflicted | before), F.col("normal_at")).alias("prior_normal_at"), F.col("first.first_row_id").alias("first_row_id"), "last_fault_at", "fault_count", spoilt.alias("uncertain"),
+    )
 
 
 def registered_labels(points: DataFrame, events: DataFrame, episodes: DataFrame, observed_until: str, horizon_hours: int = 24, recent_hours: int = 168) -> DataFrame:
-    """points (channel_id, segment, segment_end, t) with target, label_status, reason, available_at, episode_id.
+    """points (channel_id, segment, segment_end, t, and sensor_type if known) with target, label_status, reason, available_at, episode_id.
 
-    Rules in order: an active episode excludes; no history, an uncertain state or no recent normal leave it
+    Rules in order: an episode of the same type that another type or segment cut off leaves it unknown, one that is
+    active excludes; no history of the same type, an uncertain state or no recent normal leave it
     unknown; a confident onset in (t, t + horizon] before anything adverse is positive and known at its onset;
     anything adverse there leaves it unknown, as do horizons that reach the end of what is observed or of the
     segment; the rest is negative and known at the horizon's end.
     """
     by = ["channel_id", "segment"]
+    if "sensor_type" not in points.columns:
+        columns = points.columns
+        return registered_labels(points.withColumn("sensor_type", F.lit(None).cast("string")), events, episodes, observed_until, horizon_hours, recent_hours).drop("sensor_type").select(*columns, "target", "label_status", "reason", "available_at", "episode_id")
     timeline = state_timeline(events)
-    onsets = episodes.where("onset_status = 'candidate_new_onset'").select(*by, F.col("start_at"), "episode_id")
-    p = asof.asof_last(points, timeline.select(*by, "ts", "normal_at", "active", "uncertain"), by, "t", "ts", "now")
+    onsets = episodes.where("onset_status = 'candidate_new_onset'").select(*by, "sensor_type", F.col("start_at"), "episode_id")
+    p = asof.asof_last(points, timeline.select(*by, "ts", F.col("sensor_type").alias("type_now"), "normal_at", "active", "uncertain"), by, "t", "ts", "now")
     p = asof.asof_last(p, timeline.where("adverse").select(*by, "ts"), by, "t", "ts", "adverse", strict=True, forward=True)
-    p = asof.asof_last(p, onsets, by, "t", "start_at", "onset", strict=True, forward=True)
+    p = asof.asof_last(p, episodes.select(*by, "start_at", "end_at", "end_status", F.col("sensor_type").alias("of_type")), by, "t", "start_at", "prior")
+    p = asof.asof_last(p, onsets, [*by, "sensor_type"], "t", "start_at", "onset", strict=True, forward=True)
+    same = F.col("now.type_now").eqNullSafe(F.col("sensor_type"))
+    running = F.col("prior").isNotNull() & F.col("prior.of_type").eqNullSafe(F.col("sensor_type")) & F.coalesce(F.col("prior.end_at") > F.col("t"), F.lit(True))
     until, end = F.lit(observed_until).cast("timestamp_ntz"), F.col("t") + F.expr(f"INTERVAL '{horizon_hours}' HOUR")
     onset_at = F.when((F.col("onset.start_at") <= end) & (F.col("onset.start_at") < until), F.col("onset.start_at"))
     recent = F.coalesce(F.col("t") <= F.col("now.normal_at") + F.expr(f"INTERVAL '{recent_hours}' HOUR"), F.lit(False))
@@ -129,7 +133,9 @@ def registered_labels(points: DataFrame, events: DataFrame, episodes: DataFrame,
 
     none = F.lit(None)
     out = (
-        F.when(F.col("now").isNull(), label(None, "unknown", "no_verified_same_type_history", none, none))
+        F.when(running & (F.col("prior.end_status") == "open_type_or_archive_boundary"), label(None, "unknown", "unresolved_type_or_archive_boundary", none, none))
+        .when(running, label(None, "excluded", "registered_episode_active_at_t", none, none))
+        .when(F.col("now").isNull() | ~same, label(None, "unknown", "no_verified_same_type_history", none, none))
         .when(F.col("now.active"), label(None, "excluded", "registered_episode_active_at_t", none, none))
         .when(F.col("now.uncertain"), label(None, "unknown", "uncertain_state_at_t", none, none))
         .when(~recent, label(None, "unknown", "no_recent_explicit_normal_at_t", none, none))
@@ -148,16 +154,20 @@ def onset_labels(points: DataFrame, episodes: DataFrame, observed: DataFrame, ho
     observed: channel_id, start_at, end_at, status; the whole horizon must lie in one 'include' span (its end may
     be the horizon's end) and touch no 'unknown' span. A point inside an episode, or with an unconfirmed onset ahead, is -1.
     """
-    end = F.col("t") + F.expr(f"INTERVAL '{horizon_hours}' HOUR")
-    base = points.withColumn("h_", end)
-    o = observed.select(F.col("channel_id").alias("oc"), F.col("start_at").alias("os"), F.col("end_at").alias("oe"), "status")
-    spans = base.join(o, (F.col("channel_id") == F.col("oc")) & (F.col("os") <= F.col("h_")) & (F.col("oe") >= F.col("t")), "left").groupBy(*points.columns, "h_").agg(
-        F.coalesce(F.bool_or((F.col("status") == "include") & (F.col("os") <= F.col("t")) & (F.col("oe") >= F.col("h_"))), F.lit(False)).alias("seen"), F.coalesce(F.bool_or(F.col("status") == "unknown"), F.lit(False)).alias("unclear"))
-    e = episodes.select(F.col("channel_id").alias("ec"), "start_at", "end_at", "confirmed")
-    hits = spans.join(e, (F.col("channel_id") == F.col("ec")) & (F.col("start_at") <= F.col("h_")) & (F.col("end_at").isNull() | (F.col("end_at") > F.col("t"))), "left").groupBy(*points.columns, "seen", "unclear").agg(
-        F.bool_or(F.col("start_at") <= F.col("t")).alias("ongoing"), F.bool_or((F.col("start_at") > F.col("t")) & F.col("confirmed")).alias("onset"), F.bool_or((F.col("start_at") > F.col("t")) & ~F.col("confirmed")).alias("unconfirmed"))
-    no = lambda c: F.coalesce(F.col(c), F.lit(False))
-    return hits.select(*points.columns, F.when(~F.col("seen") | F.col("unclear") | no("ongoing"), -1).when(no("onset"), 1).when(no("unconfirmed"), -1).otherwise(0).alias("label"))
+    by = ["channel_id"]
+    base = points.withColumn("h_", F.col("t") + F.expr(f"INTERVAL '{horizon_hours}' HOUR"))
+    end = F.coalesce("end_at", F.lit("9999-12-31").cast("timestamp_ntz"))
+    found = episodes.select("channel_id", "start_at", end.alias("until"), "confirmed")
+    spans = observed.select("channel_id", "start_at", F.col("end_at").alias("until"), "status")
+    p = asof.running_max(base, spans.where("status = 'include'"), by, "t", "start_at", "until", "seen_")
+    p = asof.running_max(p, spans.where("status = 'unknown'"), by, "h_", "start_at", "until", "unclear_")
+    p = asof.running_max(p, found, by, "t", "start_at", "until", "ongoing_")
+    for name, which in (("onset_", F.col("confirmed")), ("unconfirmed_", ~F.col("confirmed"))):
+        p = asof.asof_last(p, found.where(which).select("channel_id", "start_at"), by, "t", "start_at", name, strict=True, forward=True)
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    seen, unclear, ongoing = is_(F.col("seen_") >= F.col("h_")), is_(F.col("unclear_") >= F.col("t")), is_(F.col("ongoing_") > F.col("t"))
+    onset, unconfirmed = (is_(F.col(f"{c}.start_at") <= F.col("h_")) for c in ("onset_", "unconfirmed_"))
+    return p.select(*points.columns, F.when(~seen | unclear | ongoing, -1).when(onset, 1).when(unconfirmed, -1).otherwise(0).alias("label"))
 
 
 class _Hysteresis:

@@ -6,23 +6,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.parse import flags
-from tidelog.functions.timeops import seconds_between
+from tidelog.functions.timeops import ceil_hour, floor_hour, seconds_between
 from tidelog.operators import asof
 
 WINDOWS = [1, 6, 24, 168]
 
 
-def hourly_grid(channels: DataFrame, start: str, end: str, step_hours: int = 1) -> DataFrame:
-    """channel_id, t: every whole hour of [start, end) for every channel, silent ones too."""
-    hours = F.expr(f"sequence(TIMESTAMP_NTZ '{start}', TIMESTAMP_NTZ '{end}' - INTERVAL '{step_hours}' HOUR, INTERVAL '{step_hours}' HOUR)")
-    return channels.select("channel_id").distinct().withColumn("t", F.explode(hours))
+def hours_of(events: DataFrame, at: str = "ts") -> tuple[str, str] | None:
+    """The whole hour at or before the first event, and the one at or after the last; None without events."""
+    got = events.agg(F.min(floor_hour(F.col(at))).cast("string").alias("a"), F.max(ceil_hour(F.col(at))).cast("string").alias("z")).first()
+    return (got.a, got.z) if got.a else None
+
+
+def hourly_grid(channels: DataFrame, hours: tuple[str, str] | None, step_hours: int = 1) -> DataFrame:
+    """channel_id, t: every step from the first to the last of `hours`, both included, for every channel, silent ones too."""
+    if hours is None:
+        return channels.select("channel_id", F.lit(None).cast("timestamp_ntz").alias("t")).limit(0)
+    steps = F.expr(f"sequence(TIMESTAMP_NTZ '{hours[0]}', TIMESTAMP_NTZ '{hours[1]}', INTERVAL '{step_hours}' HOUR)")
+    return channels.select("channel_id").distinct().withColumn("t", F.explode(steps))
 
 
 def window_counts(grid: DataFrame, events: DataFrame, values: dict[str, Column], hours: list[int] = WINDOWS) -> DataFrame:
-    """Counts of every kind in every window; events: channel_id, ts and what the values read."""
+    """Counts of every kind in every window, at any points; events: channel_id, ts and what the values read."""
     return asof.trailing_sums(grid, events, ["channel_id"], "t", "ts", values, hours)
 
 
+def hourly_counts(grid: DataFrame, events: DataFrame, values: dict[str, Column], hours: list[int] = WINDOWS) -> DataFrame:
+    """The same on a grid that has every whole hour of a channel from its first event's on.
+
+    Windows of whole hours that end at a whole hour are unions of hours (t - 1 h, t], so events are added up by
+    hour before the one shuffle; a running sum less the one of `h` rows before is a window's.
+    """
+    names = list(values)
+    cells = events.groupBy("channel_id", ceil_hour(F.col("ts")).alias("t")).agg(*[F.sum(F.coalesce(v.cast("long"), F.lit(0).cast("long"))).alias(n) for n, v in values.items()])
+    both = grid.select("channel_id", "t", F.lit(True).alias("point_"), *[F.lit(0).cast("long").alias(n) for n in names]).unionByName(cells.withColumn("point_", F.lit(False)))
+    order = Window.partitionBy("channel_id").orderBy("t")
+    upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running = both.select("channel_id", "t", "point_", *[F.sum(n).over(upto).alias(n) for n in names]).where("point_")
+    return running.select("channel_id", "t", *[(F.col(n) - F.lag(n, h, 0).over(order)).alias(f"{n}_{h}h") for n in names for h in hours])
+
+
 def numeric_block(pairs: DataFrame, by: list[str], value: str, at: str) -> DataFrame:
     """The eleven statistics of the numbers under each key: exact quantiles, MAD, deviation, slope and delta over medians by time.
 
@@ -61,10 +84,9 @@ def maximum_gap(pairs: DataFrame, by: list[str], at: str, t: str, hours: int) ->
 
 def baseline(events: DataFrame, fits: DataFrame, lookback_hours: int, least_events: int, least_span_hours: int) -> DataFrame:
     """fits (channel_id, fit_end) with counts, median, MAD, dominant state, status and reasons over (fit_end - lookback, fit_end), open at both ends."""
-    far = F.col("fit_end") - F.expr(f"INTERVAL '{lookback_hours}' HOUR")
     by = ["channel_id", "fit_end"]
-    e = events.select(F.col("channel_id").alias("c_"), F.col("ts").alias("ts"), "value", "state")
-    rows = fits.join(e, (F.col("channel_id") == F.col("c_")) & (F.col("ts") > far) & (F.col("ts") < F.col("fit_end"))).drop("c_")
+    e = events.select("channel_id", "ts", "value", "state")
+    rows = asof.window_rows(fits, e, ["channel_id"], "fit_end", "ts", lookback_hours).where("f_ts < fit_end").select(*by, F.col("f_ts").alias("ts"), F.col("f_value").alias("value"), F.col("f_state").alias("state"))
     stats = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("numeric_n"), F.count("state").alias("state_n"), F.expr("percentile(value, 0.5)").alias("median"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
     mad = rows.join(stats.select(*by, F.col("median").alias("m")), by).groupBy(*by).agg(F.expr("percentile(abs(value - m), 0.5)").alias("mad"))
     states = rows.where("state IS NOT NULL").groupBy(*by, "state").count()

@@ -48,8 +48,8 @@ def search(view: DataFrame, text: str, fields: list[Column]) -> DataFrame:
 
 
 def dashboard_order(view: DataFrame) -> DataFrame:
-    """Warnings first, then scored ones, then by score, then id, all downwards."""
-    score = F.coalesce("forecast.score", F.lit(-1.0))
+    """Warnings first, then scored ones, then by score (none or zero counts as -1), then id, all downwards."""
+    score = F.coalesce(F.nullif("forecast.score", F.lit(0.0)), F.lit(-1.0))
     return view.orderBy(F.desc(F.coalesce("forecast.warning", F.lit(False))), F.desc(F.coalesce(F.col("forecast.status") == "scored", F.lit(False))), F.desc(score), F.desc("channel_id"))
 
 

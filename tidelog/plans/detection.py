@@ -1,79 +1,108 @@
-"""Detection, episode and label queries on the driver's journal: error is a fault, signup a normal, view and purchase unclear, click neutral."""
+"""Detection, episode and label queries on the driver's journal: error is a fault, signup a normal, view and purchase unclear, click neutral; points are hourly."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import rules, timeops
 from tidelog.operators import asof, detectors, episodes
+from tidelog.operators.features import hours_of
+from tidelog.plans import features
 from tidelog.plans.registry import journal, query, table
 
 SEGMENTS = [("2024-01-01 00:00:00", "2024-01-16 00:00:00"), ("2024-01-16 00:00:00", "2024-02-01 00:00:00")]
 
 
-def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third hour's events share an instant, so that conflicts occur."""
-    coarse = F.when(F.hour("ts") % 3 == 0, timeops.floor_hour(F.col("ts"))).otherwise(F.col("ts"))
-    ev = journal(spark, sf_dir).withColumn("ts", coarse)
-    return ev.select("row_id", "channel_id", "ts", "state", rules.effect(F.col("state")).alias("effect"), timeops.segment_of(F.col("ts"), SEGMENTS).alias("segment"))
+def sensor_type(at: str) -> Column:
+    """Every third channel gets a sensor of another type on the 9th."""
+    return F.when((F.col("channel_id").cast("int") % 3 == 0) & (F.col(at) >= F.lit("2024-01-09").cast("timestamp_ntz")), "heat").otherwise("smoke")
 
 
-DUCK_STATE = """e AS (SELECT row_id, channel_id, CASE WHEN hour(ts) % 3 = 0 THEN CAST(date_trunc('hour', ts) AS TIMESTAMP) ELSE ts END AS ts, state, CASE state WHEN 'error' THEN 'fault' WHEN 'signup' THEN 'normal' WHEN 'click' THEN 'neutral' ELSE 'uncertain' END AS effect FROM {ev}),
-g AS (SELECT channel_id, CAST(CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS INT) AS segment, ts, count(DISTINCT state) > 1 AS conflict, count(*) FILTER (WHERE effect = 'fault') AS faults, bool_and(effect = 'normal') AS all_normal, bool_or(effect = 'uncertain') AS unclear FROM e GROUP BY 1, 2, 3),
-k AS (SELECT *, CASE WHEN conflict THEN 'conflict' WHEN faults > 0 THEN 'fault' WHEN all_normal THEN 'normal' WHEN unclear THEN 'uncertain' ELSE 'neutral' END AS kind, row_number() OVER (PARTITION BY channel_id, segment ORDER BY ts) AS i FROM g)"""
-#: The state machine itself, a row at a time, as an independent form of the windows.
+def effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third hour's events share an instant, so that conflicts occur; every 17th row tells no sensor type, so its text is unclear."""
+    coarse = F.when(F.hour("ts") % 3 == 0, timeops.floor_hour(F.col("ts"))).otherwise(F.col("ts"))
+    kind = F.when(F.col("row_id") % 17 != 0, sensor_type("ts"))
+    ev = journal(spark, sf_dir).withColumn("ts", coarse).withColumn("sensor_type", kind)
+    effect = F.when(F.col("sensor_type").isNull(), "uncertain").otherwise(rules.effect(F.col("state")))
+    return ev.select("row_id", "channel_id", "ts", "state", "sensor_type", effect.alias("effect"), timeops.segment_of(F.col("ts"), SEGMENTS).alias("segment"))
+
+
+_DUCK_TYPE = "CASE WHEN CAST(channel_id AS INT) % 3 = 0 AND {} >= TIMESTAMP '2024-01-09' THEN 'heat' ELSE 'smoke' END"
+DUCK_STATE = f"""x_raw AS (SELECT row_id, channel_id, CASE WHEN hour(ts) % 3 = 0 THEN CAST(date_trunc('hour', ts) AS TIMESTAMP) ELSE ts END AS ts, state FROM {{ev}}),
+x_typed AS (SELECT *, CASE WHEN row_id % 17 <> 0 THEN {_DUCK_TYPE.format('ts')} END AS sensor_type FROM x_raw),
+x_ev AS (SELECT *, CASE WHEN sensor_type IS NULL THEN 'uncertain' WHEN state = 'error' THEN 'fault' WHEN state = 'signup' THEN 'normal' WHEN state = 'click' THEN 'neutral' ELSE 'uncertain' END AS effect FROM x_typed),
+x_types AS (SELECT channel_id, ts, list_distinct(list(coalesce(sensor_type, '?'))) AS types, list_distinct(list(sensor_type) FILTER (WHERE effect = 'fault')) AS fault_types FROM x_ev GROUP BY 1, 2),
+x_at AS (SELECT channel_id, CAST(CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS INT) AS segment, ts, count(DISTINCT state) > 1 OR any_value(len(types)) > 1 AS conflict, count(*) FILTER (WHERE effect = 'fault') AS faults, bool_and(effect = 'normal') AS all_normal, bool_or(effect = 'uncertain') AS unclear, any_value(CASE WHEN len(types) = 1 THEN nullif(types[1], '?') WHEN len(fault_types) = 1 THEN fault_types[1] END) AS own_type FROM x_ev JOIN x_types USING (channel_id, ts) GROUP BY 1, 2, 3),
+x_in AS (SELECT *, CASE WHEN conflict THEN 'conflict' WHEN faults > 0 THEN 'fault' WHEN all_normal THEN 'normal' WHEN unclear THEN 'uncertain' ELSE 'neutral' END AS kind, row_number() OVER (PARTITION BY channel_id, segment ORDER BY ts) AS i FROM x_at)"""
+#: The state machine itself, a row at a time, as an independent form of the windows: the registered state (normal_at,
+#: active, uncertain), and the catalogue's memory (is_open, starts, onset, c_normal, c_unclear), which a fault clears otherwise.
 DUCK_WALK = f"""{DUCK_STATE},
-w AS (SELECT channel_id, segment, i, ts, kind, CASE WHEN kind = 'normal' THEN ts END AS normal_at, faults > 0 AS active, kind IN ('conflict', 'uncertain') AS uncertain FROM k WHERE i = 1
-UNION ALL SELECT k.channel_id, k.segment, k.i, k.ts, k.kind, CASE WHEN k.kind = 'normal' THEN k.ts WHEN k.kind IN ('conflict', 'fault', 'uncertain') THEN NULL ELSE w.normal_at END, CASE WHEN k.kind = 'normal' THEN false WHEN k.faults > 0 THEN true ELSE w.active END, CASE WHEN k.kind IN ('normal', 'fault') THEN false WHEN k.kind IN ('conflict', 'uncertain') THEN true ELSE w.uncertain END
-FROM w JOIN k ON k.channel_id = w.channel_id AND k.segment = w.segment AND k.i = w.i + 1)"""
+x_walk AS (SELECT DISTINCT channel_id, segment, CAST(0 AS BIGINT) AS i, CAST(NULL AS TIMESTAMP) AS ts, '' AS kind, CAST(0 AS BIGINT) AS faults, CAST(NULL AS VARCHAR) AS type, 0 AS run, CAST(NULL AS TIMESTAMP) AS normal_at, false AS active, false AS uncertain, false AS changed, false AS is_open, false AS starts, '' AS onset, CAST(NULL AS TIMESTAMP) AS c_normal, false AS c_unclear FROM x_in
+UNION ALL SELECT channel_id, segment, i, ts, kind, faults, type, run,
+CASE WHEN kind = 'normal' THEN ts WHEN kind = 'neutral' THEN normal_at END,
+CASE WHEN kind = 'normal' THEN false WHEN faults > 0 THEN true ELSE active END,
+CASE WHEN kind IN ('normal', 'fault') THEN false WHEN kind IN ('conflict', 'uncertain') THEN true ELSE uncertain END,
+changed,
+CASE WHEN faults > 0 THEN true WHEN kind = 'normal' THEN false ELSE is_open END,
+faults > 0 AND NOT is_open,
+CASE WHEN kind = 'conflict' THEN 'conflicted_same_timestamp' WHEN c_unclear THEN 'uncertain_prior_state' WHEN c_normal IS NULL THEN 'left_censored' WHEN ts <= c_normal + INTERVAL 168 HOUR THEN 'candidate_new_onset' ELSE 'stale_normal' END,
+CASE WHEN kind = 'normal' THEN ts WHEN kind = 'neutral' THEN c_normal END,
+CASE kind WHEN 'normal' THEN false WHEN 'conflict' THEN true WHEN 'uncertain' THEN true ELSE c_unclear END
+FROM (SELECT q.* EXCLUDE (normal_at, active, uncertain, is_open, c_normal, c_unclear, run), CASE WHEN fresh THEN run + 1 ELSE run END AS run, i > 1 AND fresh AS changed, CASE WHEN NOT fresh THEN normal_at END AS normal_at, active AND NOT fresh AS active, uncertain AND NOT fresh AS uncertain, is_open AND NOT fresh AS is_open, CASE WHEN NOT fresh THEN c_normal END AS c_normal, c_unclear AND NOT fresh AS c_unclear
+FROM (SELECT k.channel_id, k.segment, k.i, k.ts, k.kind, k.faults, coalesce(k.own_type, w.type) AS type, coalesce(k.own_type, w.type) IS DISTINCT FROM w.type AS fresh, w.run, w.normal_at, w.active, w.uncertain, w.is_open, w.c_normal, w.c_unclear FROM x_walk w JOIN x_in k ON k.channel_id = w.channel_id AND k.segment = w.segment AND k.i = w.i + 1) q) r)"""
+#: Instants of episodes: number counts the starts of a run.
+DUCK_EPISODES = f"""{DUCK_WALK},
+x_inst AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY channel_id, segment, run ORDER BY i) AS number, max((segment, run)) OVER (PARTITION BY channel_id) AS last_run FROM x_walk WHERE i > 0),
+x_eps AS (SELECT channel_id, segment, min(type) FILTER (WHERE starts) AS sensor_type, min(ts) FILTER (WHERE starts) AS start_at, min(ts) FILTER (WHERE kind = 'normal') AS end_at, min(onset) FILTER (WHERE starts) AS onset_status, CAST(sum(CASE WHEN is_open THEN faults ELSE 0 END) AS BIGINT) AS fault_count, bool_or(kind IN ('conflict', 'uncertain') AND is_open) AS spoilt, any_value(last_run > (segment, run)) AS goes_on FROM x_inst WHERE number > 0 GROUP BY channel_id, segment, run, number),
+episodes AS (SELECT *, CASE WHEN end_at IS NOT NULL THEN CASE WHEN spoilt THEN 'exact_norma_after_uncertainty' ELSE 'exact_norma' END WHEN goes_on THEN 'open_type_or_archive_boundary' ELSE 'open_unknown' END AS end_status FROM x_eps)"""
+
+
+@query(f"WITH RECURSIVE {DUCK_WALK} SELECT channel_id, segment, ts, kind, type AS sensor_type, normal_at, active, uncertain, kind IN ('fault', 'uncertain', 'conflict') OR changed AS adverse FROM x_walk WHERE i > 0")
+def k11_state_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return episodes.state_timeline(effects(spark, sf_dir)).select("channel_id", "segment", "ts", "kind", "sensor_type", "normal_at", "active", "uncertain", "adverse")
 
 
-@query(f"WITH RECURSIVE {DUCK_WALK} SELECT channel_id, segment, ts, kind, normal_at, active, uncertain FROM w")
-def k11_state_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return episodes.state_timeline(effects(spark, sf_dir)).select("channel_id", "segment", "ts", "kind", "normal_at", "active", "uncertain")
+@query(f"WITH RECURSIVE {DUCK_EPISODES} SELECT channel_id, segment, sensor_type, start_at, end_at, onset_status, end_status, fault_count FROM episodes")
+def k10_registered_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return episodes.registered_episodes(effects(spark, sf_dir)).select("channel_id", "segment", "sensor_type", "start_at", "end_at", "onset_status", "end_status", "fault_count")
 
 
-#: Episodes: open until a clear normal; onset by the catalogue's memory, which a fault inside an episode also clears.
-DUCK_EPISODES = f"""{DUCK_STATE},
-w AS (SELECT channel_id, segment, i, ts, kind, faults, faults > 0 AS is_open, faults > 0 AS starts, CASE WHEN kind = 'normal' THEN ts END AS normal_at, kind IN ('conflict', 'uncertain') AS unclear, CASE WHEN kind = 'conflict' THEN 'conflicted_same_timestamp' ELSE 'left_censored' END AS onset FROM k WHERE i = 1
-UNION ALL SELECT k.channel_id, k.segment, k.i, k.ts, k.kind, k.faults, CASE WHEN k.faults > 0 THEN true WHEN k.kind = 'normal' THEN false ELSE w.is_open END, k.faults > 0 AND NOT w.is_open,
-CASE WHEN k.kind = 'normal' THEN k.ts WHEN k.kind = 'neutral' THEN w.normal_at END, CASE k.kind WHEN 'normal' THEN false WHEN 'conflict' THEN true WHEN 'uncertain' THEN true ELSE w.unclear END,
-CASE WHEN k.kind = 'conflict' THEN 'conflicted_same_timestamp' WHEN w.unclear THEN 'uncertain_prior_state' WHEN w.normal_at IS NULL THEN 'left_censored' WHEN k.ts <= w.normal_at + INTERVAL 168 HOUR THEN 'candidate_new_onset' ELSE 'stale_normal' END
-FROM w JOIN k ON k.channel_id = w.channel_id AND k.segment = w.segment AND k.i = w.i + 1)"""
+def completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes with a confident onset and a clear end, nothing unclear between."""
+    return episodes.registered_episodes(effects(spark, sf_dir)).where("onset_status = 'candidate_new_onset' AND end_status = 'exact_norma'").select("channel_id", "start_at", "end_at")
 
 
-@query(f"WITH RECURSIVE {DUCK_EPISODES}, n AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY channel_id, segment ORDER BY i) AS number FROM w) SELECT channel_id, segment, min(ts) FILTER (WHERE starts) AS start_at, min(ts) FILTER (WHERE kind = 'normal') AS end_at, min(onset) FILTER (WHERE starts) AS onset_status, CAST(sum(CASE WHEN is_open THEN faults ELSE 0 END) AS BIGINT) AS fault_count FROM n WHERE number > 0 GROUP BY channel_id, segment, number")
-def k10_registered_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return episodes.registered_episodes(effects(spark, sf_dir)).select("channel_id", "segment", "start_at", "end_at", "onset_status", "fault_count")
+DUCK_COMPLETED = f"{DUCK_EPISODES}, completed AS (SELECT channel_id, start_at, end_at FROM episodes WHERE onset_status = 'candidate_new_onset' AND end_status = 'exact_norma')"
 
 
-@query(f"WITH RECURSIVE {DUCK_EPISODES}, n AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY channel_id, segment ORDER BY i) AS number FROM w), p AS (SELECT channel_id, segment, min(onset) FILTER (WHERE starts) AS onset, min(ts) FILTER (WHERE starts) AS s, min(ts) FILTER (WHERE kind = 'normal') AS z, bool_or(kind IN ('conflict', 'uncertain') AND is_open) AS spoilt FROM n WHERE number > 0 GROUP BY channel_id, segment, number) SELECT channel_id, s AS start_at, z AS end_at FROM p WHERE onset = 'candidate_new_onset' AND z IS NOT NULL AND NOT spoilt")
+@query(f"WITH RECURSIVE {DUCK_COMPLETED} SELECT * FROM completed")
 def z12_completed_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = episodes.registered_episodes(effects(spark, sf_dir))
-    return got.where("onset_status = 'candidate_new_onset' AND end_status = 'exact_norma' AND NOT uncertain").select("channel_id", "start_at", "end_at")
+    return completed(spark, sf_dir)
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hours = F.expr("sequence(TIMESTAMP_NTZ '2024-01-05 00:00:00', TIMESTAMP_NTZ '2024-01-30 00:00:00', INTERVAL 12 HOUR)")
-    p = journal(spark, sf_dir).select("channel_id").distinct().withColumn("t", F.explode(hours))
+    p = features.grid(spark, sf_dir)
     segment = timeops.segment_of(F.col("t"), SEGMENTS)
-    return p.select("channel_id", "t", segment.alias("segment"), F.when(segment == 0, F.lit(SEGMENTS[0][1])).otherwise(F.lit(SEGMENTS[1][1])).cast("timestamp_ntz").alias("segment_end"))
-
-
-@query(f"""WITH RECURSIVE {DUCK_EPISODES}, walk AS (SELECT channel_id, segment, i, ts, kind, CASE WHEN kind = 'normal' THEN ts END AS normal_at, faults > 0 AS active, kind IN ('conflict', 'uncertain') AS uncertain FROM k WHERE i = 1
-UNION ALL SELECT k.channel_id, k.segment, k.i, k.ts, k.kind, CASE WHEN k.kind = 'normal' THEN k.ts WHEN k.kind IN ('conflict', 'fault', 'uncertain') THEN NULL ELSE w.normal_at END, CASE WHEN k.kind = 'normal' THEN false WHEN k.faults > 0 THEN true ELSE w.active END, CASE WHEN k.kind IN ('normal', 'fault') THEN false WHEN k.kind IN ('conflict', 'uncertain') THEN true ELSE w.uncertain END
-FROM walk w JOIN k ON k.channel_id = w.channel_id AND k.segment = w.segment AND k.i = w.i + 1),
-p AS (SELECT channel_id, t, CAST(CASE WHEN t < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS INT) AS segment, CASE WHEN t < TIMESTAMP '2024-01-16' THEN TIMESTAMP '2024-01-16' ELSE TIMESTAMP '2024-02-01' END AS segment_end FROM (SELECT DISTINCT channel_id FROM e), (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-30', INTERVAL 12 HOUR)) AS t)),
-s AS (SELECT p.*, walk.ts AS seen, normal_at, active, uncertain FROM p ASOF LEFT JOIN walk ON p.channel_id = walk.channel_id AND p.segment = walk.segment AND p.t >= walk.ts),
-j AS (SELECT s.channel_id, s.segment, s.t, any_value(segment_end) AS segment_end, any_value(seen) AS seen, any_value(normal_at) AS normal_at, any_value(active) AS active, any_value(uncertain) AS uncertain, min(k.ts) FILTER (WHERE k.kind IN ('fault', 'uncertain', 'conflict')) AS adverse_at FROM s LEFT JOIN k ON k.channel_id = s.channel_id AND k.segment = s.segment AND k.ts > s.t GROUP BY 1, 2, 3),
-o AS (SELECT j.channel_id, j.t, min(w.ts) AS onset_at FROM j JOIN w ON w.channel_id = j.channel_id AND w.segment = j.segment AND w.ts > j.t AND w.starts AND w.onset = 'candidate_new_onset' GROUP BY 1, 2)
-SELECT j.channel_id, j.t, CASE WHEN seen IS NULL THEN 'no_verified_same_type_history' WHEN active THEN 'registered_episode_active_at_t' WHEN uncertain THEN 'uncertain_state_at_t' WHEN normal_at IS NULL OR j.t > normal_at + INTERVAL 168 HOUR THEN 'no_recent_explicit_normal_at_t'
-WHEN onset_at <= j.t + INTERVAL 24 HOUR AND onset_at < TIMESTAMP '2024-01-31' AND adverse_at >= onset_at THEN 'new_confident_registered_onset' WHEN adverse_at <= j.t + INTERVAL 24 HOUR THEN 'future_state_or_onset_uncertain' WHEN j.t + INTERVAL 24 HOUR >= TIMESTAMP '2024-01-31' THEN 'future_events_not_loaded' WHEN j.t + INTERVAL 24 HOUR >= segment_end THEN 'future_archive_window_incomplete' ELSE 'no_registered_onset_in_assumed_complete_archive' END AS reason
-FROM j LEFT JOIN o ON j.channel_id = o.channel_id AND j.t = o.t""")
+    return p.select("channel_id", "t", sensor_type("t").alias("sensor_type"), segment.alias("segment"), F.when(segment == 0, F.lit(SEGMENTS[0][1])).otherwise(F.lit(SEGMENTS[1][1])).cast("timestamp_ntz").alias("segment_end"))
+
+
+_UNTIL = "(SELECT CAST(date_trunc('hour', max(ts) + INTERVAL '59 minutes 59.999999 seconds') AS TIMESTAMP) FROM {ev})"
+
+
+@query(f"""WITH RECURSIVE {DUCK_EPISODES}, {features.DUCK_GRID},
+pt AS (SELECT channel_id, t, {_DUCK_TYPE.format('t')} AS sensor_type, CAST(CASE WHEN t < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS INT) AS segment, CASE WHEN t < TIMESTAMP '2024-01-16' THEN TIMESTAMP '2024-01-16' ELSE TIMESTAMP '2024-02-01' END AS segment_end FROM grid),
+now AS (SELECT pt.*, n.ts AS seen, n.type, normal_at, active, uncertain FROM pt ASOF LEFT JOIN x_inst n ON pt.channel_id = n.channel_id AND pt.segment = n.segment AND pt.t >= n.ts),
+prior AS (SELECT now.*, x.start_at AS p_start, x.end_at AS p_end, x.end_status AS p_status, x.sensor_type AS p_type FROM now ASOF LEFT JOIN episodes x ON now.channel_id = x.channel_id AND now.segment = x.segment AND now.t >= x.start_at),
+adv AS (SELECT prior.*, b.ts AS adverse_at FROM prior ASOF LEFT JOIN (SELECT channel_id, segment, ts FROM x_inst WHERE kind IN ('fault', 'uncertain', 'conflict') OR changed) b ON prior.channel_id = b.channel_id AND prior.segment = b.segment AND prior.t < b.ts),
+o AS (SELECT adv.*, c.start_at AS onset_at FROM adv ASOF LEFT JOIN (SELECT * FROM episodes WHERE onset_status = 'candidate_new_onset') c ON adv.channel_id = c.channel_id AND adv.segment = c.segment AND adv.sensor_type = c.sensor_type AND adv.t < c.start_at)
+SELECT channel_id, t, CASE WHEN p_start IS NOT NULL AND p_type = sensor_type AND (p_end IS NULL OR p_end > t) THEN CASE WHEN p_status = 'open_type_or_archive_boundary' THEN 'unresolved_type_or_archive_boundary' ELSE 'registered_episode_active_at_t' END
+WHEN seen IS NULL OR type IS DISTINCT FROM sensor_type THEN 'no_verified_same_type_history' WHEN active THEN 'registered_episode_active_at_t' WHEN uncertain THEN 'uncertain_state_at_t' WHEN normal_at IS NULL OR t > normal_at + INTERVAL 168 HOUR THEN 'no_recent_explicit_normal_at_t'
+WHEN onset_at <= t + INTERVAL 24 HOUR AND onset_at < {_UNTIL} AND adverse_at >= onset_at THEN 'new_confident_registered_onset' WHEN adverse_at <= t + INTERVAL 24 HOUR THEN 'future_state_or_onset_uncertain' WHEN t + INTERVAL 24 HOUR >= {_UNTIL} THEN 'future_events_not_loaded' WHEN t + INTERVAL 24 HOUR >= segment_end THEN 'future_archive_window_incomplete' ELSE 'no_registered_onset_in_assumed_complete_archive' END AS reason
+FROM o""")
 def k12_registered_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = effects(spark, sf_dir)
-    return episodes.registered_labels(_points(spark, sf_dir), ev, episodes.registered_episodes(ev), "2024-01-31 00:00:00").select("channel_id", "t", "reason")
+    ev, hours = effects(spark, sf_dir), hours_of(journal(spark, sf_dir))
+    return episodes.registered_labels(_points(spark, sf_dir), ev, episodes.registered_episodes(ev), hours[1] if hours else "1970-01-01").select("channel_id", "t", "reason")
 
 
 @query("WITH RECURSIVE e AS (SELECT channel_id, ts, row_number() OVER (PARTITION BY channel_id ORDER BY ts) AS i FROM {ev} WHERE alarm), w AS (SELECT channel_id, ts, ts AS last, i, true AS emitted FROM e WHERE i = 1 UNION ALL SELECT e.channel_id, e.ts, CASE WHEN e.ts >= w.last + INTERVAL 24 HOUR THEN e.ts ELSE w.last END, e.i, e.ts >= w.last + INTERVAL 24 HOUR FROM w JOIN e ON e.channel_id = w.channel_id AND e.i = w.i + 1) SELECT channel_id, ts, emitted FROM w")
@@ -149,10 +178,10 @@ def k09_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.cooldown(rows, ["episode_id"], "ts", 1, closed=True).where("emitted").select("episode_id", "row_id")
 
 
-@query("WITH e AS (SELECT * FROM {ev}), p AS (SELECT channel_id, t FROM (SELECT DISTINCT channel_id FROM e), (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-30', INTERVAL 24 HOUR)) AS t)), x AS (SELECT channel_id, ts AS s, ts + INTERVAL 3 HOUR AS z, value > 40 AS confirmed FROM e WHERE alarm), o AS (SELECT channel_id, min(ts) AS s, max(ts) AS z FROM e GROUP BY 1), j AS (SELECT p.channel_id, p.t, any_value(o.s <= p.t AND o.z >= p.t + INTERVAL 24 HOUR) AS seen, bool_or(x.s <= p.t) AS ongoing, bool_or(x.s > p.t AND confirmed) AS onset, bool_or(x.s > p.t AND NOT confirmed) AS odd FROM p JOIN o ON p.channel_id = o.channel_id LEFT JOIN x ON x.channel_id = p.channel_id AND x.s <= p.t + INTERVAL 24 HOUR AND x.z > p.t GROUP BY 1, 2) SELECT channel_id, t, CAST(CASE WHEN NOT seen OR coalesce(ongoing, false) THEN -1 WHEN onset THEN 1 WHEN odd THEN -1 ELSE 0 END AS INT) AS label FROM j")
+@query("WITH e AS (SELECT * FROM {ev}), p AS (SELECT channel_id, t FROM (SELECT DISTINCT channel_id FROM e), " + features.DUCK_HOURS + "), x AS (SELECT channel_id, ts AS s, ts + INTERVAL 3 HOUR AS z, value > 40 AS confirmed FROM e WHERE alarm), o AS (SELECT channel_id, min(ts) AS s, max(ts) AS z FROM e GROUP BY 1), j AS (SELECT p.channel_id, p.t, any_value(o.s <= p.t AND o.z >= p.t + INTERVAL 24 HOUR) AS seen, bool_or(x.s <= p.t) AS ongoing, bool_or(x.s > p.t AND confirmed) AS onset, bool_or(x.s > p.t AND NOT confirmed) AS odd FROM p JOIN o ON p.channel_id = o.channel_id LEFT JOIN x ON x.channel_id = p.channel_id AND x.s <= p.t + INTERVAL 24 HOUR AND x.z > p.t GROUP BY 1, 2) SELECT channel_id, t, CAST(CASE WHEN NOT seen OR coalesce(ongoing, false) THEN -1 WHEN onset THEN 1 WHEN odd THEN -1 ELSE 0 END AS INT) AS label FROM j")
 def k13_onset_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = journal(spark, sf_dir)
-    points = ev.select("channel_id").distinct().withColumn("t", F.explode(F.expr("sequence(TIMESTAMP_NTZ '2024-01-02 00:00:00', TIMESTAMP_NTZ '2024-01-30 00:00:00', INTERVAL 24 HOUR)")))
+    points = features.grid(spark, sf_dir)
     found = ev.where("alarm").select("channel_id", F.col("ts").alias("start_at"), timeops.hours_later(F.col("ts"), 3).alias("end_at"), (F.col("value") > 40).alias("confirmed"))
     observed = ev.groupBy("channel_id").agg(F.min("ts").alias("start_at"), F.max("ts").alias("end_at")).withColumn("status", F.lit("include"))
     return episodes.onset_labels(points, found, observed, 24)

@@ -1,4 +1,4 @@
-"""Feature queries on the driver's journal. The grid steps by six hours over January 2024; windows are 1, 6, 24 and 168 h."""
+"""Feature queries on the driver's journal. The grid has every hour from the first event to the last; windows are 1, 6, 24 and 168 h."""
 
 from __future__ import annotations
 
@@ -9,13 +9,15 @@ from tidelog.functions import timeops
 from tidelog.operators import asof, features, intervals
 from tidelog.plans.registry import journal, query
 
-START, END, STEP = "2024-01-08 00:00:00", "2024-01-22 00:00:00", 24
-DUCK_GRID = f"grid AS (SELECT channel_id, t FROM (SELECT DISTINCT channel_id FROM {{ev}}), (SELECT unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}' - INTERVAL {STEP} HOUR, INTERVAL {STEP} HOUR)) AS t))"
+#: The first and the last whole hour around all events, and every hour between them for every channel.
+DUCK_HOURS = "(SELECT unnest(generate_series(a, z, INTERVAL 1 HOUR)) AS t FROM (SELECT CAST(date_trunc('hour', min(ts)) AS TIMESTAMP) AS a, CAST(date_trunc('hour', max(ts) + INTERVAL '59 minutes 59.999999 seconds') AS TIMESTAMP) AS z FROM {ev}))"
+DUCK_GRID = f"grid AS (SELECT channel_id, t FROM (SELECT DISTINCT channel_id FROM {{ev}}), {DUCK_HOURS})"
 DUCK_PAIRS = "ev AS (SELECT * FROM {ev}), " + DUCK_GRID + ", pairs AS (SELECT g.channel_id, g.t, e.ts, e.value, e.state, e.alarm FROM grid g LEFT JOIN ev e ON g.channel_id = e.channel_id AND e.ts <= g.t AND e.ts > g.t - INTERVAL 24 HOUR)"
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.hourly_grid(journal(spark, sf_dir), START, END, STEP)
+    ev = journal(spark, sf_dir)
+    return features.hourly_grid(ev, features.hours_of(ev))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ _sums = ", ".join(f"count(e.ts) FILTER (WHERE e.ts > g.t - INTERVAL {h} HOUR) AS
 
 @query(f"WITH ev AS (SELECT * FROM {{ev}}), {DUCK_GRID} SELECT g.channel_id, g.t, {_sums} FROM grid g LEFT JOIN ev e ON g.channel_id = e.channel_id AND e.ts <= g.t AND e.ts > g.t - INTERVAL 168 HOUR GROUP BY 1, 2")
 def j09_prefix_difference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.window_counts(grid(spark, sf_dir), journal(spark, sf_dir), {"events": F.lit(1), "alarms": F.col("alarm").cast("long")})
+    return features.hourly_counts(grid(spark, sf_dir), journal(spark, sf_dir), {"events": F.lit(1), "alarms": F.col("alarm").cast("long")})
 
 
 @query(f"WITH {DUCK_PAIRS} SELECT channel_id, t, count(ts) AS n, count(DISTINCT state) AS states FROM pairs GROUP BY 1, 2")
@@ -140,19 +142,19 @@ _kinds = {"normal_message": "state = 'signup'", "registered_fault_text": "state
 
 @query(f"WITH ev AS (SELECT * FROM {{ev}}), {DUCK_GRID} SELECT g.channel_id, g.t, " + ", ".join(f"count(e.ts) FILTER (WHERE {p} AND e.ts > g.t - INTERVAL {h} HOUR) AS {n}_{h}h" for n, p in _kinds.items() for h in (24, 168)) + " FROM grid g LEFT JOIN ev e ON g.channel_id = e.channel_id AND e.ts <= g.t AND e.ts > g.t - INTERVAL 168 HOUR GROUP BY 1, 2")
 def e08_semantic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.window_counts(grid(spark, sf_dir), journal(spark, sf_dir), {n: F.expr(p).cast("long") for n, p in _kinds.items()}, [24, 168])
+    return features.hourly_counts(grid(spark, sf_dir), journal(spark, sf_dir), {n: F.expr(p).cast("long") for n, p in _kinds.items()}, [24, 168])
 
 
 @query(f"WITH ev AS (SELECT * FROM {{ev}}), {DUCK_GRID}, c AS (SELECT g.channel_id, g.t, count(e.ts) FILTER (WHERE e.ts > g.t - INTERVAL 24 HOUR) AS a, count(e.ts) AS b FROM grid g LEFT JOIN ev e ON g.channel_id = e.channel_id AND e.ts <= g.t AND e.ts > g.t - INTERVAL 168 HOUR GROUP BY 1, 2) SELECT channel_id, t, round((a - (b - a) * 24.0 / 144) / sqrt((b - a) * 24.0 / 144 + 1), 6) AS contrast, round(ln(1 + a), 9) AS log1p__a, round(ln(1 + a / 24.0) - ln(1 + (b - a) / 144.0), 9) AS rate FROM c")
 def e12_burst_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = features.window_counts(grid(spark, sf_dir), journal(spark, sf_dir), {"n": F.lit(1)}, [24, 168])
+    c = features.hourly_counts(grid(spark, sf_dir), journal(spark, sf_dir), {"n": F.lit(1)}, [24, 168])
     a, b = F.col("n_24h"), F.col("n_168h")
     return c.select("channel_id", "t", F.round(features.burst_contrast(a, b, 24, 168), 6).alias("contrast"), F.round(F.log1p(a), 9).alias("log1p__a"), F.round(F.log1p(a / 24) - F.log1p((b - a) / 144), 9).alias("rate"))
 
 
 @query(f"WITH ev AS (SELECT * FROM {{ev}}), {DUCK_GRID}, c AS (SELECT g.channel_id, g.t, " + ", ".join(f"count(e.ts) FILTER (WHERE e.ts > g.t - INTERVAL {h} HOUR) AS n{h}, count(e.ts) FILTER (WHERE e.alarm AND e.ts > g.t - INTERVAL {h} HOUR) AS a{h}" for h in (1, 6, 24, 168)) + " FROM grid g LEFT JOIN ev e ON g.channel_id = e.channel_id AND e.ts <= g.t AND e.ts > g.t - INTERVAL 168 HOUR GROUP BY 1, 2) SELECT channel_id, t, round(ln(1 + n24), 9) AS log1p__event_count_24h, round(n24 / (n168 + 1.0), 9) AS recent_share__event_count_24v168h, round(ln(1 + n6 / 6.0) - ln(1 + (n24 - n6) / 18.0), 9) AS disjoint_log_rate__event_count_6v24h, round(a168 / (n168 + 1.0), 9) AS per_event__alarm_count_168h FROM c")
 def e15_engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = features.window_counts(grid(spark, sf_dir), journal(spark, sf_dir), {"event_count": F.lit(1), "alarm_count": F.col("alarm").cast("long")})
+    c = features.hourly_counts(grid(spark, sf_dir), journal(spark, sf_dir), {"event_count": F.lit(1), "alarm_count": F.col("alarm").cast("long")})
     names = ["log1p__event_count_24h", "recent_share__event_count_24v168h", "disjoint_log_rate__event_count_6v24h", "per_event__alarm_count_168h"]
     return features.engineered(c, ["event_count", "alarm_count"], []).select("channel_id", "t", *[F.round(n, 9).alias(n) for n in names])
 

@@ -74,7 +74,7 @@ def x09_recent_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row_id", both[0].alias("strict"), both[1].alias("closed"))
 
 
-_duck_completed = f"WITH RECURSIVE {detection.DUCK_EPISODES}, n AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY channel_id, segment ORDER BY i) AS number FROM w), q AS (SELECT channel_id, min(onset) FILTER (WHERE starts) AS onset, min(ts) FILTER (WHERE starts) AS s, min(ts) FILTER (WHERE kind = 'normal') AS z, bool_or(kind IN ('conflict', 'uncertain') AND is_open) AS spoilt FROM n WHERE number > 0 GROUP BY channel_id, segment, number), c AS (SELECT channel_id, s, z FROM q WHERE onset = 'candidate_new_onset' AND z IS NOT NULL AND NOT spoilt), ev AS (SELECT * FROM {{ev}}), {feature_plans.DUCK_GRID}"
+_duck_completed = f"WITH RECURSIVE {detection.DUCK_COMPLETED}, c AS (SELECT channel_id, start_at AS s, end_at AS z FROM completed), ev AS (SELECT * FROM {{ev}}), {feature_plans.DUCK_GRID}"
 
 
 @query(_duck_completed + " SELECT g.channel_id, g.t, count(c.z) FILTER (WHERE c.z > g.t - INTERVAL 168 HOUR) AS n, round(avg(date_diff('microsecond', s, z)) FILTER (WHERE c.z > g.t - INTERVAL 168 HOUR) / 1e6, 3) AS mean_seconds, round(date_diff('microsecond', max(z), g.t) / 1e6, 3) AS age_seconds FROM grid g LEFT JOIN c ON c.channel_id = g.channel_id AND c.z <= g.t GROUP BY 1, 2")
@@ -86,7 +86,7 @@ def e09_episode_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_duck_completed + ", f AS (SELECT g.channel_id, g.t, count(e.ts) FILTER (WHERE e.alarm AND e.ts > g.t - INTERVAL 24 HOUR) AS f24, count(e.ts) FILTER (WHERE e.alarm) AS f168, count(e.ts) FILTER (WHERE e.state IN ('error', 'purchase') AND e.ts > g.t - INTERVAL 24 HOUR) AS t24 FROM grid g LEFT JOIN ev e ON g.channel_id = e.channel_id AND e.ts <= g.t AND e.ts > g.t - INTERVAL 168 HOUR GROUP BY 1, 2), k8 AS (SELECT g.channel_id, g.t, count(c.z) AS c168 FROM grid g LEFT JOIN c ON c.channel_id = g.channel_id AND c.z <= g.t AND c.z > g.t - INTERVAL 168 HOUR GROUP BY 1, 2) SELECT f.channel_id, f.t, f24, f168, c168, t24 FROM f JOIN k8 ON f.channel_id = k8.channel_id AND f.t = k8.t")
 def e11_rule_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = features.window_counts(feature_plans.grid(spark, sf_dir), journal(spark, sf_dir), {"f": F.col("alarm").cast("long"), "x": F.col("state").isin("error", "purchase").cast("long")}, [24, 168])
+    counts = features.hourly_counts(feature_plans.grid(spark, sf_dir), journal(spark, sf_dir), {"f": F.col("alarm").cast("long"), "x": F.col("state").isin("error", "purchase").cast("long")}, [24, 168])
     both = asof.trailing_sums(counts, detection.z12_completed_episodes(spark, sf_dir), ["channel_id"], "t", "end_at", {"c": F.lit(1)}, [168])
     return both.select("channel_id", "t", F.col("f_24h").alias("f24"), F.col("f_168h").alias("f168"), F.col("c_168h").alias("c168"), F.col("x_24h").alias("t24"))
 
@@ -112,7 +112,7 @@ def e13_model_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e23_live_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Serving counts every row; batch leaves out what quality flags exclude."""
     values = {"batch": (F.col("row_id") % 11 != 0).cast("long"), "live": F.lit(1)}
-    return features.window_counts(feature_plans.grid(spark, sf_dir), journal(spark, sf_dir), values, [24])
+    return features.hourly_counts(feature_plans.grid(spark, sf_dir), journal(spark, sf_dir), values, [24])
 
 
 @query("SELECT row_id, CASE state WHEN 'error' THEN 'discrete' WHEN 'signup' THEN 'discrete' WHEN 'view' THEN 'numeric' ELSE 'none' END AS mode FROM {ev}")
@@ -146,7 +146,7 @@ def k16_low_value_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("channel_id", "critical_at", F.when(recent, F.col("w.at")).alias("warning_at"))
 
 
-@query(f"WITH {scoring.DUCK_POINTS}, t AS (SELECT rule_score AS s, sum(target) AS p, count(*) AS n FROM z GROUP BY 1), c AS (SELECT s, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS seen, sum(p) OVER () AS total FROM t), g AS (SELECT s, tp / seen AS pr, tp / total AS re FROM c) SELECT arg_max(s, (CASE WHEN pr > 0.3 AND re > 0.5 THEN 1 ELSE 0 END, CASE WHEN pr + re > 0 THEN round(2 * pr * re / (pr + re), 9) ELSE 0 END, s)) AS threshold FROM g")
+@query(f"WITH RECURSIVE {scoring.DUCK_POINTS}, t AS (SELECT rule_score AS s, sum(target) AS p, count(*) AS n FROM z GROUP BY 1), c AS (SELECT s, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS seen, sum(p) OVER () AS total FROM t), g AS (SELECT s, tp / seen AS pr, tp / total AS re FROM c) SELECT arg_max(s, (CASE WHEN pr > 0.3 AND re > 0.5 THEN 1 ELSE 0 END, CASE WHEN pr + re > 0 THEN round(2 * pr * re / (pr + re), 9) ELSE 0 END, s)) AS threshold FROM g")
 def a06_goal_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = alerts.score_curve(scoring.labelled(spark, sf_dir), "rule_score", "target")
     g = curve.select("s", (F.col("tp") / F.col("seen")).alias("pr"), (F.col("tp") / F.col("total")).alias("re"))
@@ -170,13 +170,13 @@ def a14_recovery_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.recovery_reset(decisions, done, unclear, True)
 
 
-@query(f"WITH {scoring.DUCK_RULE} SELECT substring(channel_id, 1, 1) AS kind, 'registered_fault_text_count_24h' AS term, round(median(2.0 * f24), 6) AS value FROM s GROUP BY 1 UNION ALL SELECT substring(channel_id, 1, 1), 'registered_fault_text_count_168h', round(median(0.5 * f168), 6) FROM s GROUP BY 1 UNION ALL SELECT substring(channel_id, 1, 1), 'completed_episode_count_168h', round(median(1.0 * c168), 6) FROM s GROUP BY 1 UNION ALL SELECT substring(channel_id, 1, 1), 'technical_message_count_24h', round(median(0.1 * t24), 6) FROM s GROUP BY 1")
+@query(f"WITH RECURSIVE {scoring.DUCK_RULE} SELECT substring(channel_id, 1, 1) AS kind, 'registered_fault_text_count_24h' AS term, round(median(2.0 * f24), 6) AS value FROM s GROUP BY 1 UNION ALL SELECT substring(channel_id, 1, 1), 'registered_fault_text_count_168h', round(median(0.5 * f168), 6) FROM s GROUP BY 1 UNION ALL SELECT substring(channel_id, 1, 1), 'completed_episode_count_168h', round(median(1.0 * c168), 6) FROM s GROUP BY 1 UNION ALL SELECT substring(channel_id, 1, 1), 'technical_message_count_24h', round(median(0.1 * t24), 6) FROM s GROUP BY 1")
 def z19_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = alerts.contributions(scoring.rule_rows(spark, sf_dir).withColumn("kind", F.substring("channel_id", 1, 1)), ["kind"])
     return got.select("kind", "term", F.round("median_contribution", 6).alias("value"))
 
 
-@query(f"WITH {scoring.DUCK_RULE} SELECT channel_id, t, CASE WHEN f168 = 0 THEN 'insufficient_history' WHEN rule_score >= 7.1 THEN 'warning' ELSE 'scored' END AS prediction_status FROM s")
+@query(f"WITH RECURSIVE {scoring.DUCK_RULE} SELECT channel_id, t, CASE WHEN f168 = 0 THEN 'insufficient_history' WHEN rule_score >= 7.1 THEN 'warning' ELSE 'scored' END AS prediction_status FROM s")
 def a18_forecast_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("registered_fault_text_count_168h") == 0, "insufficient_history").when(F.col("alert"), "warning").otherwise("scored")
     return scoring.rule_rows(spark, sf_dir).select("channel_id", "t", status.alias("prediction_status"))

@@ -7,28 +7,37 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import timeops
 from tidelog.operators import alerts, asof, features
+from tidelog.plans import detection
+from tidelog.plans import features as feature_plans
 from tidelog.plans.registry import journal, query, table
 
-DUCK_RULE = """ev AS (SELECT * FROM {ev}), grid AS (SELECT channel_id, t FROM (SELECT DISTINCT channel_id FROM ev), (SELECT unnest(generate_series(TIMESTAMP '2024-01-08', TIMESTAMP '2024-01-29', INTERVAL 12 HOUR)) AS t)),
-f AS (SELECT g.channel_id, g.t, count(e.ts) FILTER (WHERE e.alarm AND e.ts > g.t - INTERVAL 24 HOUR) AS f24, count(e.ts) FILTER (WHERE e.alarm) AS f168, count(e.ts) FILTER (WHERE e.state = 'signup') AS c168, count(e.ts) FILTER (WHERE e.state IN ('error', 'purchase') AND e.ts > g.t - INTERVAL 24 HOUR) AS t24 FROM grid g LEFT JOIN ev e ON g.channel_id = e.channel_id AND e.ts <= g.t AND e.ts > g.t - INTERVAL 168 HOUR GROUP BY 1, 2),
-s AS (SELECT *, round(2.0 * f24 + 0.5 * f168 + 1.0 * c168 + 0.1 * t24, 6) AS rule_score FROM f)"""
+#: Inputs of the rule at every hour: faults, technical messages, and registered episodes that were completed.
+DUCK_RULE = (
+    detection.DUCK_COMPLETED
+    + f""", ev AS (SELECT * FROM {{ev}}), {feature_plans.DUCK_GRID},
+f AS (SELECT g.channel_id, g.t, count(e.ts) FILTER (WHERE e.alarm AND e.ts > g.t - INTERVAL 24 HOUR) AS f24, count(e.ts) FILTER (WHERE e.alarm) AS f168, count(e.ts) FILTER (WHERE e.state IN ('error', 'purchase') AND e.ts > g.t - INTERVAL 24 HOUR) AS t24 FROM grid g LEFT JOIN ev e ON g.channel_id = e.channel_id AND e.ts <= g.t AND e.ts > g.t - INTERVAL 168 HOUR GROUP BY 1, 2),
+h AS (SELECT g.channel_id, g.t, count(e.end_at) AS c168 FROM grid g LEFT JOIN completed e ON g.channel_id = e.channel_id AND e.end_at <= g.t AND e.end_at > g.t - INTERVAL 168 HOUR GROUP BY 1, 2),
+s AS (SELECT f.*, c168, round(2.0 * f24 + 0.5 * f168 + 1.0 * c168 + 0.1 * t24, 6) AS rule_score FROM f JOIN h USING (channel_id, t))"""
+)
 
 
 def rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four inputs of the frozen rule every 12 hours, and its score."""
+    """The four inputs of the frozen rule at every hour, and its score."""
     ev = journal(spark, sf_dir)
-    grid = features.hourly_grid(ev, "2024-01-08 00:00:00", "2024-01-29 12:00:00", 12)
-    counts = features.window_counts(grid, ev, {"f": F.col("alarm").cast("long"), "c": (F.col("state") == "signup").cast("long"), "x": F.col("state").isin("error", "purchase").cast("long")}, [24, 168])
+    one = F.lit(1).cast("long")
+    facts = ev.select("channel_id", "ts", F.col("alarm").cast("long").alias("f"), F.col("state").isin("error", "purchase").cast("long").alias("x"), F.lit(0).cast("long").alias("c"))
+    facts = facts.unionByName(detection.completed(spark, sf_dir).select("channel_id", F.col("end_at").alias("ts"), (one - 1).alias("f"), (one - 1).alias("x"), one.alias("c")))
+    counts = features.hourly_counts(feature_plans.grid(spark, sf_dir), facts, {c: F.col(c) for c in ("f", "x", "c")}, [24, 168])
     named = counts.select("channel_id", "t", F.col("f_24h").alias("registered_fault_text_count_24h"), F.col("f_168h").alias("registered_fault_text_count_168h"), F.col("c_168h").alias("completed_episode_count_168h"), F.col("x_24h").alias("technical_message_count_24h"), F.lit("eligible").alias("status"))
     return alerts.rule_score(named, "status").withColumn("rule_score", F.round("rule_score", 6))
 
 
-@query(f"WITH {DUCK_RULE} SELECT channel_id, t, rule_score, rule_score >= 7.1 AS alert FROM s")
+@query(f"WITH RECURSIVE {DUCK_RULE} SELECT channel_id, t, rule_score, rule_score >= 7.1 AS alert FROM s")
 def a01_rule_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_rows(spark, sf_dir).select("channel_id", "t", "rule_score", "alert")
 
 
-@query(f"WITH {DUCK_RULE}, r AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY t DESC) AS i FROM s) SELECT r.channel_id, c_name, n_name, t, rule_score, rule_score >= 7.1 AS alert FROM r LEFT JOIN customer ON r.channel_id = CAST(c_custkey AS VARCHAR) LEFT JOIN nation ON c_nationkey = n_nationkey WHERE i = 1")
+@query(f"WITH RECURSIVE {DUCK_RULE}, r AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY t DESC) AS i FROM s) SELECT r.channel_id, c_name, n_name, t, rule_score, rule_score >= 7.1 AS alert FROM r LEFT JOIN customer ON r.channel_id = CAST(c_custkey AS VARCHAR) LEFT JOIN nation ON c_nationkey = n_nationkey WHERE i = 1")
 def flagship_latest_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk of each channel at its latest hour, with its place in the dictionary."""
     latest = rule_rows(spark, sf_dir).groupBy("channel_id").agg(F.max_by(F.struct("t", "rule_score", "alert"), "t").alias("r")).select("channel_id", "r.*")
@@ -36,7 +45,7 @@ def flagship_latest_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.join(objects, F.col("channel_id") == F.col("c_id"), "left").select("channel_id", "c_name", "n_name", "t", "rule_score", "alert")
 
 
-@query(f"WITH {DUCK_RULE}, d AS (SELECT channel_id, t, rule_score, CASE WHEN f168 % 5 = 0 THEN 'future_evidence' WHEN (f24 + f168) % 7 = 0 THEN 'missing_or_invalid_rule_count' END AS reason FROM s) SELECT channel_id, t, coalesce(reason, '') AS reason, CASE WHEN reason IS NULL THEN rule_score END AS rule_score FROM d")
+@query(f"WITH RECURSIVE {DUCK_RULE}, d AS (SELECT channel_id, t, rule_score, CASE WHEN f168 % 5 = 0 THEN 'future_evidence' WHEN (f24 + f168) % 7 = 0 THEN 'missing_or_invalid_rule_count' END AS reason FROM s) SELECT channel_id, t, coalesce(reason, '') AS reason, CASE WHEN reason IS NULL THEN rule_score END AS rule_score FROM d")
 def a02_shadow_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     n24, n168 = F.col("registered_fault_text_count_24h"), F.col("registered_fault_text_count_168h")
     rows = rule_rows(spark, sf_dir).drop("rule_score", "alert").withColumns({"prediction_time": F.col("t"), "admission_status": F.lit("eligible"), "admission_reason": F.lit(None).cast("string"), "history_through": F.when(n168 % 5 == 0, timeops.hours_later(F.col("t"), 1)).otherwise(F.col("t")), "admission_through": F.col("t"), "technical_message_count_24h": F.when((n24 + n168) % 7 == 0, F.lit(None)).otherwise(F.col("technical_message_count_24h"))})
@@ -44,7 +53,7 @@ def a02_shadow_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("channel_id", "t", F.coalesce("unavailable_reason", F.lit("")).alias("reason"), F.round("rule_score", 6).alias("rule_score"))
 
 
-@query(f"WITH {DUCK_RULE} SELECT substring(channel_id, 1, 1) AS sensor_type, count(*) AS decisions, count(*) FILTER (WHERE rule_score >= 7.1) AS crossed, count(DISTINCT (channel_id, CAST(t AS DATE))) AS channel_days, round(count(*) FILTER (WHERE rule_score >= 7.1) * 1000 / count(DISTINCT (channel_id, CAST(t AS DATE))), 6) AS per_1000 FROM s GROUP BY 1")
+@query(f"WITH RECURSIVE {DUCK_RULE} SELECT substring(channel_id, 1, 1) AS sensor_type, count(*) AS decisions, count(*) FILTER (WHERE rule_score >= 7.1) AS crossed, count(DISTINCT (channel_id, CAST(t AS DATE))) AS channel_days, round(count(*) FILTER (WHERE rule_score >= 7.1) * 1000 / count(DISTINCT (channel_id, CAST(t AS DATE))), 6) AS per_1000 FROM s GROUP BY 1")
 def a03_shadow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     days, crossed = F.countDistinct(F.struct("channel_id", F.to_date("t"))), F.count(F.when(F.col("alert"), 1))
     return rule_rows(spark, sf_dir).groupBy(F.substring("channel_id", 1, 1).alias("sensor_type")).agg(F.count(F.lit(1)).alias("decisions"), crossed.alias("crossed"), days.alias("channel_days"), F.round(crossed * 1000 / days, 6).alias("per_1000"))
@@ -82,13 +91,13 @@ def a05_threshold_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.within_budget(curve, days, 200.0)
 
 
-@query(f"WITH {DUCK_POINTS}, t AS (SELECT rule_score AS s, sum(target) AS p, count(*) AS n FROM z GROUP BY 1), c AS (SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS seen FROM t) SELECT round(sum(p * tp / seen) / sum(p), 6) AS average_precision, round(sum((n - p) * (tp - p / 2.0)) / (sum(p) * sum(n - p)), 6) AS roc_auc, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS rows FROM c")
+@query(f"WITH RECURSIVE {DUCK_POINTS}, t AS (SELECT rule_score AS s, sum(target) AS p, count(*) AS n FROM z GROUP BY 1), c AS (SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS seen FROM t) SELECT round(sum(p * tp / seen) / sum(p), 6) AS average_precision, round(sum((n - p) * (tp - p / 2.0)) / (sum(p) * sum(n - p)), 6) AS roc_auc, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS rows FROM c")
 def g30_ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = alerts.ranking_metrics(labelled(spark, sf_dir), "rule_score", "target")
     return got.select(F.round("average_precision", 6).alias("average_precision"), F.round("roc_auc", 6).alias("roc_auc"), "positives", "rows")
 
 
-@query(f"WITH {DUCK_POINTS}, t AS (SELECT rule_score AS s, sum(target) AS p, count(*) AS n FROM z GROUP BY 1), c AS (SELECT s, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS seen, sum(p) OVER () AS total FROM t) SELECT arg_max(s, (tp / total, tp / seen, s)) AS threshold FROM c WHERE tp / seen >= 0.4")
+@query(f"WITH RECURSIVE {DUCK_POINTS}, t AS (SELECT rule_score AS s, sum(target) AS p, count(*) AS n FROM z GROUP BY 1), c AS (SELECT s, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS seen, sum(p) OVER () AS total FROM t) SELECT arg_max(s, (tp / total, tp / seen, s)) AS threshold FROM c WHERE tp / seen >= 0.4")
 def a07_precision_constrained_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = alerts.score_curve(labelled(spark, sf_dir), "rule_score", "target")
     return curve.where(F.col("tp") / F.col("seen") >= 0.4).agg(F.max_by("s", F.struct("tp", F.col("tp") / F.col("seen"), "s")).alias("threshold"))
@@ -116,7 +125,7 @@ def a12_episode_error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(matched, F.col("episode") == F.col("m"), "left").select("episode", F.when(F.col("m").isNotNull(), "matched").when(F.col("best") < 7.1, "below_threshold").otherwise("cooldown").alias("class"))
 
 
-@query(f"WITH {DUCK_POINTS} SELECT channel_id, t AS prediction_time, round(CASE WHEN target = 1 THEN 1.0 / count(*) OVER (PARTITION BY episode) ELSE 1 END, 6) AS weight FROM z")
+@query(f"WITH RECURSIVE {DUCK_POINTS} SELECT channel_id, t AS prediction_time, round(CASE WHEN target = 1 THEN 1.0 / count(*) OVER (PARTITION BY episode) ELSE 1 END, 6) AS weight FROM z")
 def a15_episode_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = alerts.episode_weights(labelled(spark, sf_dir), "target_episode_id", "target")
     return got.select("channel_id", "prediction_time", F.round("weight", 6).alias("weight"))

@@ -23,22 +23,29 @@ def a20_operational_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
     sensors = table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS STRING) AS channel_id", "c_name AS name", "c_mktsegment AS kind")
-    scored = scoring.rule_rows(spark, sf_dir).where("CAST(channel_id AS INT) % 3 <> 0").select("channel_id", "t", F.lit("scored").alias("status"), F.col("rule_score").alias("score"), F.col("alert").alias("warning"))
+    scored = scoring.rule_rows(spark, sf_dir).select("channel_id", "t", F.lit("scored").alias("status"), F.col("rule_score").alias("score"), F.col("alert").alias("warning"))
     spans = episodes.registered_episodes(detection.effects(spark, sf_dir)).select("channel_id", "start_at", "end_at")
     return serving.sensor_view(sensors, _with_effect(spark, sf_dir), scored, spans)
 
 
 _DUCK_VIEW = scoring.DUCK_RULE + """, e2 AS (SELECT channel_id, arg_max(state, ts) FILTER (WHERE state <> 'click') AS st FROM ev GROUP BY 1),
-l AS (SELECT channel_id, arg_max(rule_score, t) AS score, arg_max(rule_score >= 7.1, t) AS warning FROM s WHERE CAST(channel_id AS INT) % 3 <> 0 GROUP BY 1),
+l AS (SELECT channel_id, arg_max(rule_score, t) AS score, arg_max(rule_score >= 7.1, t) AS warning FROM s GROUP BY 1),
 ids AS (SELECT CAST(c_custkey AS VARCHAR) AS channel_id FROM customer UNION SELECT channel_id FROM ev),"""
 
 
-@query("WITH RECURSIVE " + _DUCK_VIEW + detection.DUCK_EPISODES.replace("w AS (", "w2 AS (", 1).replace("FROM w JOIN", "FROM w2 w JOIN") + ", n AS (SELECT channel_id, segment, ts, kind, starts, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY channel_id, segment ORDER BY i) AS number FROM w2), p AS (SELECT channel_id, min(ts) FILTER (WHERE starts) AS a, min(ts) FILTER (WHERE kind = 'normal') AS z FROM n WHERE number > 0 GROUP BY channel_id, segment, number), o AS (SELECT channel_id, arg_max(z IS NULL, a) AS is_open FROM p GROUP BY 1) SELECT ids.channel_id, CASE e2.st WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'healthy' WHEN 'view' THEN 'unknown' WHEN 'purchase' THEN 'unknown' ELSE 'observed' END AS operational_state, CASE WHEN e2.st = 'error' OR o.is_open THEN 'failed' WHEN l.warning THEN 'warning' WHEN l.score IS NOT NULL THEN 'healthy' ELSE 'unavailable' END AS bucket FROM ids LEFT JOIN e2 ON ids.channel_id = e2.channel_id LEFT JOIN l ON ids.channel_id = l.channel_id LEFT JOIN o ON ids.channel_id = o.channel_id")
+_DUCK_BUCKETS = _DUCK_VIEW + """
+o AS (SELECT channel_id, arg_max(end_at IS NULL, start_at) AS is_open FROM episodes GROUP BY 1),
+v AS (SELECT ids.channel_id, l.score, l.warning, CASE e2.st WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'healthy' WHEN 'view' THEN 'unknown' WHEN 'purchase' THEN 'unknown' ELSE 'observed' END AS operational_state,
+CASE WHEN e2.st = 'error' OR o.is_open THEN 'failed' WHEN l.warning THEN 'warning' WHEN l.score IS NOT NULL THEN 'healthy' ELSE 'unavailable' END AS bucket
+FROM ids LEFT JOIN e2 ON ids.channel_id = e2.channel_id LEFT JOIN l ON ids.channel_id = l.channel_id LEFT JOIN o ON ids.channel_id = o.channel_id)"""
+
+
+@query("WITH RECURSIVE " + _DUCK_BUCKETS + " SELECT channel_id, operational_state, bucket FROM v")
 def a19_sensor_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir).select("channel_id", "operational_state", "bucket")
 
 
-@query()
+@query("WITH RECURSIVE " + _DUCK_BUCKETS + " SELECT channel_id, operational_state, bucket, score FROM v JOIN customer ON channel_id = CAST(c_custkey AS VARCHAR) WHERE contains(lower(c_name), 'build') OR contains(lower(c_mktsegment), 'build')")
 def j17_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = serving.search(_view(spark, sf_dir), "build", [F.col("sensor.name"), F.col("sensor.kind")])
     return serving.dashboard_order(view).select("channel_id", "operational_state", "bucket", F.col("forecast.score").alias("score"))

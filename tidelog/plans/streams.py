@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import rules
+from tidelog.operators import features
+from tidelog.plans.features import DUCK_HOURS
 from tidelog.plans.registry import journal, query, sql_query
 from tidelog.sources import sinks
 from tidelog.streaming import shadow
 
-START, END, STEP = "2024-01-08 00:00:00", "2024-01-29 00:00:00", 12
-
 
 def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal with a tick for every channel and hour."""
     ev = journal(spark, sf_dir).withColumns({"effect": rules.effect(F.col("state")), "technical": F.col("state").isin("error", "purchase")})
-    return shadow.with_ticks(ev, START, END, STEP)
+    hours = features.hours_of(ev)
+    return shadow.with_ticks(ev, *hours, 1) if hours else shadow.with_ticks(ev.limit(0), "1970-01-01", "1970-01-01", 1)
 
 
-_SCORED = """ev AS (SELECT * FROM {ev}), p AS (SELECT channel_id, t FROM (SELECT DISTINCT channel_id FROM ev), (SELECT unnest(generate_series(TIMESTAMP '2024-01-08', TIMESTAMP '2024-01-29', INTERVAL 12 HOUR)) AS t)),
+_SCORED = f"""ev AS (SELECT * FROM {{ev}}), p AS (SELECT channel_id, t FROM (SELECT DISTINCT channel_id FROM ev), {DUCK_HOURS}),
 k AS (SELECT channel_id, ts, CASE state WHEN 'error' THEN 'fault' WHEN 'signup' THEN 'normal' WHEN 'click' THEN 'neutral' ELSE 'uncertain' END AS kind FROM ev),
 n AS (SELECT *, max(CASE WHEN kind = 'normal' THEN ts END) OVER w AS n, max(CASE WHEN kind IN ('fault', 'uncertain') THEN ts END) OVER w AS bad FROM k WINDOW w AS (PARTITION BY channel_id ORDER BY ts)),
 l AS (SELECT p.channel_id, p.t, n.n AS normal_at, n.bad FROM p ASOF LEFT JOIN n ON p.channel_id = n.channel_id AND p.t >= n.ts)
@@ -36,7 +38,9 @@ def t01_stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The journal in three files, a micro-batch each, through the stateful stream."""
     base = sinks.work_path(spark, "stream")
     rows = inputs(spark, sf_dir)
-    third = F.when(F.col("ts") < F.lit("2024-01-12").cast("timestamp_ntz"), 0).when(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"), 1).otherwise(2)
+    a, z = rows.agg(F.expr("approx_percentile(unix_micros(CAST(ts AS TIMESTAMP)), array(0.33, 0.67))").alias("q")).first().q or (0, 0)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    third = F.when(micros < a, 0).when(micros < z, 1).otherwise(2)
     for i in range(3):
         rows.where(third == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
