@@ -155,12 +155,22 @@ def k06_shared_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.shared_states(journal(spark, sf_dir).join(objects, "channel_id"), 3600, 2).select("object_id", "state", "confirmed_at", "start_at")
 
 
-@query()
+#: One row a detection: what is open after it, and what it closed (o_...); quiet: it came too soon after one that ended.
+_DUCK_CONSOLIDATE = """ev AS (SELECT * FROM {ev}), n AS (SELECT channel_id, max(ts) AS recovery_at FROM ev WHERE state = 'signup' GROUP BY 1),
+d AS (SELECT ev.channel_id, ts, value / 100 AS score, CAST(row_id AS VARCHAR) AS id, recovery_at, row_number() OVER (PARTITION BY ev.channel_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY ev.channel_id) AS total FROM ev LEFT JOIN n ON ev.channel_id = n.channel_id WHERE alarm),
+w AS (SELECT channel_id, i, total, recovery_at, ts AS s, ts AS c, ts + INTERVAL 5 MINUTE AS e, score, CAST(1 AS BIGINT) AS merged, [id] AS ids, CAST(NULL AS TIMESTAMP) AS ended, false AS closes, CAST(NULL AS TIMESTAMP) AS o_s, CAST(NULL AS TIMESTAMP) AS o_c, CAST(NULL AS TIMESTAMP) AS o_e, CAST(NULL AS DOUBLE) AS o_score, CAST(0 AS BIGINT) AS o_merged, CAST([] AS VARCHAR[]) AS o_ids FROM d WHERE i = 1
+UNION ALL SELECT channel_id, i, total, recovery_at, CASE WHEN joins THEN s ELSE ts END, CASE WHEN joins THEN c ELSE ts END, CASE WHEN joins THEN greatest(e, ts + INTERVAL 5 MINUTE) ELSE ts + INTERVAL 5 MINUTE END, CASE WHEN joins THEN greatest(score, new_score) ELSE new_score END, CASE WHEN joins THEN merged + 1 ELSE 1 END, CASE WHEN joins THEN list_append(ids, id) ELSE [id] END,
+CASE WHEN NOT joins AND NOT quiet THEN until ELSE ended END, NOT joins AND NOT quiet, s, c, until, score, merged, CASE WHEN recovers THEN list_append(ids, 'recovery_observed') ELSE ids END
+FROM (SELECT w.* EXCLUDE (i, closes, o_s, o_c, o_e, o_score, o_merged, o_ids), d.i, d.ts, d.score AS new_score, d.id, d.ts - w.e <= INTERVAL 6 HOUR AS joins, coalesce(w.recovery_at >= w.c, false) AS recovers, CASE WHEN w.recovery_at >= w.c THEN w.recovery_at ELSE w.e END AS until, coalesce(w.s <= w.ended + INTERVAL 3 HOUR, false) AS quiet FROM w JOIN d ON d.channel_id = w.channel_id AND d.i = w.i + 1))"""
+
+
+@query(f"WITH RECURSIVE {_DUCK_CONSOLIDATE} SELECT channel_id, o_s AS start_at, o_c AS confirmed_at, o_e AS end_at, o_score AS score, o_merged AS merged, array_to_string(o_ids, ',') AS evidence FROM w WHERE closes UNION ALL SELECT channel_id, s, c, CASE WHEN recovery_at >= c THEN recovery_at ELSE e END, score, merged, array_to_string(CASE WHEN recovery_at >= c THEN list_append(ids, 'recovery_observed') ELSE ids END, ',') FROM w WHERE i = total AND NOT coalesce(s <= ended + INTERVAL 3 HOUR, false)")
 def k07_consolidated_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = journal(spark, sf_dir).where("alarm")
     recovery = journal(spark, sf_dir).where("state = 'signup'").groupBy("channel_id").agg(F.max("ts").alias("recovery_at"))
     d = ev.select("channel_id", F.col("ts").alias("start_at"), F.col("ts").alias("confirmed_at"), (F.col("ts") + F.expr("INTERVAL '5' MINUTE")).alias("end_at"), (F.col("value") / 100).alias("score"), F.array(F.col("row_id").cast("string")).alias("evidence"))
-    return episodes.consolidate(d.join(recovery, "channel_id", "left"), ["channel_id"], 60 * 6, 60 * 3)
+    got = episodes.consolidate(d.join(recovery, "channel_id", "left"), ["channel_id"], 60 * 6, 60 * 3)
+    return got.withColumn("evidence", F.array_join("evidence", ","))
 
 
 @query()

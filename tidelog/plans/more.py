@@ -134,7 +134,7 @@ def k15_catalog_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.match_episodes(truths, warnings, ["channel_id"])
 
 
-@query()
+@query("WITH RECURSIVE ev AS (SELECT * FROM {ev}), r AS (SELECT DISTINCT channel_id, ts, value FROM ev), g AS (SELECT *, date_diff('microsecond', lag(ts) OVER (PARTITION BY channel_id ORDER BY ts), ts) / 3.6e9 AS gap FROM r), n AS (SELECT channel_id, ts, row_number() OVER (PARTITION BY channel_id ORDER BY ts) AS i FROM g WHERE value > 3 AND value <= 20 AND gap <= 48), c AS (SELECT channel_id, ts, ts AS last, i, true AS emitted FROM n WHERE i = 1 UNION ALL SELECT n.channel_id, n.ts, CASE WHEN n.ts >= c.last + INTERVAL 24 HOUR THEN n.ts ELSE c.last END, n.i, n.ts >= c.last + INTERVAL 24 HOUR FROM c JOIN n ON n.channel_id = c.channel_id AND n.i = c.i + 1), w AS (SELECT channel_id, ts FROM c WHERE emitted), f AS (SELECT channel_id, ts AS critical_at FROM (SELECT channel_id, ts, lag(ts) OVER (PARTITION BY channel_id ORDER BY ts) AS p FROM ev WHERE alarm) WHERE p IS NULL OR ts > p + INTERVAL 24 HOUR) SELECT f.channel_id, critical_at, CASE WHEN w.ts >= critical_at - INTERVAL 48 HOUR THEN w.ts END AS warning_at FROM f ASOF LEFT JOIN w ON f.channel_id = w.channel_id AND f.critical_at > w.ts")
 def k16_low_value_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Low readings as warnings, errors a day apart as episodes, and the last warning in the two days before each."""
     ev = journal(spark, sf_dir)
@@ -159,7 +159,15 @@ def a13_cooldown_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.blockers(journal(spark, sf_dir).where("alarm").select("channel_id", "ts"), ["channel_id"], "ts", 24)
 
 
-@query()
+_DUCK_RESET = f"""{scoring.DUCK_RULE}, dn AS (SELECT s.channel_id, s.t AS pt, rule_score >= 7.1 AS above, coalesce(NOT n.active AND NOT n.uncertain, false) AS healthy FROM s ASOF LEFT JOIN x_inst n ON s.channel_id = n.channel_id AND s.t >= n.ts),
+u AS (SELECT channel_id, pt, 2 AS k, CAST(NULL AS TIMESTAMP) AS onset, above, healthy FROM dn UNION ALL SELECT channel_id, end_at, 1, start_at, false, false FROM completed UNION ALL SELECT channel_id, ts, 0, NULL, false, false FROM x_ev WHERE effect = 'uncertain'),
+o AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY pt, k) AS i FROM u),
+y AS (SELECT DISTINCT channel_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS TIMESTAMP) AS pt, 0 AS k, CAST(NULL AS TIMESTAMP) AS last, false AS recovered, false AS warning, '' AS reason FROM o
+UNION ALL SELECT channel_id, i, pt, k, CASE WHEN fire THEN pt ELSE last END, CASE k WHEN 1 THEN coalesce(last < onset AND onset <= last + INTERVAL 24 HOUR AND onset < pt AND pt < last + INTERVAL 24 HOUR, false) WHEN 0 THEN false ELSE recovered AND NOT fire END, fire, CASE WHEN NOT above THEN 'below_threshold' WHEN NOT fire THEN 'suppressed_24h' WHEN quiet THEN 'recovered_episode_reset' ELSE 'standard_24h_warning' END
+FROM (SELECT *, k = 2 AND above AND (NOT quiet OR recovered AND healthy) AS fire FROM (SELECT o.*, y.last, y.recovered, coalesce(o.pt < y.last + INTERVAL 24 HOUR, false) AS quiet FROM y JOIN o ON o.channel_id = y.channel_id AND o.i = y.i + 1)))"""
+
+
+@query(f"WITH RECURSIVE {_DUCK_RESET} SELECT channel_id, pt AS \"at\", warning, reason FROM y WHERE k = 2")
 def a14_recovery_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = detection.effects(spark, sf_dir)
     now = asof.asof_last(scoring.rule_rows(spark, sf_dir).withColumnRenamed("t", "at"), episodes.state_timeline(ev).select("channel_id", "ts", "normal_at", "active", "uncertain"), ["channel_id"], "at", "ts", "now")
@@ -182,7 +190,10 @@ def a18_forecast_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.rule_rows(spark, sf_dir).select("channel_id", "t", status.alias("prediction_status"))
 
 
-@query()
+_DUCK_KINDS = "(SELECT *, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS kind FROM {ev})"
+
+
+@query(scoring.duck_matching("channel_id, kind", f"SELECT channel_id, kind, CAST(row_id AS VARCHAR) AS id, ts AS s, ts + INTERVAL 24 HOUR AS u FROM {_DUCK_KINDS} WHERE alarm", f"SELECT channel_id, kind, CAST(row_id AS VARCHAR) AS id, ts AS wt FROM {_DUCK_KINDS} WHERE state = 'purchase'") + " SELECT kind, count(delay_seconds) AS tp, count(*) FILTER (WHERE truth_id IS NULL) AS fp, count(*) FILTER (WHERE warning_id IS NULL) AS fn FROM matches GROUP BY 1")
 def a10_anomaly_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matching within channel and kind."""
     ev = journal(spark, sf_dir).withColumn("kind", F.when(F.col("value") > 50, "high").otherwise("low"))

@@ -83,7 +83,16 @@ def a04_alert_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("truth", "channel_days", "warnings", "matched", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "median_lead_hours")])
 
 
-@query()
+DUCK_BUDGET = f"""{DUCK_POINTS}, th AS (SELECT unnest([4.0, 6.6, 7.1, 8.0, 10.0, 12.0]) AS th),
+q AS (SELECT th, z.*, row_number() OVER (PARTITION BY th, channel_id ORDER BY t) AS i FROM z, th WHERE rule_score >= th),
+c AS (SELECT th, channel_id, t, target, episode, i, t AS last, true AS emitted FROM q WHERE i = 1
+UNION ALL SELECT q.th, q.channel_id, q.t, q.target, q.episode, q.i, CASE WHEN q.t >= c.last + INTERVAL 24 HOUR THEN q.t ELSE c.last END, q.t >= c.last + INTERVAL 24 HOUR FROM c JOIN q ON q.th = c.th AND q.channel_id = c.channel_id AND q.i = c.i + 1),
+o AS (SELECT th, target = 1 AND row_number() OVER (PARTITION BY th, episode ORDER BY channel_id, t) = 1 AS hit FROM c WHERE emitted),
+v AS (SELECT th, count(*) AS warnings, count(*) FILTER (WHERE hit) AS matched FROM o GROUP BY 1), d AS (SELECT count(DISTINCT (channel_id, CAST(t AS DATE))) AS days FROM z),
+b AS (SELECT arg_max((th, warnings, matched), (matched, matched - warnings, th)) AS x FROM v, d WHERE (warnings - matched) * 1000 / days <= 200)"""
+
+
+@query(f"WITH RECURSIVE {DUCK_BUDGET} SELECT CAST(x[1] AS DOUBLE) AS threshold, x[2] AS warnings, x[3] AS matched FROM b")
 def a05_threshold_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled(spark, sf_dir)
     days = rows.select("channel_id", F.to_date("prediction_time")).distinct().count()
@@ -103,7 +112,18 @@ def a07_precision_constrained_threshold(spark: SparkSession, sf_dir: str) -> Dat
     return curve.where(F.col("tp") / F.col("seen") >= 0.4).agg(F.max_by("s", F.struct("tp", F.col("tp") / F.col("seen"), "s")).alias("threshold"))
 
 
-@query()
+def duck_matching(scope: str, truths: str, warnings: str) -> str:
+    """Greedy matching as one step a truth; truths: scope, id, s, u; warnings: scope, id, wt. No truth may end before one that began earlier."""
+    same = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in scope.split(", "))
+    return f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY {scope} ORDER BY s, u, id) AS i FROM ({truths})), w AS (SELECT *, row_number() OVER (PARTITION BY {scope} ORDER BY wt, id) AS j FROM ({warnings})),
+lo AS (SELECT t.*, x.lo FROM t LEFT JOIN (SELECT {', '.join(f't.{c}' for c in scope.split(', '))}, t.i, min(j) AS lo FROM t JOIN w ON {same('t', 'w')} AND w.wt >= t.s GROUP BY ALL) x ON {same('t', 'x')} AND t.i = x.i),
+r AS (SELECT DISTINCT {scope}, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS last, CAST(NULL AS VARCHAR) AS truth_id, CAST(NULL AS VARCHAR) AS warning_id, CAST(NULL AS DOUBLE) AS delay_seconds FROM t
+UNION ALL SELECT {', '.join(f't.{c}' for c in scope.split(', '))}, t.i, CASE WHEN w.wt <= t.u THEN w.j ELSE r.last END, t.id, CASE WHEN w.wt <= t.u THEN w.id END, CASE WHEN w.wt <= t.u THEN date_diff('microsecond', t.s, w.wt) / 1e6 END
+FROM r JOIN lo t ON {same('r', 't')} AND t.i = r.i + 1 LEFT JOIN w ON {same('t', 'w')} AND t.lo IS NOT NULL AND w.j = greatest(t.lo, r.last + 1)),
+matches AS (SELECT {scope}, truth_id, warning_id, delay_seconds FROM r WHERE i > 0 UNION ALL SELECT {', '.join(f'w.{c}' for c in scope.split(', '))}, NULL, w.id, NULL FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE {same('r', 'w')} AND r.warning_id = w.id))"""
+
+
+@query(duck_matching("channel_id", "SELECT channel_id, CAST(row_id AS VARCHAR) AS id, ts AS s, ts + INTERVAL 12 HOUR AS u FROM {ev} WHERE alarm", "SELECT channel_id, CAST(row_id AS VARCHAR) AS id, ts AS wt FROM {ev} WHERE state = 'purchase'") + " SELECT * FROM matches")
 def a08_greedy_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = journal(spark, sf_dir)
     truths = ev.where("alarm").select("channel_id", F.col("row_id").cast("string").alias("truth_id"), F.col("ts").alias("start_at"), timeops.hours_later(F.col("ts"), 12).alias("until"))
