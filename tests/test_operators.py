@@ -323,12 +323,24 @@ def test_availability_order(spark):
     assert features.availability(row, False).first().availability_reasons == ["no_observations_yet", "sensor_type_unknown", "object_mapping_conflict", "insufficient_history", "insufficient_baseline_events", "one_or_more_windows_unusable", "quality_exclusions_present", "cadence_unknown"]
 
 
-def test_synthetic_suite_is_found_and_controls_stay_silent(spark):
+@pytest.mark.parametrize("seed", [1, 2, 5, 77, 260919])
+def test_synthetic_suite_is_found_and_controls_stay_silent(spark, seed):
     from tidelog.functions import simulation
 
-    events, truth = simulation.suite(spark, 5)
-    silent = {r.channel_id for r in truth.where("scenario_id IN ('stable', 'silence')").collect()}
+    events, truth = simulation.suite(spark, seed)
+    rows = truth.collect()
+    controls, changed = {r.channel_id for r in rows if r.is_control}, {r.channel_id for r in rows if r.kind in ("level", "drift", "mixed")}
     found = {r.channel_id for r in detectors.level_shifts(events).collect()}
-    shifted = {r.channel_id for r in truth.where("kind = 'level'").collect()}
-    assert shifted <= found and not silent & found
-    assert events.exceptAll(simulation.suite(spark, 5)[0]).count() == 0
+    assert changed <= found and not controls & found
+    patterns = {(r.channel_id, r.kind) for r in detectors.discrete_patterns(events).collect()}
+    assert {("burst-0", "repeated_state_burst"), ("mixed-0", "repeated_state_burst"), ("switching-0", "rapid_switching")} <= patterns and not controls & {c for c, _ in patterns}
+    assert len(rows) == len({r.channel_id for r in events.select("channel_id").distinct().collect()}) and len(simulation.SCENARIOS) == 20
+
+
+def test_synthetic_suite_repeats_itself(spark):
+    from tidelog.functions import simulation
+
+    events = simulation.suite(spark, 5)[0]
+    assert events.exceptAll(simulation.suite(spark, 5)[0]).count() == 0 and events.exceptAll(simulation.suite(spark, 6)[0]).count() > 0
+    silent = events.where("scenario_id IN ('silence', 'outage', 'export_gap')").groupBy("channel_id").count().collect()
+    assert {r["count"] for r in silent} == {90} and events.where("scenario_id = 'stuck' AND value = 10.0").count() == 30
\ No newline at end of file

@@ -126,7 +126,7 @@ def k15_catalog_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detect, consolidate and match against the truth of a synthetic suite."""
     events, truth = simulation.suite(spark, 260919)
     shifts = detectors.level_shifts(events).select("channel_id", "start_at", "confirmed_at", "end_at", F.lit("numeric_level_shift").alias("kind"))
-    patterns = detectors.discrete_patterns(events.where("scenario_id IN ('burst', 'switching', 'stable')")).select("channel_id", "start_at", "confirmed_at", "end_at", "kind")
+    patterns = detectors.discrete_patterns(events).select("channel_id", "start_at", "confirmed_at", "end_at", "kind")
     found = shifts.unionByName(patterns).withColumns({"score": F.lit(None).cast("double"), "evidence": F.array("kind"), "recovery_at": F.lit(None).cast("timestamp_ntz")})
     merged = episodes.consolidate(found, ["channel_id", "kind"])
     warnings = merged.select("channel_id", F.concat_ws(":", "channel_id", "kind", "start_at").alias("warning_id"), F.col("confirmed_at").alias("at"))
