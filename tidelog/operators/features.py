@@ -198,6 +198,17 @@ def guard(columns: list[str], allowed: list[str] | None = None) -> list[str]:
     return columns
 
 
+def allowed(columns: list[str]) -> list[tuple[str, bool]]:
+    """Each column, and whether it may be an input."""
+    return [(c, c not in FORBIDDEN and not c.startswith(FORBIDDEN_PREFIXES)) for c in columns]
+
+
+def project(rows: DataFrame, keys: list[str], inputs: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(features, diagnostics): the keys with the allowed inputs, and the keys with all else."""
+    guard(inputs)
+    return rows.select(*keys, *inputs), rows.select(*keys, *[c for c in rows.columns if c not in keys and c not in inputs])
+
+
 def frozen_baseline(grid: DataFrame, events: DataFrame, embargo_hours: int, lookback_hours: int, least_events: int, least_span_hours: int) -> DataFrame:
     """grid rows with the baseline that their day shares: fitted up to the day's start less the embargo."""
     dated = grid.withColumn("fit_end", F.date_trunc("DAY", "t").cast("timestamp_ntz") - F.expr(f"INTERVAL '{embargo_hours}' HOUR"))

@@ -61,4 +61,4 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Import every module of queries."""
-    from tidelog.plans import detection, features, ingestion, more, relational, scoring, serving, streams  # noqa: F401
+    from tidelog.plans import detection, features, ingestion, more, operations, relational, scoring, serving, streams  # noqa: F401

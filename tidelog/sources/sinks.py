@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 
 def work_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that the cluster shares, or in one of our own where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidelog-")
+    """A new path in the folder that the cluster shares; one of our own only where all tasks run on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidelog-")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -27,11 +31,20 @@ def write_months(rows: DataFrame, path: str, at: str, order: list[str], files_pe
     dated.repartition("year", "month", salt).sortWithinPartitions("year", "month", *order).write.option("compression", "zstd").partitionBy("year", "month").parquet(path)
 
 
+def _file(spark: SparkSession, path: str):
+    """The path and its store, whatever store it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, store = _file(spark, path)
+    return bool(store.exists(p))
+
+
 def part_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a complete write stands at the path, in whatever store it is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+    """Whether a complete write stands at the path."""
+    return exists(spark, f"{path}/_SUCCESS")
 
 
 def append_once(rows: DataFrame, path: str, part: str) -> bool:
@@ -51,27 +64,64 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def publish(tables: dict[str, DataFrame], path: str, facts: dict) -> dict:
-    """Tables under one path and, when all are complete, a manifest of their rows; readers go by the manifest."""
-    done = {}
-    for name, df in tables.items():
-        append_once(df, f"{path}/{name}", "all")
-        done[name] = df.sparkSession.read.parquet(f"{path}/{name}").count()
+    """Tables under one path that appears at once, with a manifest of their rows.
+
+    They are written beside it, to path.inprogress; tables that an interrupted attempt has completed are kept. What
+    is published already stays as it is.
+    """
     spark = next(iter(tables.values())).sparkSession
-    manifest = facts | {"rows": done}
-    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
-    return manifest
+    done = recover(spark, path)
+    if done is not None:
+        return done
+    staging, rows = f"{path}.inprogress", {}
+    for name, df in tables.items():
+        append_once(df, f"{staging}/{name}", "all")
+        rows[name] = spark.read.parquet(f"{staging}/{name}").count()
+    save_json(spark, f"{staging}/manifest.json", facts | {"rows": rows})
+    return recover(spark, path)
+
+
+def recover(spark: SparkSession, path: str) -> dict | None:
+    """Ends a publication that has its manifest, removes what one that ended left over; the manifest, or None if there is none yet."""
+    staging, target = f"{path}.inprogress", _file(spark, path)
+    if not exists(spark, path) and exists(spark, f"{staging}/manifest.json"):
+        target[1].rename(_file(spark, staging)[0], target[0])
+    if exists(spark, path):
+        target[1].delete(_file(spark, staging)[0], True)
+    return published(spark, path)
 
 
 def published(spark: SparkSession, path: str) -> dict | None:
     """The manifest, or nothing where publication has not ended."""
-    if not part_exists(spark, f"{path}/manifest"):
-        return None
-    return json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    return load_json(spark, f"{path}/manifest.json")
+
+
+def save_json(spark: SparkSession, path: str, content: dict) -> None:
+    """A small file that is there whole or as it was: written beside its place, then renamed over it."""
+    (p, store), (beside, _) = _file(spark, path), _file(spark, f"{path}.{uuid.uuid4().hex}")
+    out = store.create(beside, True)
+    out.write(bytearray(json.dumps(content, sort_keys=True).encode()))
+    out.close()
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(beside, p, over)
+
+
+def load_json(spark: SparkSession, path: str) -> dict | None:
+    p, store = _file(spark, path)
+    return json.loads("\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())) if store.exists(p) else None
+
+
+def append_run(spark: SparkSession, run: str, store: str, name: str) -> bool:
+    """The output of a run, read again by its parts, as one part of a store; a run that is there already is left alone."""
+    return append_once(read_parts(spark, run).drop("part"), store, name)
 
 
-def json_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """Rows of a request, by a stated schema; missing fields are nulls."""
-    return spark.createDataFrame(rows, schema)
+def json_rows(texts: DataFrame, column: str, schema: str) -> DataFrame:
+    """Rows of JSON texts by a stated schema; missing fields are nulls, and a text that is no JSON is a row of nulls."""
+    return texts.select(F.from_json(column, schema).alias("r")).select("r.*")
 
 
 def with_provenance(clean: DataFrame, facts: dict[str, str]) -> DataFrame:

@@ -167,11 +167,36 @@ def decisions(stream: DataFrame) -> DataFrame:
     return stream.select(*INPUT).groupBy("channel_id").applyInPandasWithState(_update, DECISION, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(out: DataFrame, path: str, checkpoint: str) -> None:
-    """Everything that is there, into parts named by epoch: an epoch that is repeated is written once."""
+def run_available(out: DataFrame, path: str, checkpoint: str) -> list[tuple[int, int, float]]:
+    """Everything that is there, into parts named by epoch: an epoch that is repeated is written once.
+
+    Returns (epoch, rows read, seconds) of every micro-batch.
+    """
     from tidelog.sources.sinks import append_once
 
     def write(df: DataFrame, epoch: int) -> None:
         append_once(df, path, f"{epoch:08d}")
 
-    out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream = out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return [(p.batchId, p.numInputRows, p.durationMs["triggerExecution"] / 1000) for p in stream.recentProgress]
+
+
+def latency(batches: list[tuple[int, int, float]]) -> dict[str, float]:
+    """Micro-batches, rows, and the seconds of a micro-batch: median, 95th and 99th percentile, most."""
+    seconds = sorted(s for _, n, s in batches if n)
+    at = lambda q: seconds[min(len(seconds) - 1, int(q * len(seconds)))] if seconds else 0.0
+    return {"batches": len(seconds), "rows": sum(n for _, n, _ in batches), "p50": at(0.5), "p95": at(0.95), "p99": at(0.99), "most": at(1.0)}
+
+
+def sliding_counts(stream: DataFrame, by: list[str], width: str, slide: str, late: str) -> DataFrame:
+    """Counts of rows (by, ts) in windows [start, start + width) that begin every `slide`; a window is given once, when the watermark has passed it."""
+    timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    return timed.groupBy(*by, F.window("at", width, slide).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(*by, F.col("w.start").cast("timestamp_ntz").alias("start_at"), "n")
+
+
+def sessions(stream: DataFrame, by: list[str], gap: str, late: str) -> DataFrame:
+    """Sessions of rows (by, ts): runs without a silence of `gap`; end_at is the last row's time and the gap."""
+    timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    found = timed.groupBy(*by, F.session_window("at", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return found.select(*by, F.col("w.start").cast("timestamp_ntz").alias("start_at"), F.col("w.end").cast("timestamp_ntz").alias("end_at"), "n")
