@@ -18,6 +18,7 @@ from tokenizers import Tokenizer
 import __spark_entry__
 import corpus_pipeline
 from tests.conftest import DATA
+from tests.llm.test_near_copies import kept_by_brute_force
 from tidelog.llm import exact_dedup, language_id, licenses, packing, perfect_hash, permutation_index, pii, quality, sentencepiece_lattice, simhash, token_store
 from tidelog.llm.common import crc_mod, fresh_path
 from tidelog.llm.tokens import Encoder, little_batches
@@ -185,6 +186,33 @@ def check_pieces(pieces, texts, file, end, capacity=1024):
         assert at <= capacity
 
 
+@pytest.mark.parametrize("then", ["coalesce(1)", "coalesce(3)", "repartition(2)", "union"])
+def test_sequences_stay_apart_when_partitions_are_merged(docs, then):
+    file, spread = public_tokenizers.path("byte_bpe_50k.json"), docs.repartition(7)
+    if then == "union":
+        got = packing.pack(spread.where("doc_id < 50"), file).unionByName(packing.pack(spread.where("doc_id >= 50"), file, run_number=1)).coalesce(1)
+    else:
+        got = eval(f"packing.pack(spread, file).{then}")
+    check_pieces(got.collect(), {r.doc_id: r.text for r in docs.collect()}, "byte_bpe_50k.json", 0)
+
+
+def test_repeated_and_unnamed_rows_are_packed_each_on_its_own(spark):
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(file)
+    rows = [(4, LONG), (4, LONG), (None, "no id " * 700), (None, "no id " * 700), (5, None), (5, "")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), file).coalesce(1).collect()
+    want, pieces, by_sequence = defaultdict(int), defaultdict(int), defaultdict(list)
+    for d, t in rows:
+        want[d] += len(whole.encode(t or "", add_special_tokens=False).ids) + 1
+    for p in got:
+        pieces[p.doc_id] += p.length
+        by_sequence[p.sequence_id].append((p.offset, p.length))
+    assert pieces == want
+    for own in by_sequence.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and sum(n for _, n in own) <= 1024
+
+
 def test_packing(docs, nothing, awkward):
     file = public_tokenizers.path("byte_bpe_50k.json")
     check_pieces(packing.pack(docs, file).collect(), {r.doc_id: r.text for r in docs.collect()}, "byte_bpe_50k.json", 0)
@@ -282,6 +310,45 @@ def test_pseudonyms(spark, awkward):
     assert pii.pseudonymise(awkward, b"key").collect() == awkward.collect()
 
 
+@pytest.mark.parametrize("size", [64, 65, 200, 10_000, 1_000_000])
+@pytest.mark.parametrize("kind", ["letters", "hex", "digits"])
+def test_values_of_any_length(size, kind):
+    import time
+
+    rng = np.random.default_rng(size)
+    signs = {"letters": "abcxyzABCXYZ0123456789_+/-", "hex": "0123456789abcdef", "digits": "0123456789"}[kind]
+    value = "".join(np.array(list(signs))[rng.integers(0, len(signs), size)])
+    replace, undo = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", True)
+    began = time.perf_counter()
+    made, n = replace(f"see token={value} here")
+    assert time.perf_counter() - began < 60 and n == 1 and len(made) == len(f"see token={value} here") and undo(made) == (f"see token={value} here", 1)
+    new = made[len("see token=") : -len(" here")]
+    shape = lambda v: re.sub("[0-9a-f]", "h", v) if kind == "hex" else re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", v)))
+    assert shape(new) == shape(value) and sum(a == b for a, b in zip(new, value, strict=True)) < 0.5 * size
+    # One other character at either end changes every chunk.
+    for i in (0, -1):
+        other = list(value)
+        other[i] = next(c for c in signs if c != other[i] and shape(c) == shape(other[i]))
+        again = replace("see token=" + "".join(other) + " here")[0][len("see token=") : -len(" here")]
+        assert all(again[k : k + 64] != new[k : k + 64] for k in range(0, size - size % 64, 64))
+
+
+def test_secrets_stay_of_their_kind():
+    replace, undo = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", True)
+    rng = np.random.default_rng(8)
+    for signs in ("0123456789abcdef", "0abcdefghij", "abcdef1"):
+        for _ in range(400):
+            text = "token=" + "".join(np.array(list(signs))[rng.integers(0, len(signs), 8)]) + "."
+            made, n = replace(text)
+            assert undo(made) == (text, n)
+
+
+def test_many_values_in_one_text():
+    text = " ".join(f"{i % 28 + 1:02d}.{i % 12 + 1:02d}.{1950 + i % 100} a{i}@b{i}.org" for i in range(20_000))
+    made, n = pii.Pseudonyms(b"key")(text)
+    assert n == 40_000 and pii.Pseudonyms(b"key", True)(made) == (text, n)
+
+
 def test_licenses(spark, awkward, nothing):
     text = "Abc def.\nLicensed under the Apache License, Version 2.0.\nMore. Licensed under CC BY-NC 4.0. The license of the house. " + licenses.TEXTS["MIT"][0].replace("furnished", "given")
     d = spark.createDataFrame([(1, text), (2, None), (3, "Licensed under the Apache License, Version 1.1."), (4, "word " * 50_000 + "Released under the MIT License. " + "word " * 50_000)], "doc_id long, text string")
@@ -293,6 +360,25 @@ def test_licenses(spark, awkward, nothing):
     assert licenses.scan(awkward).count() == licenses.scan(nothing).count() == 0
 
 
+def test_every_wording_is_found_as_its_license():
+    find = licenses.Scanner()
+    for name, wordings in licenses.templates().items():
+        for w in wordings:
+            assert [x[2] for x in find(f"Some words of prose here. {w} And more prose of boats.")] == [name], w
+    assert len(licenses.templates()) >= 30
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "MIT", "GPL-3.0"])
+def test_a_notice_is_the_same_wherever_a_block_ends(name):
+    find, notice = licenses.Scanner(), licenses.TEXTS[name][-1]
+    prose = "The copyright of boats and harbours is a matter of the house. " * 400
+    for at in range(0, 12_500, 173):
+        text = prose[:at].rsplit(" ", 1)[0] + " " + notice + " " + prose[at:]
+        start = text.index(notice)
+        assert [(x[2], text[x[0] : x[1]]) for x in find(text)] == [(name, notice.rstrip("."))], at
+        assert find(text)[0][0] == start
+
+
 def test_word_differences():
     a, z, odd = licenses.differing("a b c d".split(), "x a b q d y".split())
     assert (a, z, odd) == (1, 5, ["c>q"])
@@ -302,10 +388,11 @@ def test_sentencepiece(spark, docs, awkward, nothing):
     file = public_tokenizers.path("piece_bpe_32k.model")
     whole = sentencepiece.SentencePieceProcessor(model_file=file)
     odd = [" two  spaces   and    more ", "a\r\n\tb;\r", "▁ mark", "中文é 😀 ² x²y", "x" * 200, "(){}[]==", "I'll don't", "\n\n", "é", "▁▁▁▁ ▁"]
-    d = docs.select("doc_id", "text").unionByName(awkward.select("doc_id", "text").where("doc_id <> 5 OR doc_id IS NULL")).unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    d = docs.select("doc_id", "text").unionByName(awkward.select("doc_id", "text")).unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
     got = sentencepiece_lattice.encode(d, file, known=200)
-    rows = got.join(d.where("doc_id >= 8").distinct(), "doc_id").collect()
-    assert len(rows) > 190 and all(r.ids == whole.encode(r.text) and r.round_trip for r in rows)
+    want = sorted((r.doc_id or -1, whole.encode(r.text or "")) for r in d.collect())
+    rows = got.collect()
+    assert sorted((r.doc_id or -1, r.ids) for r in rows) == want and all(r.round_trip for r in rows)
     blank = sentencepiece_lattice.encode(awkward.where("doc_id IN (2, 3)"), file).collect()
     assert [(r.ids, r.round_trip) for r in blank] == [([], True)] * 2
     back = sentencepiece_lattice.decode(got, file).join(d.where("doc_id >= 1000").withColumnRenamed("text", "want"), "doc_id").collect()
@@ -313,6 +400,29 @@ def test_sentencepiece(spark, docs, awkward, nothing):
     assert sentencepiece_lattice.encode(nothing, file).count() == 0
 
 
+@pytest.mark.parametrize("then", ["coalesce(1)", "coalesce(3)", "unionByName(sentencepiece_lattice.encode(d, file, known=20))", "repartition(2)"])
+def test_pieces_do_not_depend_on_partitions(spark, docs, then):
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    whole = sentencepiece.SentencePieceProcessor(model_file=file)
+    d = docs.select("doc_id", "text").limit(60).repartition(5)
+    got = eval(f"sentencepiece_lattice.encode(d, file, known=20).{then}").collect()
+    times = 2 if "union" in then else 1
+    want = sorted((r.doc_id, whole.encode(r.text)) for r in d.collect()) 
+    assert sorted((r.doc_id, r.ids) for r in got) == sorted(want * times)
+
+
+def test_pieces_of_an_input_that_is_not_the_same_twice(spark):
+    from pyspark.sql.types import StringType
+
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    whole = sentencepiece.SentencePieceProcessor(model_file=file)
+    fresh = F.udf(lambda i: f"{i} " + " ".join(f"w{x}" for x in np.random.default_rng().integers(0, 10**9, 20)), StringType()).asNondeterministic()
+    d = spark.range(40).repartition(3).select(F.col("id").alias("doc_id"), fresh("id").alias("text"))
+    got = sentencepiece_lattice.encode(d, file, known=20).collect()
+    back = [sentencepiece_lattice.decoded(r.ids, sentencepiece_lattice.model(file).out) for r in got]
+    assert len(got) == 40 and all(r.round_trip and whole.encode(t) == r.ids and t.startswith(f"{r.doc_id} w") for r, t in zip(got, back, strict=True))
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
@@ -383,13 +493,9 @@ def test_pipeline(spark, docs):
     texts = {r.doc_id: r.text for r in kept.collect()}
     exact = {}
     for r in docs.collect():
-        exact.setdefault(r.text, r.doc_id)
-    codes = np.array([slow_fingerprint(t) for t in exact], np.uint64)
-    label, ids = slow_components(codes), list(exact.values())
-    groups = defaultdict(list)
-    for i, c in zip(ids, label.tolist(), strict=True):
-        groups[c].append(i)
-    assert set(texts) == {min(g) for g in groups.values()} and sizes[0] == docs.count()
+        exact[r.text] = min(r.doc_id, exact.get(r.text, r.doc_id))
+    rows = [(i, t) for t, i in exact.items()]
+    assert set(texts) == {rows[k][0] for k in kept_by_brute_force(rows)} and sizes[0] == docs.count()
     check_pieces(corpus_pipeline.run(spark, DATA).collect(), texts, "byte_bpe_50k.json", 0)
 
 

@@ -17,12 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    A folder of our own is made only where that is unset, as in tests on one machine.
+    A folder of our own is made only where that is unset and all tasks run on this machine, as in tests; on a
+    cluster that is an error, as executors would write to disks of their own.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         ours = spark.sparkContext.getCheckpointDir()
         if ours is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             ours = "file://" + tempfile.mkdtemp(prefix="tidelog-")
             spark.sparkContext.setCheckpointDir(ours)
         where = ours
@@ -39,7 +42,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again: only what came of them, stored in its turn, is needed."""
+    for df in tables:
+        jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_mod(doc_id: Column | str, modulus: int) -> Column:

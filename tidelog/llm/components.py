@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import stored
+from tidelog.llm.common import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of an edge (a, b) between two nodes; root is the least id of its component.
 
     Each round hangs every node on the least id it can see; the number of rounds follows the logarithm of the
-    longest path. Rounds end in the shared folder, so a lost executor costs one round. Neighbours of a node are
+    longest path. Rounds end in the shared folder, so a lost executor costs one round; a round's tables go when the next is stored. Neighbours of a node are
     never gathered: a hub is a key of a join that Spark can split. Self-links and repeated links are allowed.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = stored(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        last, now = now, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discard(last, large)
         before, state = state, _state(now)
         if before == state:
             break
