@@ -125,9 +125,9 @@ def burst_contrast(recent: Column, outer: Column, recent_hours: int, outer_hours
 
 
 def engineered(rows: DataFrame, families: list[str], ages: list[str]) -> DataFrame:
-    """log counts, disjoint log rates and recent shares between neighbouring windows, freshness of ages, shares of all events; nulls become -1."""
+    """log counts, disjoint log rates and recent shares between neighbouring windows, freshness of ages, counts weighed by that of the first age, shares of all events; nulls become -1."""
     extra: dict[str, Column] = {}
-    pos = lambda c: F.greatest(F.col(c), F.lit(0))
+    pos = lambda c: F.when(F.col(c) < 0, F.lit(0)).otherwise(F.col(c))  # noqa: E731  a null stays one
     for f in families:
         for h in WINDOWS:
             extra[f"log1p__{f}_{h}h"] = F.log1p(pos(f"{f}_{h}h"))
@@ -138,6 +138,9 @@ def engineered(rows: DataFrame, families: list[str], ages: list[str]) -> DataFra
     for c in ages:
         hours = pos(c) / 3600.0
         extra |= {f"log1p_hours__{c}": F.log1p(hours), f"freshness24__{c}": F.exp(-hours / 24.0), f"freshness168__{c}": F.exp(-hours / 168.0)}
+    if ages:
+        for f in families:
+            extra[f"fresh_logcount__{f}_168h"] = F.log1p(pos(f"{f}_168h")) * F.exp(-pos(ages[0]) / 3600.0 / 24.0)
     for h in WINDOWS:
         for f in families:
             if f != "event_count" and "event_count" in families:

@@ -152,11 +152,57 @@ def e12_burst_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("channel_id", "t", F.round(features.burst_contrast(a, b, 24, 168), 6).alias("contrast"), F.round(F.log1p(a), 9).alias("log1p__a"), F.round(F.log1p(a / 24) - F.log1p((b - a) / 144), 9).alias("rate"))
 
 
-@query(f"WITH ev AS (SELECT * FROM {{ev}}), {DUCK_GRID}, c AS (SELECT g.channel_id, g.t, " + ", ".join(f"count(e.ts) FILTER (WHERE e.ts > g.t - INTERVAL {h} HOUR) AS n{h}, count(e.ts) FILTER (WHERE e.alarm AND e.ts > g.t - INTERVAL {h} HOUR) AS a{h}" for h in (1, 6, 24, 168)) + " FROM grid g LEFT JOIN ev e ON g.channel_id = e.channel_id AND e.ts <= g.t AND e.ts > g.t - INTERVAL 168 HOUR GROUP BY 1, 2) SELECT channel_id, t, round(ln(1 + n24), 9) AS log1p__event_count_24h, round(n24 / (n168 + 1.0), 9) AS recent_share__event_count_24v168h, round(ln(1 + n6 / 6.0) - ln(1 + (n24 - n6) / 18.0), 9) AS disjoint_log_rate__event_count_6v24h, round(a168 / (n168 + 1.0), 9) AS per_event__alarm_count_168h FROM c")
+#: What is counted in every window, and what the age of the latest is taken of.
+FAMILIES = {"event_count": "true", "alarm_count": "alarm", "normal_count": "state = 'signup'", "technical_count": "state IN ('error', 'purchase')", "neutral_count": "state = 'click'", "high_count": "value > 50"}
+AGES = {"last_event_age_seconds": "true", "last_alarm_age_seconds": "alarm"}
+DUCK_WIDE = (
+    f"ev AS (SELECT * FROM {{ev}}), {DUCK_GRID}, counts AS (SELECT g.channel_id, g.t, "
+    + ", ".join(f"count(e.ts) FILTER (WHERE {p} AND e.ts > g.t - INTERVAL {h} HOUR) AS {n}_{h}h" for n, p in FAMILIES.items() for h in features.WINDOWS)
+    + " FROM grid g LEFT JOIN ev e ON g.channel_id = e.channel_id AND e.ts <= g.t AND e.ts > g.t - INTERVAL 168 HOUR GROUP BY 1, 2), ages AS (SELECT g.channel_id, g.t, "
+    + ", ".join(f"date_diff('microsecond', max(e.ts) FILTER (WHERE {p}), g.t) / 1e6 AS {n}" for n, p in AGES.items())
+    + " FROM grid g LEFT JOIN ev e ON g.channel_id = e.channel_id AND e.ts <= g.t GROUP BY 1, 2), wide AS (SELECT * FROM counts JOIN ages USING (channel_id, t))"
+)
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every count in every window and the ages, at every hour."""
+    ev = journal(spark, sf_dir)
+    rows = features.hourly_counts(grid(spark, sf_dir), ev, {n: F.expr(p).cast("long") for n, p in FAMILIES.items()})
+    for n, p in AGES.items():
+        rows = asof.asof_last(rows, ev.where(p).groupBy("channel_id", "ts").agg(F.lit(1).alias("one")), ["channel_id"], "t", "ts", n)
+        rows = rows.withColumn(n, timeops.seconds_between(F.col(f"{n}.ts"), F.col("t")))
+    return rows
+
+
+def _duck_engineered() -> dict[str, str]:
+    out, pairs = {}, list(zip(features.WINDOWS, features.WINDOWS[1:], strict=False))
+    for f in FAMILIES:
+        out |= {f"log1p__{f}_{h}h": f"ln(1 + {f}_{h}h)" for h in features.WINDOWS}
+        out |= {f"disjoint_log_rate__{f}_{a}v{z}h": f"ln(1 + {f}_{a}h / {a}.0) - ln(1 + ({f}_{z}h - {f}_{a}h) / {z - a}.0)" for a, z in pairs}
+        out |= {f"recent_share__{f}_{a}v{z}h": f"{f}_{a}h / ({f}_{z}h + 1.0)" for a, z in pairs}
+        if f != "event_count":
+            out |= {f"per_event__{f}_{h}h": f"{f}_{h}h / (event_count_{h}h + 1.0)" for h in features.WINDOWS}
+        out |= {f"fresh_logcount__{f}_168h": f"coalesce(ln(1 + {f}_168h) * exp(-last_event_age_seconds / 86400), -1)"}
+    for c in AGES:
+        out |= {f"log1p_hours__{c}": f"coalesce(ln(1 + {c} / 3600), -1)", f"freshness24__{c}": f"coalesce(exp(-{c} / 86400), -1)", f"freshness168__{c}": f"coalesce(exp(-{c} / 604800), -1)"}
+    return out
+
+
+@query(f"WITH {DUCK_WIDE} SELECT channel_id, t, {', '.join(f'round({x}, 9) AS {n}' for n, x in _duck_engineered().items())} FROM wide")
 def e15_engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = features.hourly_counts(grid(spark, sf_dir), journal(spark, sf_dir), {"event_count": F.lit(1), "alarm_count": F.col("alarm").cast("long")})
-    names = ["log1p__event_count_24h", "recent_share__event_count_24v168h", "disjoint_log_rate__event_count_6v24h", "per_event__alarm_count_168h"]
-    return features.engineered(c, ["event_count", "alarm_count"], []).select("channel_id", "t", *[F.round(n, 9).alias(n) for n in names])
+    """All engineered columns of six families and two ages; the transform takes any number of either."""
+    got = features.engineered(wide(spark, sf_dir), list(FAMILIES), list(AGES))
+    return got.select("channel_id", "t", *[F.round(n, 9).alias(n) for n in _duck_engineered()])
+
+
+_MATRIX = [*[f"{n}_{h}h" for n in list(FAMILIES)[:5] for h in features.WINDOWS], "last_alarm_age_seconds"]
+
+
+@query(f"WITH {DUCK_WIDE} SELECT channel_id, t, {', '.join(f'round(ln(1 + coalesce({c}, 0)), 9) AS log1p__{c}, CAST({c} IS NULL AS INT) AS missing__{c}' for c in _MATRIX)} FROM wide")
+def e13_model_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 42 columns of the model: 21 logarithms and their missing masks."""
+    got = features.model_matrix(wide(spark, sf_dir), _MATRIX)
+    return got.select("channel_id", "t", *[F.round(f"log1p__{c}", 9).alias(f"log1p__{c}") for c in _MATRIX], *[f"missing__{c}" for c in _MATRIX])
 
 
 @query("SELECT e.row_id, round((value - q[1]) / CASE WHEN q[3] = q[2] THEN 1 ELSE q[3] - q[2] END, 6) AS scaled FROM {ev} e JOIN (SELECT state, quantile_cont(value, [0.5, 0.1, 0.9]) AS q FROM {ev} GROUP BY 1) s ON e.state = s.state")

@@ -102,12 +102,6 @@ def e06_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.availability(rows, False).select("channel_id", "t", F.array_join("availability_reasons", ",").alias("reasons"))
 
 
-@query("SELECT row_id, round(ln(1 + value), 9) AS log1p__value, CAST(0 AS INT) AS missing__value FROM {ev} WHERE state <> 'view' UNION ALL SELECT row_id, 0.0, 1 FROM {ev} WHERE state = 'view'")
-def e13_model_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = journal(spark, sf_dir).select("row_id", F.when(F.col("state") != "view", F.col("value")).alias("value"))
-    return features.model_matrix(rows, ["value"]).select("row_id", F.round("log1p__value", 9).alias("log1p__value"), "missing__value")
-
-
 @query(f"WITH ev AS (SELECT * FROM {{ev}}), {feature_plans.DUCK_GRID} SELECT g.channel_id, g.t, count(e.ts) FILTER (WHERE e.row_id % 11 <> 0) AS batch_24h, count(e.ts) AS live_24h FROM grid g LEFT JOIN ev e ON g.channel_id = e.channel_id AND e.ts <= g.t AND e.ts > g.t - INTERVAL 24 HOUR GROUP BY 1, 2")
 def e23_live_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Serving counts every row; batch leaves out what quality flags exclude."""
