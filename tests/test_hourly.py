@@ -99,3 +99,14 @@ def test_random_journals_still_have_episodes(spark):
     ev = spark.createDataFrame(random_events(4), EVENT).withColumns({"segment": F.lit(0), "effect": F.when(F.col("state") == "error", "fault").when(F.col("state") == "signup", "normal").otherwise("neutral")})
     got = episodes.registered_episodes(ev)
     assert got.count() > 10 and got.where("end_at <= start_at").count() == 0 and got.select("episode_id").distinct().count() == got.count()
+
+
+def test_copies_with_null_keys_are_copies(spark):
+    from tidelog.operators import ingest
+
+    rows = [(7, "a", None), (3, "a", None), (5, None, "a"), (9, None, None), (11, None, None), (13, "a", "")]
+    df = spark.createDataFrame(rows, "row_id long, k string, z string").withColumns({"invalid": F.col("row_id") == 5, "repeated_header": F.lit(False)})
+    got = {r.row_id: (r.disposition, r.first_row_id) for r in ingest.classify(df, ["k", "z"]).collect()}
+    assert got == {3: ("accepted", 3), 7: ("exact_duplicate", 3), 5: ("quarantine", 5), 9: ("accepted", 9), 11: ("exact_duplicate", 9), 13: ("accepted", 13)}
+    parts = ingest.classify_parts(df, 3, ["k", "z"])
+    assert {r.row_id: (r.disposition, r.first_row_id) for r in parts.collect()} == got

@@ -36,14 +36,16 @@ def normalize(raw: DataFrame, header: list[str]) -> DataFrame:
 def classify(rows: DataFrame, keys: list[str] = RAW) -> DataFrame:
     """rows with first_row_id and disposition: repeated_header, exact_duplicate, quarantine, accepted, first that applies.
 
-    The first row id of equal keys (nulls equal) comes from a grouped minimum and a null-safe join, so copies
-    are combined before the shuffle and a key with many copies is no task's burden: the join splits it.
+    The first row id of equal keys (nulls equal) comes from a grouped minimum, which combines copies before the
+    shuffle; only keys with copies are joined back, by a hash of the key and then by the key itself, so a key
+    with many copies is no task's burden and most rows meet no partner.
     """
-    first = rows.groupBy(*keys).agg(F.min("row_id").alias("first_row_id")).select(*[F.col(k).alias(f"k_{k}") for k in keys], "first_row_id")
-    same = F.lit(True)
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"k_{k}"))
-    joined = rows.join(first, same).drop(*[f"k_{k}" for k in keys])
+    hashed = rows.withColumn("kh_", F.xxhash64(*keys))
+    first = hashed.groupBy("kh_", *keys).agg(F.min("row_id").alias("first_"), F.count(F.lit(1)).alias("n_")).where("n_ > 1")
+    first = first.select(F.col("kh_").alias("fh_"), F.struct(*keys).alias("key_"), "first_")
+    # Fields of structs compare with nulls equal; as a negation it is checked on equal hashes and is no key of the join.
+    same = (F.col("kh_") == F.col("fh_")) & ~(F.struct(*[F.col(k) for k in keys]) != F.col("key_"))
+    joined = hashed.join(first, same, "left").withColumn("first_row_id", F.coalesce("first_", "row_id")).drop("kh_", "fh_", "key_", "first_")
     kind = F.when(F.col("repeated_header"), "repeated_header").when(F.col("row_id") != F.col("first_row_id"), "exact_duplicate").when(F.col("invalid"), "quarantine").otherwise("accepted")
     return joined.withColumn("disposition", kind)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import parse, rules
 from tidelog.operators import ingest, intervals
 from tidelog.plans.registry import journal, query, run_sql, table
+from tidelog.sources import sinks
 
 #: Raw strings as a journal file would hold them, with a quarter of the rows repeated and some spoilt.
 RAW_SQL = """
@@ -48,7 +49,7 @@ def classified_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = classified_rows(spark, sf_dir)
+    rows = sinks.stored(classified_rows(spark, sf_dir), "classified")
     accepted = rows.where("disposition = 'accepted'")
     channels = table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").selectExpr("CAST(c_custkey AS STRING) AS channel_id", "CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN 99 ELSE c_nationkey END AS object_id")
     objects = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS object_id", "n_name AS object_name")

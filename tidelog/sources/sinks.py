@@ -20,6 +20,13 @@ def work_path(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame, what: str) -> DataFrame:
+    """rows, written to the shared folder and read from there: what several readers need is made once."""
+    path = work_path(rows.sparkSession, what)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_months(rows: DataFrame, path: str, at: str, order: list[str], files_per_month: int = 1) -> None:
     """Parquet by year and month, each file in the order given.
 
