@@ -42,9 +42,44 @@ PROJECT_RULES = {
     (MOTION, "Движения нет"): ("normal", "observed_clear_state"),
     (DOOR, "Не замкнут"): ("operational", "observed_contact_state"),
 }
+#: How the numeric, the discrete and the context detectors apply to each sensor type.
+TYPE_MODES = {
+    "Датчик температуры": ("primary", "supplemental", "supplemental"),
+    "Газовый датчик": ("primary", "supplemental", "supplemental"),
+    "Датчик дыма": ("not_applicable", "primary", "supplemental"),
+    "Тепловой датчик": ("not_applicable", "primary", "supplemental"),
+    "Датчик движения": ("not_applicable", "primary", "supplemental"),
+    "КД АВ": ("not_applicable", "conditional", "supplemental"),
+    "КД Дверь": ("not_applicable", "primary", "supplemental"),
+    "КД Люк": ("not_applicable", "primary", "supplemental"),
+    "9-секционный люк": ("not_applicable", "conditional", "supplemental"),
+    "Стекло": ("not_applicable", "primary", "supplemental"),
+    "Датчик затопления": ("not_applicable", "primary", "supplemental"),
+    "Состояние насоса": ("not_applicable", "primary", "supplemental"),
+    "Состояние вентилятора": ("not_applicable", "primary", "supplemental"),
+    "ИБП": ("conditional", "primary", "primary"),
+    "Состояние фазы": ("not_applicable", "primary", "primary"),
+    "Состояние УИР-Р": ("not_applicable", "conditional", "conditional"),
+    "Переключатель": ("not_applicable", "primary", "primary"),
+    "Ручной извещатель": ("not_applicable", "primary", "primary"),
+    "Состояние охраны": ("not_applicable", "primary", "primary"),
+}
 MESSAGE = "struct<category:string,source:string,reason:string,status:string,target:boolean>"
 
 
+def dispatched(rows: DataFrame) -> DataFrame:
+    """rows (sensor_type) with the policy of their type: numeric_mode, discrete_mode, context_mode, primary_mode and needs_review.
+
+    primary_mode is numeric where that is primary, else discrete; both are null for types without a policy. The table
+    of policies is one map of fixed size, so nothing is joined.
+    """
+    policies = F.create_map(*[x for t, modes in TYPE_MODES.items() for x in (F.lit(t), F.array(*map(F.lit, modes)))])
+    own = F.try_element_at(policies, F.col("sensor_type"))
+    with_modes = rows.withColumn("modes_", own).withColumns({f"{n}_mode": F.get("modes_", F.lit(i)) for i, n in enumerate(("numeric", "discrete", "context"))}).drop("modes_")
+    primary = F.when(F.col("numeric_mode") == "primary", "numeric").when(F.col("discrete_mode").isin("primary", "conditional"), "discrete")
+    return with_modes.withColumns({"primary_mode": primary, "needs_review": F.coalesce(F.when(primary == "numeric", F.col("numeric_mode")).otherwise(F.col("discrete_mode")) == "conditional", F.lit(False))})
+
+
 def dictionary(spark: SparkSession, rows: list[tuple[str, str, str, str]]) -> DataFrame:
     """(sensor_type, value_state, category, reason): a bounded table of what dictionary texts mean."""
     return spark.createDataFrame(rows, "rule_type string, rule_state string, rule_category string, rule_reason string")
@@ -54,7 +89,7 @@ def classify_messages(events: DataFrame, rules: DataFrame) -> DataFrame:
     """events with `message`: exact matching of (sensor_type, value_state), first rule that applies.
 
     Unknown type; no text; registered fault; normal; undefined; project rules; the dictionary's candidate;
-    unmapped. `rules` is a small table (one row a dictionary entry) and is broadcast.
+    unmapped. `rules` is a table of one row a dictionary entry; Spark broadcasts it within its own size bound.
     """
     def message(cat: str, source: str, reason: str, status: str, target: bool = False) -> Column:
         return F.struct(F.lit(cat).alias("category"), F.lit(source).alias("source"), F.lit(reason).alias("reason"), F.lit(status).alias("status"), F.lit(target).alias("target"))
@@ -69,7 +104,7 @@ def classify_messages(events: DataFrame, rules: DataFrame) -> DataFrame:
         out = out.when((kind == t) & (state == s), message(cat, "project_rule", reason, "project_defined"))
     known = F.struct(F.col("rule_category").alias("category"), F.when(F.col("rule_category") == "unknown", "unresolved").otherwise("dictionary_candidate").alias("source"), F.col("rule_reason").alias("reason"), F.when(F.col("rule_category") == "unknown", "requires_review").otherwise("candidate_only").alias("status"), F.lit(False).alias("target"))
     out = out.when(F.col("rule_category").isNotNull(), known).otherwise(message("unknown", "unresolved", "unmapped_state", "unknown_state"))
-    joined = events.join(F.broadcast(rules), (kind == F.col("rule_type")) & (state == F.col("rule_state")), "left")
+    joined = events.join(rules, (kind == F.col("rule_type")) & (state == F.col("rule_state")), "left")
     return joined.withColumn("message", out.cast(MESSAGE)).drop("rule_type", "rule_state", "rule_category", "rule_reason")
 
 

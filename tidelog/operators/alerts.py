@@ -104,6 +104,13 @@ def threshold_curve(rows: DataFrame, score: str, thresholds: list[float], hours:
     return emitted.withColumn("hit", hit).groupBy("threshold").agg(F.count(F.lit(1)).alias("warnings"), F.count(F.when(F.col("hit"), 1)).alias("matched"))
 
 
+def compared(summaries: DataFrame, baseline: str) -> DataFrame:
+    """summaries (variant, precision, recall, f1, unmatched_per_1000) with their differences from the baseline's row."""
+    of = ["recall", "f1", "unmatched_per_1000"]
+    base = summaries.where(F.col("variant") == baseline).select(*[F.col(c).alias(f"b_{c}") for c in of])
+    return summaries.crossJoin(base).select(*summaries.columns, *[(F.col(c) - F.col(f"b_{c}")).alias(f"delta_{c}") for c in of])
+
+
 def within_budget(curve: DataFrame, channel_days: int, most_per_1000: float) -> DataFrame:
     """The threshold with most matched, then fewest unmatched, then highest, of those within the budget of unmatched warnings."""
     unmatched = F.col("warnings") - F.col("matched")

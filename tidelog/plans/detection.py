@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import rules, timeops
-from tidelog.operators import asof, detectors, episodes
+from tidelog.operators import asof, detectors, episodes, observability
 from tidelog.operators.features import hours_of
 from tidelog.plans import features
-from tidelog.plans.registry import journal, query, table
+from tidelog.plans.registry import EVENTS, journal, query, run_sql, table
 
 SEGMENTS = [("2024-01-01 00:00:00", "2024-01-16 00:00:00"), ("2024-01-16 00:00:00", "2024-02-01 00:00:00")]
 
@@ -197,9 +197,21 @@ def k13_onset_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return episodes.onset_labels(points, found, observed, 24)
 
 
-@query("WITH g AS (SELECT channel_id, date_trunc('hour', ts) AS h, list_sort(list_distinct(list(state))) AS s FROM {ev} GROUP BY 1, 2) SELECT CASE WHEN len(s) = 1 THEN 'single' WHEN list_contains(s, 'error') AND list_contains(s, 'signup') THEN 'normal_and_fault' WHEN list_contains(s, 'error') THEN 'fault_and_other' ELSE 'other_pair' END AS kind, count(*) AS n FROM g GROUP BY 1")
+#: Messages in instants of six hours, so that groups occur; numbers and texts by the row.
+_MESSAGES = """SELECT channel_id, {six} AS ts, CASE WHEN row_id % 23 = 0 THEN NULL WHEN CAST(channel_id AS INT) % 2 = 0 THEN 'heat' ELSE 'gas' END AS sensor_type,
+CASE WHEN state IN ('view', 'purchase') THEN CAST(floor(value / 50) AS DOUBLE) * 30 + 10 END AS value_numeric, CASE WHEN state = 'view' OR state = 'purchase' THEN NULL WHEN state = 'signup' THEN 'fine' WHEN state = 'click' THEN 'in range' ELSE 'broken' END AS value_state,
+row_id % 9 = 0 AS alarm, CASE WHEN state IN ('view', 'purchase') THEN concat(CAST(floor(value / 50) AS INT), '') ELSE state END AS value_raw, row_id % 31 = 0 AS odd, CASE WHEN row_id % 19 = 0 THEN 'code' ELSE 'ordinary' END AS qa,
+CASE WHEN row_id % 23 = 0 THEN 'uncertain' WHEN state = 'error' THEN 'fault' WHEN state = 'signup' THEN 'normal' ELSE 'neutral' END AS effect FROM {{ev}}"""
+
+
+@query("WITH m AS (" + _MESSAGES.replace("{six}", "time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')").replace("{{ev}}", "{ev}") + """),
+g AS (SELECT channel_id, ts, count(*) AS n, list_distinct(list(coalesce(sensor_type, '?'))) AS kinds, list_distinct(list(value_numeric)) AS numbers, list_distinct(list(value_state)) AS texts, list_distinct(list(alarm)) AS alarms, count(DISTINCT (value_raw, alarm)) AS variants, bool_or(odd) AS odd, bool_or(qa = 'code') AS blocked, bool_or(effect = 'fault') AND bool_or(effect = 'normal') AS contradiction FROM m GROUP BY 1, 2)
+SELECT channel_id, ts, n, CASE WHEN len(kinds) <> 1 OR kinds[1] = '?' THEN 'unknown_or_conflicting_type' WHEN contradiction THEN 'registered_fault_and_normal_same_second' WHEN odd THEN 'nonfinite_or_invalid_time' WHEN blocked THEN 'qa_technical_artifact_or_code' WHEN len(numbers) > 1 THEN 'multiple_numeric_values_unordered' WHEN variants <= 1 THEN 'single_variant_visible_in_full_archive'
+WHEN len(texts) = 0 AND len(numbers) = 1 AND len(alarms) = 1 THEN 'equivalent_numeric_format_candidate' WHEN len(numbers) = 1 AND len(texts) > 0 AND alarms = [false] THEN CASE WHEN kinds[1] = 'heat' AND list_has_all(['fine', 'in range'], texts) AND list_contains(texts, 'in range') THEN CASE WHEN numbers[1] BETWEEN 3 AND 30 THEN 'temperature_range_companion_candidate' ELSE 'numeric_temperature_range_disagreement' END WHEN texts = ['fine'] THEN 'numeric_norma_companion_candidate' ELSE 'numeric_and_text_unresolved' END
+WHEN len(numbers) = 0 AND len(texts) = 1 AND len(alarms) > 1 THEN 'same_text_alarm_disagreement' WHEN len(texts) > 1 THEN 'multiple_text_states_unordered' ELSE 'other_variant_disagreement' END AS pair_category, contradiction, len(numbers) > 1 AS multiple_numeric_values, len(alarms) > 1 AS alarm_difference FROM g""")
 def k17_same_time_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("s")
-    g = journal(spark, sf_dir).groupBy("channel_id", timeops.floor_hour(F.col("ts")).alias("h")).agg(F.array_sort(F.collect_set("state")).alias("s"))
-    kind = F.when(F.size(s) == 1, "single").when(F.array_contains(s, "error") & F.array_contains(s, "signup"), "normal_and_fault").when(F.array_contains(s, "error"), "fault_and_other").otherwise("other_pair")
-    return g.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """Groups of messages at one instant by what they are to each other."""
+    six = "CAST(date_trunc('DAY', ts) AS TIMESTAMP_NTZ) + make_dt_interval(0, CAST(floor(hour(ts) / 6) AS INT) * 6)"
+    messages = run_sql(spark, sf_dir, _MESSAGES.replace("{six}", six).replace("{{ev}}", f"({EVENTS})"))
+    flagged = messages.withColumn("flags", F.when(F.col("odd"), F.array(F.lit("nonfinite_numeric"))).otherwise(F.array().cast("array<string>")))
+    return observability.same_time_groups(flagged, ["code"], "in range", "fine", ["heat"], ["heat", "gas"], ["heat", "gas"], 3, 30)

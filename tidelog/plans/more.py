@@ -13,7 +13,6 @@ from tidelog.sources import readers, sinks
 
 sql_query("z21_stability_by_month", "SELECT month(ts) AS m, state, count(*) AS n, count(DISTINCT channel_id) AS channels, round(CAST(count(*) AS DOUBLE) / count(DISTINCT channel_id), 6) AS per_channel FROM {ev} GROUP BY month(ts), state", "SELECT CAST(month(ts) AS INT) AS m, state, count(*) AS n, count(DISTINCT channel_id) AS channels, round(CAST(count(*) AS DOUBLE) / count(DISTINCT channel_id), 6) AS per_channel FROM {ev} GROUP BY month(ts), state")
 sql_query("x23_key_boundaries", "SELECT count(*) AS groups FROM (SELECT user_id, event_type, props FROM {events} GROUP BY user_id, event_type, props)")
-sql_query("a09_variant_comparison", "WITH v AS (SELECT 'base' AS variant, state, count(*) AS n FROM {ev} GROUP BY state UNION ALL SELECT 'high', state, count(*) FROM {ev} WHERE value > 20 GROUP BY state) SELECT v.variant, v.state, v.n, v.n - b.n AS delta FROM v JOIN v b ON b.variant = 'base' AND v.state = b.state")
 sql_query("e22_pack_join", "WITH a AS (SELECT event_id, value FROM {events}), b AS (SELECT event_id, event_type FROM {events}) SELECT a.event_id, a.value, b.event_type FROM a JOIN b ON a.event_id = b.event_id")
 
 
@@ -109,10 +108,15 @@ def e23_live_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.hourly_counts(feature_plans.grid(spark, sf_dir), journal(spark, sf_dir), values, [24])
 
 
-@query("SELECT row_id, CASE state WHEN 'error' THEN 'discrete' WHEN 'signup' THEN 'discrete' WHEN 'view' THEN 'numeric' ELSE 'none' END AS mode FROM {ev}")
+_TYPES = list(rules.TYPE_MODES)
+_DUCK_MODES = ", ".join(f"({i}, '{t}', '{n}', '{d}', '{c}')" for i, (t, (n, d, c)) in enumerate(rules.TYPE_MODES.items()))
+
+
+@query(f"SELECT row_id, t.kind AS sensor_type, numeric_mode, discrete_mode, context_mode, CASE WHEN numeric_mode = 'primary' THEN 'numeric' WHEN discrete_mode IN ('primary', 'conditional') THEN 'discrete' END AS primary_mode, coalesce(discrete_mode = 'conditional', false) AS needs_review FROM {{ev}} e LEFT JOIN (VALUES {_DUCK_MODES}) t(i, kind, numeric_mode, discrete_mode, context_mode) ON row_id % {len(_TYPES) + 1} = t.i")
 def k14_type_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    policies = spark.createDataFrame([("error", "discrete"), ("signup", "discrete"), ("view", "numeric")], "kind string, mode string")
-    return journal(spark, sf_dir).join(F.broadcast(policies), F.col("state") == F.col("kind"), "left").select("row_id", F.coalesce("mode", F.lit("none")).alias("mode"))
+    """The policy of every sensor type; one row in twenty has a type without."""
+    kinds = F.get(F.array(*map(F.lit, _TYPES)), (F.col("row_id") % (len(_TYPES) + 1)).cast("int"))
+    return rules.dispatched(journal(spark, sf_dir).select("row_id", kinds.alias("sensor_type")))
 
 
 @query()
@@ -230,3 +234,63 @@ def e01_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e05_frozen_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = features.frozen_baseline(feature_plans.grid(spark, sf_dir), journal(spark, sf_dir), 24, 168, 10, 120)
     return got.select("channel_id", "t", F.col("baseline_event_count").alias("n"), F.round("baseline_numeric_median", 6).alias("median"))
+
+
+_VARIANTS = {"baseline": 4.0, "lower": 2.5, "higher": 6.0}
+_DUCK_VARIANTS = f"""{scoring.DUCK_POINTS}, th AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {t})" for n, t in _VARIANTS.items())}) v(variant, th)),
+q AS (SELECT variant, z.*, row_number() OVER (PARTITION BY variant, channel_id ORDER BY t) AS i FROM z, th WHERE rule_score >= th),
+c AS (SELECT variant, channel_id, t, target, episode, i, t AS last, true AS emitted FROM q WHERE i = 1
+UNION ALL SELECT q.variant, q.channel_id, q.t, q.target, q.episode, q.i, CASE WHEN q.t >= c.last + INTERVAL 24 HOUR THEN q.t ELSE c.last END, q.t >= c.last + INTERVAL 24 HOUR FROM c JOIN q ON q.variant = c.variant AND q.channel_id = c.channel_id AND q.i = c.i + 1),
+o AS (SELECT variant, target = 1 AND row_number() OVER (PARTITION BY variant, episode ORDER BY channel_id, t) = 1 AS hit FROM c WHERE emitted),
+v AS (SELECT variant, count(*) AS warnings, count(*) FILTER (WHERE hit) AS matched FROM o GROUP BY 1), d AS (SELECT count(DISTINCT (channel_id, CAST(t AS DATE))) AS days, count(DISTINCT episode) AS truth FROM z),
+m AS (SELECT th.variant, coalesce(warnings, 0) AS warnings, coalesce(matched, 0) AS matched, CASE WHEN warnings > 0 THEN matched / warnings ELSE 0 END AS precision, coalesce(matched, 0) / truth AS recall, (coalesce(warnings, 0) - coalesce(matched, 0)) * 1000 / days AS per FROM th LEFT JOIN v ON th.variant = v.variant, d),
+f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM m)""".replace("\nf AS (SELECT *, CASE WHEN precision", "\nff AS (SELECT *, CASE WHEN precision")
+
+
+@query(f"WITH RECURSIVE {_DUCK_VARIANTS} SELECT ff.variant, ff.warnings, ff.matched, round(ff.f1, 9) AS f1, round(ff.recall - b.recall, 9) AS delta_recall, round(ff.f1 - b.f1, 9) AS delta_f1, round(ff.per - b.per, 6) AS delta_unmatched_per_1000 FROM ff, (SELECT * FROM ff WHERE variant = 'baseline') b")
+def a09_variant_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule at three thresholds over the same truth, and what each differs from the baseline by."""
+    rows = scoring.labelled(spark, sf_dir)
+    each = F.explode(F.map_from_arrays(F.array(*map(F.lit, _VARIANTS)), F.array(*map(F.lit, _VARIANTS.values()))))
+    spread = rows.select("*", each.alias("variant", "threshold"))
+    emitted = alerts.cooldown(spread.where("rule_score >= threshold"), ["variant", "channel_id"], "prediction_time").where("emitted")
+    first = F.row_number().over(Window.partitionBy("variant", "target_episode_id").orderBy("channel_id", "prediction_time")) == 1
+    outcomes = emitted.withColumns({"outcome": F.when((F.col("target") == 1) & first, "matched_episode").otherwise("other"), "lead_hours": F.lit(None).cast("double")})
+    got = alerts.compared(alerts.alert_summary(spread, outcomes, ["variant"]), "baseline")
+    return got.select("variant", "warnings", "matched", F.round("f1", 9).alias("f1"), F.round("delta_recall", 9).alias("delta_recall"), F.round("delta_f1", 9).alias("delta_f1"), F.round("delta_unmatched_per_1000", 6).alias("delta_unmatched_per_1000"))
+
+
+@query()
+def e14_context_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled counts of every channel at its last hour in four clusters, by Spark's own seeded k-means, with the distance to the centre as a contrast."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import RobustScaler, VectorAssembler
+
+    wide = feature_plans.wide(spark, sf_dir)
+    names = [f"{n}_{h}h" for n in feature_plans.FAMILIES for h in (24, 168)]
+    last = wide.groupBy("channel_id").agg(F.max_by(F.struct(*names), "t").alias("r")).select("channel_id", "r.*")
+    matrix = VectorAssembler(inputCols=names, outputCol="raw").transform(last)
+    scaled = RobustScaler(inputCol="raw", outputCol="x", lower=0.1, upper=0.9, withCentering=True, relativeError=0.0).fit(matrix).transform(matrix)
+    fitted = KMeans(featuresCol="x", predictionCol="cluster", k=4, seed=7).fit(scaled)
+    from pyspark.ml.functions import vector_to_array
+
+    centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in fitted.clusterCenters()])
+    own = F.get(centres, F.col("cluster"))
+    distance = F.sqrt(F.aggregate(F.zip_with(vector_to_array("x"), own, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    return fitted.transform(scaled).select("channel_id", "cluster", F.round(distance, 9).alias("distance"))
+
+
+@query()
+def a16_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradient boosted trees on the first three quarters of the hours, and their score of every point of the rest."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = scoring.rule_rows(spark, sf_dir).join(scoring.labelled(spark, sf_dir).select("channel_id", F.col("prediction_time").alias("t"), "target"), ["channel_id", "t"])
+    matrix = VectorAssembler(inputCols=list(alerts.TERMS), outputCol="x").transform(rows)
+    hours = features.hours_of(journal(spark, sf_dir))
+    cut = F.expr(f"timestampadd(SECOND, CAST(timestampdiff(SECOND, TIMESTAMP_NTZ '{hours[0]}', TIMESTAMP_NTZ '{hours[1]}') * 0.75 AS INT), TIMESTAMP_NTZ '{hours[0]}')")
+    fitted = GBTClassifier(featuresCol="x", labelCol="target", maxIter=10, maxDepth=3, seed=7).fit(matrix.where(F.col("t") < cut))
+    scored = fitted.transform(matrix.where(F.col("t") >= cut))
+    return scored.select("channel_id", "t", "target", F.round(vector_to_array("probability")[1], 9).alias("score"))

@@ -43,7 +43,7 @@ sql_query("g07_group_by_all", "SELECT state, alarm, count(*) AS n FROM {ev} GROU
 sql_query("g08_bool_or_and", "SELECT channel_id, bool_or(alarm) AS any_alarm, bool_and(value > 1) AS all_over_one FROM {ev} GROUP BY channel_id")
 sql_query("g09_min_max_distinctness", "SELECT channel_id, date_trunc('HOUR', ts) AS hour, min(state) <> max(state) AS ambiguous FROM {ev} GROUP BY channel_id, date_trunc('HOUR', ts)")
 sql_query("g10_any_value", "SELECT o_custkey, any_value(c_name) AS name, count(*) AS n FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY o_custkey")
-sql_query("g11_bottom_n_structs", "SELECT channel_id, array_join(transform(slice(array_sort(collect_list(struct(value, row_id))), 1, 3), x -> CAST(x.row_id AS STRING)), ',') AS lowest FROM {ev} GROUP BY channel_id", "SELECT channel_id, array_to_string(list_transform(list_slice(list_sort(list({{'v': value, 'r': row_id}})), 1, 3), lambda x: CAST(x.r AS VARCHAR)), ',') AS lowest FROM {ev} GROUP BY channel_id".replace("{{", "{").replace("}}", "}").replace("{'v': value, 'r': row_id}", "struct_pack(v := value, r := row_id)"))
+sql_query("g11_bottom_n_structs", "SELECT channel_id, array_join(transform(array_sort(collect_list(struct(r, row_id))), x -> CAST(x.row_id AS STRING)), ',') AS lowest FROM (SELECT channel_id, row_id, row_number() OVER (PARTITION BY channel_id ORDER BY value, row_id) AS r FROM {ev}) WHERE r <= 3 GROUP BY channel_id", "SELECT channel_id, array_to_string(list_transform(list_slice(list_sort(list({{'v': value, 'r': row_id}})), 1, 3), lambda x: CAST(x.r AS VARCHAR)), ',') AS lowest FROM {ev} GROUP BY channel_id".replace("{{", "{").replace("}}", "}").replace("{'v': value, 'r': row_id}", "struct_pack(v := value, r := row_id)"))
 sql_query("g12_nest_structs", "SELECT o_custkey, array_join(transform(array_sort(collect_list(struct(o_orderdate, o_orderkey))), x -> CAST(x.o_orderkey AS STRING)), '>') AS path FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), '>' ORDER BY o_orderdate, o_orderkey) AS path FROM {orders} GROUP BY o_custkey")
 sql_query("g13_unnest_histogram", "SELECT flag, count(*) AS n FROM (SELECT explode(filter(array(CASE WHEN alarm THEN 'alarm' END, CASE WHEN value > 80 THEN 'high' END, CASE WHEN value < 5 THEN 'low' END), x -> x IS NOT NULL)) AS flag FROM {ev}) GROUP BY flag", "SELECT flag, count(*) AS n FROM (SELECT unnest([CASE WHEN alarm THEN 'alarm' END, CASE WHEN value > 80 THEN 'high' END, CASE WHEN value < 5 THEN 'low' END]) AS flag FROM {ev}) WHERE flag IS NOT NULL GROUP BY flag")
 sql_query("g15_quantiles", "SELECT channel_id, round(percentile(value, 0.1), 6) AS q10, round(percentile(value, 0.9), 6) AS q90, round(percentile(value, 0.75) - percentile(value, 0.25), 6) AS iqr FROM {ev} GROUP BY channel_id", "SELECT channel_id, round(quantile_cont(value, 0.1), 6) AS q10, round(quantile_cont(value, 0.9), 6) AS q90, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM {ev} GROUP BY channel_id")
@@ -76,7 +76,7 @@ sql_query("w14_segments_by_gap", "SELECT row_id, CAST(sum(b) OVER (PARTITION BY
 sql_query("w15_last_change", "SELECT row_id, last(CASE WHEN c THEN ts END, true) OVER (PARTITION BY channel_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS changed_at FROM (SELECT *, NOT (lag(state) OVER (PARTITION BY channel_id ORDER BY ts) <=> state) AS c FROM {ev})", "SELECT row_id, last_value(CASE WHEN c THEN ts END IGNORE NULLS) OVER (PARTITION BY channel_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS changed_at FROM (SELECT *, lag(state) OVER (PARTITION BY channel_id ORDER BY ts) IS DISTINCT FROM state AS c FROM {ev})")
 sql_query("w20_time_reversals", "SELECT source, count(*) AS reversals FROM (SELECT user_id % 5 AS source, ts < lag(ts) OVER (PARTITION BY user_id % 5 ORDER BY md5(CAST(event_id AS VARCHAR(20)))) AS back FROM {events}) WHERE back GROUP BY source")
 sql_query("w22_mode_changes", "SELECT row_id, coalesce(state <> p AND ts - q <= INTERVAL '24' HOUR, false) AS changed FROM (SELECT row_id, ts, state, lag(state) OVER w AS p, lag(ts) OVER w AS q FROM {ev} WINDOW w AS (PARTITION BY channel_id, ts >= CAST('2024-01-16' AS TIMESTAMP_NTZ) ORDER BY ts))", "SELECT row_id, coalesce(state <> p AND ts - q <= INTERVAL '24' HOUR, false) AS changed FROM (SELECT row_id, ts, state, lag(state) OVER w AS p, lag(ts) OVER w AS q FROM {ev} WINDOW w AS (PARTITION BY channel_id, ts >= CAST('2024-01-16' AS TIMESTAMP) ORDER BY ts))")
-sql_query("w23_order_check", "SELECT f, count(*) AS decreases FROM (SELECT f, k, lag(k) OVER (PARTITION BY f ORDER BY l_partkey, l_orderkey, l_linenumber) AS p FROM (SELECT l_returnflag AS f, l_partkey, l_linenumber, l_orderkey, l_orderkey AS k FROM {lineitem})) WHERE p > k GROUP BY f")
+sql_query("w23_order_check", "SELECT f, count(*) AS decreases FROM (SELECT f, k, lag(k) OVER (PARTITION BY f ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS p FROM (SELECT l_returnflag AS f, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, struct(l_shipdate, l_partkey, l_suppkey) AS k FROM {lineitem})) WHERE p > k GROUP BY f", "SELECT f, count(*) AS decreases FROM (SELECT f, k, lag(k) OVER (PARTITION BY f ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS p FROM (SELECT l_returnflag AS f, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, row(l_shipdate, l_partkey, l_suppkey) AS k FROM lineitem)) WHERE p > k GROUP BY f")
 sql_query("w24_stratified_sample", "SELECT channel_id, row_id FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY md5(CAST(row_id AS VARCHAR(20)))) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY md5(CAST(row_id AS VARCHAR(20)))) AS r FROM {ev}) WHERE r <= 2) WHERE r2 <= 20")
 sql_query("w25_top_quartile_hash", "SELECT channel_id FROM (SELECT channel_id, n, row_number() OVER (ORDER BY n DESC, channel_id) AS r, count(*) OVER () AS c FROM (SELECT channel_id, count(*) AS n FROM {ev} GROUP BY channel_id)) WHERE r <= floor((c + 3) / 4) ORDER BY md5(channel_id) LIMIT 10")
 
@@ -106,13 +106,13 @@ sql_query("x19_finite", "SELECT row_id, coalesce(NOT isnan(v) AND abs(v) <> doub
 sql_query("x20_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k, get_json_object(props, '$.absent') AS absent FROM {events}", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, json_extract_string(props, '$.absent') AS absent FROM {events}")
 sql_query("x21_nullable_bool", "SELECT c_custkey, coalesce(CAST(CASE WHEN t IN ('true', '1', 'yes', 'да') THEN true WHEN t IN ('false', '0', 'no', 'нет') THEN false END AS VARCHAR(5)), 'unknown') AS b FROM (SELECT c_custkey, lower(CASE c_custkey % 5 WHEN 0 THEN 'Да' WHEN 1 THEN 'НЕТ' WHEN 2 THEN '1' WHEN 3 THEN 'False' ELSE '?' END) AS t FROM {customer})")
 sql_query("x22_maps", "SELECT event_id, array_join(map_keys(map_filter(map('f24', value, 'f168', value - 50), (k, v) -> v > 0)), ',') AS terms FROM {events}", "SELECT event_id, concat_ws(',', CASE WHEN value > 0 THEN 'f24' END, CASE WHEN value - 50 > 0 THEN 'f168' END) AS terms FROM {events}")
-sql_query("x12_ordered_distinct", "SELECT o_custkey, array_join(array_distinct(transform(array_sort(collect_list(struct(o_orderdate, o_orderkey, o_orderpriority))), x -> x.o_orderpriority)), ',') AS seen FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY f) AS seen FROM (SELECT o_custkey, o_orderpriority, min((o_orderdate, o_orderkey)) AS f FROM {orders} GROUP BY 1, 2) GROUP BY o_custkey")
+sql_query("x12_ordered_distinct", "SELECT o_custkey, array_join(transform(array_sort(collect_list(struct(f, o_orderpriority))), x -> x.o_orderpriority), ',') AS seen FROM (SELECT o_custkey, o_orderpriority, min(struct(o_orderdate, o_orderkey)) AS f FROM {orders} GROUP BY o_custkey, o_orderpriority) GROUP BY o_custkey", "SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY f) AS seen FROM (SELECT o_custkey, o_orderpriority, min((o_orderdate, o_orderkey)) AS f FROM {orders} GROUP BY 1, 2) GROUP BY o_custkey")
 
 # Further constructs.
 sql_query("z01_value_bands", "SELECT CASE WHEN value < 10 THEN 0 WHEN value < 50 THEN 1 WHEN value < 100 THEN 2 ELSE 3 END AS band, count(*) AS n FROM {ev} GROUP BY CASE WHEN value < 10 THEN 0 WHEN value < 50 THEN 1 WHEN value < 100 THEN 2 ELSE 3 END")
 sql_query("z02_category_rows", "SELECT category, count(*) AS n FROM (SELECT explode(concat(transform(array(state), x -> concat('state:', x)), CASE WHEN alarm THEN array('alarm') ELSE CAST(array() AS ARRAY<STRING>) END)) AS category FROM {ev}) GROUP BY category", "SELECT category, count(*) AS n FROM (SELECT unnest(list_concat(list_transform([state], lambda x: concat('state:', x)), CASE WHEN alarm THEN ['alarm'] ELSE CAST([] AS VARCHAR[]) END)) AS category FROM {ev}) GROUP BY category")
 sql_query("z03_min_hash_row", "SELECT state, substring(md5(channel_id), 1, 1) AS bucket, min_by(row_id, md5(CAST(row_id AS STRING))) AS row_id FROM {ev} GROUP BY state, substring(md5(channel_id), 1, 1)", "SELECT state, substring(md5(channel_id), 1, 1) AS bucket, arg_min(row_id, md5(CAST(row_id AS VARCHAR))) AS row_id FROM {ev} GROUP BY 1, 2")
-sql_query("z04_union_of_arrays", "SELECT channel_id, array_join(array_sort(array_distinct(flatten(collect_list(array(state, CASE WHEN alarm THEN 'alarm' ELSE 'calm' END))))), ',') AS seen FROM {ev} GROUP BY channel_id", "SELECT channel_id, array_to_string(list_sort(list_distinct(flatten(list([state, CASE WHEN alarm THEN 'alarm' ELSE 'calm' END])))), ',') AS seen FROM {ev} GROUP BY channel_id")
+sql_query("z04_union_of_arrays", "SELECT channel_id, array_join(array_sort(collect_set(x)), ',') AS seen FROM (SELECT channel_id, explode(array(state, CASE WHEN alarm THEN 'alarm' ELSE 'calm' END)) AS x FROM {ev}) GROUP BY channel_id", "SELECT channel_id, array_to_string(list_sort(list_distinct(flatten(list([state, CASE WHEN alarm THEN 'alarm' ELSE 'calm' END])))), ',') AS seen FROM {ev} GROUP BY channel_id")
 sql_query("z05_scalar_subqueries", "SELECT (SELECT count(*) FROM {orders}) AS orders, (SELECT max(ts) FROM {events}) AS last_at, (SELECT count(*) FROM {customer}) AS customers")
 sql_query("z06_full_join_violations", "SELECT count(*) AS violations FROM (SELECT coalesce(a.k, b.k) AS k, a.n AS an, b.n AS bn FROM (SELECT o_custkey AS k, count(*) AS n FROM {orders} GROUP BY o_custkey) a FULL OUTER JOIN (SELECT o_custkey AS k, count(*) AS n FROM {orders} WHERE o_orderstatus <> 'P' GROUP BY o_custkey) b ON a.k = b.k) j LEFT JOIN {customer} c ON j.k = c.c_custkey WHERE NOT (an <=> bn) AND c_acctbal > 0", "SELECT count(*) AS violations FROM (SELECT coalesce(a.k, b.k) AS k, a.n AS an, b.n AS bn FROM (SELECT o_custkey AS k, count(*) AS n FROM {orders} GROUP BY o_custkey) a FULL OUTER JOIN (SELECT o_custkey AS k, count(*) AS n FROM {orders} WHERE o_orderstatus <> 'P' GROUP BY o_custkey) b ON a.k = b.k) j LEFT JOIN {customer} c ON j.k = c.c_custkey WHERE an IS DISTINCT FROM bn AND c_acctbal > 0")
 sql_query("z07_guard_predicate", "SELECT count(*) AS violations FROM (SELECT ts, array(state, CASE WHEN alarm THEN 'alarm' END) AS a FROM {ev}) WHERE size(filter(a, x -> x NOT IN ('view', 'click'))) > 1 AND NOT (a <=> array('error', 'other')) AND ts > TIMESTAMP_NTZ '2024-01-10 00:00:00'", "SELECT count(*) AS violations FROM (SELECT ts, [state, CASE WHEN alarm THEN 'alarm' END] AS a FROM {ev}) WHERE len(list_filter(a, lambda x: coalesce(x NOT IN ('view', 'click'), false))) > 1 AND a IS DISTINCT FROM ['error', 'other'] AND ts > TIMESTAMP '2024-01-10 00:00:00'")
