@@ -284,6 +284,50 @@ def test_the_risk_cannot_go_below_zero_and_the_prior_is_found():
     assert abs(quality.best_bin_prior(p, u) - share) < 0.1
 
 
+def test_the_clamp_keeps_the_unlabelled_risk_from_falling_below_zero():
+    """With a column of its own for every row any risk can be learnt away: what falls is the part of the positives only."""
+    n, prior = 60, 0.9
+    x, positive = np.eye(2 * n), np.arange(2 * n) < n
+    w, bias = quality._descend(x, positive, prior, np.random.default_rng(0))
+    loss = np.logaddexp(0, x @ w + bias)  # of calling a row negative
+    assert loss[~positive].mean() - prior * loss[positive].mean() > -0.3
+    assert (x[positive] @ w).mean() > (x[~positive] @ w).mean()
+
+
+def test_registered_queries_give_their_contracts(spark, docs):
+    """The columns of the contracts, by the registered queries over the whole table."""
+    known = __spark_entry__.queries()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in known["op1_quality"](spark, DATA).collect()}
+    assert set(got) == set(texts) and all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for i, r in got.items())
+    got = {r.doc_id: r for r in known["op8_language_id"](spark, DATA).collect()}
+    langs = {r.lang for r in docs.collect()} | {"und"}
+    assert set(got) == set(texts) and all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and r.lang_pred in langs and 0 <= r.score <= 1 for i, r in got.items())
+    got = {r.doc_id: r for r in known["op3_pii"](spark, DATA).collect()}
+    undo = pii.Pseudonyms(pii.EXAMPLE_KEY, True)
+    assert set(got) == set(texts) and all(undo(r.text)[0] == texts[i] and (r.n_values > 0) == (r.text != texts[i]) for i, r in got.items() if texts[i])
+    assert {(r.doc_id, texts[r.doc_id][r.start : r.stop]) for r in known["op7_licenses"](spark, DATA).collect()} == {(i, t[a:z]) for i, t in texts.items() if t for a, z, *_ in licenses.Scanner()(t)}
+    codes = np.array([slow_fingerprint(t) for t in texts.values()], np.uint64)
+    ids = np.array(list(texts))
+    least = {}
+    label = slow_components(codes)
+    for i, k in zip(ids.tolist(), label.tolist(), strict=True):
+        least[k] = min(i, least.get(k, i))
+    want = {i: (f"{int(c):016x}", least[k]) for i, c, k in zip(ids.tolist(), codes, label.tolist(), strict=True)}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in known["op2_simhash"](spark, DATA).collect()} == want
+    check_pieces(known["op10_packing"](spark, DATA).collect(), texts, "byte_bpe_50k.json", 0)
+    whole, at = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
+    for r in known["op6_token_store"](spark, DATA).orderBy("doc_id").collect():
+        own = np.array([*whole.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(own), zlib.crc32(own.tobytes()))
+        at += len(own)
+
+
+def test_the_language_sample_does_not_follow_the_files(docs):
+    by = lambda d: language_id.fit(d, F.lit(True), 40).logits
+    assert (by(docs.repartition(3)) == by(docs.orderBy(F.desc("doc_id")).repartition(7))).all()
+
+
 @pytest.mark.parametrize("size", [1, 2, 10, 97, 1000])
 def test_feistel_is_a_permutation(size):
     there, back = pii.Feistel(b"key"), pii.Feistel(b"key", True)

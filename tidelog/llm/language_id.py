@@ -153,22 +153,24 @@ def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Model | None:
     if not counts:
         return None
     each = sample // len(counts)
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
-    chosen = F.lit(False)
+    # A draw of less than 1 is chosen; where more are than the sample holds, the lowest draws stay, however files lie.
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
+    draw = F.lit(2.0)
     for lang, n in counts.items():
-        chosen |= (F.col("lang") == lang) & (draw < int((1 << 30) * min(1.0, each / n)))
+        draw = F.when(F.col("lang") == lang, drawn / min(1.0, each / n)).otherwise(draw)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, buckets, numbers = batch.column(0).to_pylist(), [], []
+            langs, buckets, numbers = batch.column(0), [], []
             for start, stop, data, bounds in runs(batch.column(1), 1):
                 all_of = np.concatenate([b[a:z] for b, (a,), (z,) in subwords(data, bounds)])
                 b, c = np.unique(all_of[all_of < BUCKETS], return_counts=True)
                 buckets.append(b.astype(np.int32))
                 numbers.append(c.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(buckets, pa.list_(pa.int32())), pa.array(numbers, pa.list_(pa.int32()))], ["lang", "b", "c"])
+            yield pa.RecordBatch.from_arrays([langs, pa.array(buckets, pa.list_(pa.int32())), pa.array(numbers, pa.list_(pa.int32())), batch.column(2)], ["lang", "b", "c", "draw"])
 
-    rows = known.where(chosen).select("lang", F.col("text").cast("binary")).mapInArrow(count, "lang string, b array<int>, c array<int>").limit(sample).toArrow().combine_chunks()
+    met = known.select("lang", F.col("text").cast("binary"), draw.alias("draw")).where("draw < 1").mapInArrow(count, "lang string, b array<int>, c array<int>, draw double")
+    rows = met.orderBy("draw", F.xxhash64("lang", "b", "c")).limit(sample).toArrow().combine_chunks()
     found = [(lang, rows["b"][i].values.to_numpy(), rows["c"][i].values.to_numpy()) for i, lang in enumerate(rows["lang"].to_pylist())]
     return train(sorted(found, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes())))
 
