@@ -50,7 +50,7 @@ def typed_instants(events: DataFrame) -> DataFrame:
 
 
 def state_timeline(events: DataFrame) -> DataFrame:
-    """Per (channel, segment, ts): the registered state after it: normal_at, active, uncertain; adverse: whether it speaks against health.
+    """Per (channel, segment, ts): the registered state after it: normal_at, active, uncertain; adverse: whether it speaks against health; cleared_at: the last clear normal.
 
     A fault opens, a normal closes; conflicts and unclear texts make the state uncertain until the next normal;
     another sensor type starts afresh, and is adverse itself.
@@ -66,7 +66,7 @@ def state_timeline(events: DataFrame) -> DataFrame:
     uncertain = since_normal("u_") & F.coalesce(F.col("clear_f_") < F.col("u_"), F.lit(True))
     return rows.select(
         "channel_id", "segment", "ts", "kind", "sensor_type", "faults", "first_row_id", F.when(F.coalesce(F.col("n_") > spoilt, F.col("n_").isNotNull()), F.col("n_")).alias("normal_at"),
-        since_normal("f_").alias("active"), uncertain.alias("uncertain"), (kind.isin("fault", "uncertain", "conflict") | F.col("changed")).alias("adverse"),
+        since_normal("f_").alias("active"), uncertain.alias("uncertain"), (kind.isin("fault", "uncertain", "conflict") | F.col("changed")).alias("adverse"), F.col("n_").alias("cleared_at"),
     )
 
 

@@ -126,10 +126,19 @@ def k01_first_level_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.first_level_shift(ev, 3, multiplier=0.9).select("channel_id", "decision", "start_at", "confirmed_at")
 
 
-@query()
+#: A row at a time, for three in a row: a and b are the times of the last two of the run; ends: the shift ended here.
+_DUCK_SHIFTS = DUCK_SHIFT.replace("state = 'click' AND value > 90 AS blocked", "false AS blocked").replace("e.blocked, CASE WHEN e.blocked OR e.value IS NULL THEN 0", "med, mad, CASE WHEN mad = 0 THEN 0.5 ELSE mad * 0.9 END AS threshold, CASE WHEN e.value IS NULL THEN NULL") + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY ts, row_id) AS i, count(*) OVER (PARTITION BY channel_id) AS total FROM c),
+w AS (SELECT DISTINCT channel_id, CAST(0 AS BIGINT) AS i, total, med, mad, threshold, 0 AS dir, 0 AS run, CAST(NULL AS TIMESTAMP) AS a, CAST(NULL AS TIMESTAMP) AS b, false AS inside, CAST(NULL AS TIMESTAMP) AS start_at, CAST(NULL AS TIMESTAMP) AS confirmed_at, 0 AS direction, false AS ends, CAST(NULL AS TIMESTAMP) AS end_at, CAST(NULL AS TIMESTAMP) AS o_start, CAST(NULL AS TIMESTAMP) AS o_confirmed, 0 AS o_direction FROM r
+UNION ALL SELECT channel_id, i, total, med, mad, threshold, coalesce(code, 0), CASE WHEN coalesce(code, 0) = 0 THEN 0 WHEN code = dir THEN run + 1 ELSE 1 END, CASE WHEN code = dir THEN b END, ts, CASE WHEN opens THEN true WHEN ends THEN false ELSE inside END, CASE WHEN opens THEN a ELSE start_at END, CASE WHEN opens THEN ts ELSE confirmed_at END, CASE WHEN opens THEN code ELSE direction END, ends, ts, start_at, confirmed_at, direction
+FROM (SELECT *, coalesce((NOT inside OR ends) AND code <> 0 AND code = dir AND run >= 2, false) AS opens FROM (SELECT r.channel_id, r.i, r.total, r.med, r.mad, r.threshold, r.ts, r.code, w.dir, w.run, w.a, w.b, w.inside, w.start_at, w.confirmed_at, w.direction, coalesce(w.inside AND r.code <> w.direction, false) AS ends FROM w JOIN r ON r.channel_id = w.channel_id AND r.i = w.i + 1)))"""
+
+
+@query(f"WITH RECURSIVE {_DUCK_SHIFTS}, o AS (SELECT channel_id, o_start AS start_at, o_confirmed AS confirmed_at, end_at, o_direction AS direction, med, mad, threshold FROM w WHERE ends UNION ALL SELECT channel_id, start_at, confirmed_at, NULL, direction, med, mad, threshold FROM w WHERE inside AND i = total) SELECT channel_id, start_at, confirmed_at, end_at, CAST(direction AS INT) AS direction, round(med, 9) AS baseline_median, round(mad, 9) AS baseline_mad, round(threshold, 9) AS threshold FROM o")
 def k02_level_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = journal(spark, sf_dir).select("channel_id", "row_id", "ts", F.when(F.col("state") != "view", F.col("value")).alias("value"), F.lit(False).alias("blocked"))
-    return detectors.level_shifts(ev, 3, multiplier=0.9)
+    got = detectors.level_shifts(ev, 3, multiplier=0.9)
+    return got.select("channel_id", "start_at", "confirmed_at", "end_at", "direction", *[F.round(c, 9).alias(c) for c in ("baseline_median", "baseline_mad", "threshold")])
 
 
 @query()
@@ -173,7 +182,15 @@ def k07_consolidated_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("evidence", F.array_join("evidence", ","))
 
 
-@query()
+#: A row at a time, for two in a row: h is a high score that waits for another, l a low one; ends: the episode ended here.
+_DUCK_HYSTERESIS = """r AS (SELECT channel_id, ts, state <> 'view' AS ok, value / 100 AS s, row_number() OVER (PARTITION BY channel_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY channel_id) AS total FROM {ev}),
+w AS (SELECT DISTINCT channel_id, CAST(0 AS BIGINT) AS i, total, CAST(NULL AS TIMESTAMP) AS seen, CAST(NULL AS TIMESTAMP) AS h, CAST(NULL AS DOUBLE) AS hs, CAST(NULL AS TIMESTAMP) AS l, false AS inside, CAST(NULL AS TIMESTAMP) AS start_at, CAST(NULL AS TIMESTAMP) AS confirmed_at, CAST(NULL AS DOUBLE) AS peak, CAST(NULL AS TIMESTAMP) AS peak_at, CAST(0 AS BIGINT) AS n, false AS ends, CAST(NULL AS TIMESTAMP) AS low_at FROM r
+UNION ALL SELECT channel_id, i, total, ts, CASE WHEN ok AND NOT inside AND NOT confirms AND s >= 0.45 THEN ts END, CASE WHEN ok AND NOT inside AND NOT confirms AND s >= 0.45 THEN s END, CASE WHEN ok AND inside AND NOT ends AND s <= 0.4 THEN ts END, CASE WHEN confirms THEN true WHEN ends THEN false ELSE inside END,
+CASE WHEN confirms THEN h ELSE start_at END, CASE WHEN confirms THEN ts ELSE confirmed_at END, CASE WHEN confirms THEN greatest(hs, s) WHEN ok AND inside THEN greatest(peak, s) ELSE peak END, CASE WHEN confirms THEN CASE WHEN hs >= s THEN h ELSE ts END WHEN ok AND inside AND s > peak THEN ts ELSE peak_at END, CASE WHEN confirms THEN 2 WHEN ok AND inside THEN n + 1 ELSE n END, ends, l
+FROM (SELECT *, ok AND NOT inside AND s >= 0.45 AND h IS NOT NULL AS confirms, ok AND inside AND s <= 0.4 AND l IS NOT NULL AS ends FROM (SELECT r.channel_id, r.i, r.total, r.ts, coalesce(r.ok AND r.s IS NOT NULL, false) AS ok, r.s, CASE WHEN r.ts - w.seen > INTERVAL 24 HOUR THEN NULL ELSE w.h END AS h, w.hs, CASE WHEN r.ts - w.seen > INTERVAL 24 HOUR THEN NULL ELSE w.l END AS l, w.inside, w.start_at, w.confirmed_at, w.peak, w.peak_at, w.n FROM w JOIN r ON r.channel_id = w.channel_id AND r.i = w.i + 1)))"""
+
+
+@query(f"WITH RECURSIVE {_DUCK_HYSTERESIS} SELECT channel_id, start_at, confirmed_at, CASE WHEN ends THEN seen END AS end_at, CASE WHEN ends THEN low_at END AS recovery_started_at, peak AS peak_score, peak_at, n AS observations FROM w WHERE ends OR inside AND i = total")
 def k08_score_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = journal(spark, sf_dir)
     scores = ev.select("channel_id", "ts", F.when(F.col("state") == "view", "unknown").otherwise("eligible").alias("status"), (F.col("value") / 100).alias("score"))

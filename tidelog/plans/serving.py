@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import rules, timeops
-from tidelog.operators import admission, episodes, observability, serving, smoke
+from tidelog.operators import admission, asof, episodes, observability, serving, smoke
 from tidelog.plans import detection, features as feature_plans, scoring
 from tidelog.plans.registry import journal, query, table
 from tidelog.sources import readers, sinks
@@ -165,25 +165,44 @@ def a17_serving_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admission at every hour; every eleventh row is excluded by its quality."""
     ev = detection.effects(spark, sf_dir)
     at = episodes.collapse(ev).select("channel_id", "segment", "ts", F.col("conflict").alias("ambiguous"))
-    rows = ev.join(at, ["channel_id", "segment", "ts"]).withColumns({"sensor_type": F.lit("door"), "excluded": F.col("row_id") % 11 == 0})
+    rows = ev.join(at, ["channel_id", "segment", "ts"]).withColumn("excluded", F.col("row_id") % 11 == 0)
     points = detection._points(spark, sf_dir).select("channel_id", "segment", "t")
-    return admission.sparse_admission(points, rows, episodes.state_timeline(ev), ["door"])
+    return admission.sparse_admission(points, rows, episodes.state_timeline(ev), ["smoke", "heat"])
 
 
-@query()
+#: The same by joins over all that came before each point.
+_DUCK_ADMISSION = f"""{detection.DUCK_WALK}, {feature_plans.DUCK_GRID},
+seg AS (SELECT *, CAST(CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS INT) AS segment FROM x_ev),
+obs AS (SELECT s.channel_id, s.segment, s.ts, min(sensor_type) AS lo, max(sensor_type) AS hi, bool_or(sensor_type IS NULL) AS untyped, bool_or(row_id % 11 <> 0) AS usable, count(*) FILTER (WHERE row_id % 11 = 0) AS out_n, count(*) FILTER (WHERE k.kind = 'conflict') AS odd_n, count(*) FILTER (WHERE row_id % 33 = 0) AS hard_n FROM seg s JOIN x_in k ON s.channel_id = k.channel_id AND s.segment = k.segment AND s.ts = k.ts GROUP BY 1, 2, 3),
+pt AS (SELECT channel_id, t, CAST(CASE WHEN t < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS INT) AS segment FROM grid),
+past AS (SELECT pt.channel_id, pt.segment, pt.t, count(o.ts) AS n, min(lo) AS lo, max(hi) AS hi, min(o.ts) FILTER (WHERE usable) AS first_usable, list_sort(list(o.ts) FILTER (WHERE usable))[2] AS second_usable, max(o.ts) FILTER (WHERE lo IS NOT NULL) AS typed_at, max(o.ts) FILTER (WHERE untyped) AS untyped_at, max(o.ts) FILTER (WHERE out_n > 0) AS out_at, max(o.ts) FILTER (WHERE odd_n > 0) AS odd_at, max(o.ts) FILTER (WHERE hard_n > 0) AS hard_at, coalesce(sum(out_n) FILTER (WHERE o.ts > pt.t - INTERVAL 24 HOUR), 0) AS out24, coalesce(sum(odd_n) FILTER (WHERE o.ts > pt.t - INTERVAL 24 HOUR), 0) AS odd24 FROM pt LEFT JOIN obs o ON pt.channel_id = o.channel_id AND pt.segment = o.segment AND o.ts <= pt.t GROUP BY 1, 2, 3),
+st AS (SELECT *, max(CASE WHEN kind = 'normal' THEN ts END) OVER (PARTITION BY channel_id, segment, run ORDER BY i) AS cleared_at FROM x_walk WHERE i > 0),
+j AS (SELECT past.*, CASE WHEN lo = hi THEN lo END AS sensor_type, st.ts AS state_at, st.normal_at, coalesce(st.active, false) AS active, coalesce(st.uncertain, false) AS uncertain, st.cleared_at, n > 0 AND first_usable IS NULL AS all_out FROM past ASOF LEFT JOIN st ON past.channel_id = st.channel_id AND past.segment = st.segment AND past.t >= st.ts),
+r AS (SELECT *, CASE WHEN n = 0 THEN ['no_observations_in_current_archive_segment'] ELSE list_sort(list_filter([CASE WHEN all_out THEN 'all_causal_observations_excluded' END, CASE WHEN NOT all_out AND sensor_type IS NULL THEN 'sensor_type_unknown_or_conflicting' END, CASE WHEN NOT all_out AND (first_usable > t - INTERVAL 7 DAY OR second_usable IS NULL) THEN 'insufficient_history' END, CASE WHEN NOT all_out AND out24 > 0 THEN 'quality_exclusions_24h' END, CASE WHEN NOT all_out AND odd24 > 0 THEN 'same_time_state_ambiguity' END,
+CASE WHEN sensor_type IS NULL THEN 'unknown_or_conflicting_sensor_type' END, CASE WHEN active THEN 'registered_episode_active_at_t' END, CASE WHEN uncertain THEN 'uncertain_past_registered_state' END, CASE WHEN untyped_at IS NOT NULL AND (cleared_at IS NULL OR untyped_at > cleared_at) THEN 'unknown_type_observed_since_explicit_normal' END, CASE WHEN normal_at IS NULL OR normal_at < t - INTERVAL 168 HOUR THEN 'no_recent_explicit_normal_at_t' END], lambda x: x IS NOT NULL)) END AS reasons FROM j),
+adm AS (SELECT *, CASE WHEN n > 0 AND (all_out OR active) THEN 'excluded' WHEN len(reasons) > 0 THEN 'unknown' ELSE 'eligible' END AS status, greatest(typed_at, state_at, untyped_at, out_at, odd_at, first_usable, second_usable) AS evidence_through FROM r)"""
+
+
+@query(f"WITH RECURSIVE {_DUCK_ADMISSION} SELECT channel_id, t, status AS admission_status, array_to_string(reasons, ',') AS reasons, evidence_through FROM adm")
 def e19_sparse_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _admission(spark, sf_dir).select("channel_id", "t", "admission_status", F.array_join("admission_reasons", ",").alias("reasons"))
+    return _admission(spark, sf_dir).select("channel_id", "t", "admission_status", F.array_join("admission_reasons", ",").alias("reasons"), "evidence_through")
 
 
-@query()
+@query(f"WITH RECURSIVE {_DUCK_ADMISSION}, q AS (SELECT *, CASE WHEN out24 > 0 THEN list_sort(list_append(reasons, 'qa_unusable_measurement_24h')) ELSE reasons END AS left_over FROM adm) SELECT channel_id, t, CASE WHEN status = 'excluded' THEN 'excluded' WHEN len(left_over) > 0 THEN 'unknown' ELSE 'eligible' END AS candidate_status, array_to_string(left_over, ',') AS reasons FROM q")
 def e20_relaxed_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = admission.relaxed(_admission(spark, sf_dir).withColumn("blocking_qa_count_24h", F.col("excluded_quality_count_24h")))
     return got.select("channel_id", "t", "candidate_status", F.array_join("candidate_reasons", ",").alias("reasons"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DUCK_ADMISSION}, g AS (SELECT *, status <> 'excluded' AND sensor_type IS NOT NULL AND coalesce(normal_at >= t - INTERVAL 168 HOUR, false) AND odd24 = 0 AS guard FROM adm),
+a AS (SELECT *, guard AND second_usable IS NOT NULL AS cold, guard AND out24 > 0 AND coalesce(odd_at > t - INTERVAL 24 HOUR AND odd_at < normal_at, false) AND coalesce(hard_at <= t - INTERVAL 24 HOUR, true) AS settled FROM g),
+f AS (SELECT *, list_filter(reasons, lambda x: NOT (x = 'insufficient_history' AND cold) AND NOT (x = 'quality_exclusions_24h' AND settled)) AS left_over FROM a)
+SELECT channel_id, t, CASE WHEN status = 'excluded' THEN 'excluded' WHEN len(left_over) > 0 THEN 'unknown' ELSE 'eligible' END AS research_status, array_to_string(left_over, ',') AS reasons FROM f""")
 def e21_coverage_reentry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _admission(spark, sf_dir).withColumns({"blocking_qa_count_24h": F.lit(0), "second_usable_at": F.col("t"), "last_conflict_at": timeops.hours_later(F.col("t"), -20), "last_hard_quality_at": F.lit(None).cast("timestamp_ntz")})
-    return admission.reentry(rows, "combined", ["door"]).select("channel_id", "t", "research_status", F.array_join("research_reasons", ",").alias("reasons"))
+    """Both policies together; rows of every 33rd number are of hard quality."""
+    hard = detection.effects(spark, sf_dir).where("row_id % 33 = 0").select("channel_id", "segment", "ts")
+    rows = asof.asof_last(_admission(spark, sf_dir), hard, ["channel_id", "segment"], "t", "ts", "hard").withColumns({"blocking_qa_count_24h": F.lit(0), "last_hard_quality_at": F.col("hard.ts")})
+    return admission.reentry(rows, "combined", ["smoke", "heat"]).select("channel_id", "t", "research_status", F.array_join("research_reasons", ",").alias("reasons"))
