@@ -37,11 +37,11 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -12,9 +12,10 @@ the best rank down and takes an edge where just one boundary lies inside it, whi
 are the bits of a long. That is exact unless a word holds a piece that is made after a merge that ranks no better (irregular, runs of
 the space mark mostly), or exceeds LONGEST characters; those words go through the same rule with a queue, in Python.
 
-Assembly. Different words outnumber what one task may hold, so a task knows the KNOWN most frequent words and asks
-for the others it has: its wants are joined to the word table and written to the shared folder by task, and
-the second reading of the texts finds all its words. Texts themselves are never shuffled. A task goes by the number
+Assembly. Different words outnumber what one task may hold, so a task knows the KNOWN most frequent words of a sample of
+SAMPLE documents and asks for the others it has: its wants are joined to the word table and written to the
+shared folder by task, and the second reading of the texts finds all its words. The sample decides which words
+are at hand everywhere, never what is found. Texts themselves are never shuffled. A task goes by the number
 of the partition that its texts are read in, as the plan has it beneath the encoding, so merging or uniting
 partitions later changes nothing. Where texts lie otherwise at the second reading (an input that is not
 the same twice, a scan cut anew after executors were lost), a word that was not asked for goes through the
@@ -43,7 +44,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import fresh_path, stored
+from tidelog.llm.common import discard, fresh_path, stored
 from tidelog.llm.files import place
 from tidelog.llm.tokens import little_batches
 
@@ -66,8 +67,11 @@ LONGEST = 60
 #: Most frequent words that every task knows.
 KNOWN = 100_000
 
-#: Different words that a task counts before it hands them on.
-COUNTED = 100_000
+#: Documents whose words are counted, about.
+SAMPLE = 20_000
+
+#: Different words that a task counts, or asks for, before it hands them on.
+COUNTED = 400_000
 
 
 class Model:
@@ -178,7 +182,7 @@ def hashed_groups(spark: SparkSession, keys: int = 200_000) -> Iterator[None]:
 
 
 def word_table(words: DataFrame, file: str) -> DataFrame:
-    """(word, n, ids) of words: word, n, each word once."""
+    """(word, ids) of words: word, each once."""
     m = model(file)
     spark = words.sparkSession
     rows = m.rows()
@@ -192,7 +196,7 @@ def word_table(words: DataFrame, file: str) -> DataFrame:
     heads = F.broadcast(heads)
     size = F.length("word")
     # Dealt by word before anything grows; what follows leaves each word where it is.
-    places = words.where(smooth).repartition("word").select("word", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
+    places = words.where(smooth).repartition("word").select("word", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
     at = F.col("s") + 1
     joined = places.withColumn("rest", F.col("word").substr(at, F.lit(m.longest)))
     for n in range(1, HEAD + 1):
@@ -202,7 +206,7 @@ def word_table(words: DataFrame, file: str) -> DataFrame:
     single = F.coalesce("found1", F.lit((1 << 62) | 1))  # a character without a piece
     found = F.concat(F.array(single), F.array_compact(F.array(*[F.col(f"found{n}") for n in range(2, HEAD)])), F.coalesce(long, F.array().cast("array<long>")))
     placed = F.transform(found, lambda c: c + F.col("s").cast("long") * (1 << START_AT))
-    lattice = joined.select("word", "n", placed.alias("found")).groupBy("word", "n").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("edges"))
+    lattice = joined.select("word", placed.alias("found")).groupBy("word").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("edges"))
     one = F.lit(1).cast("long")
     bit = lambda i: F.call_function("shiftleft", one, i)
     begin = lambda x: F.shiftright(x, START_AT).bitwiseAND(63).cast("int")
@@ -220,7 +224,7 @@ def word_table(words: DataFrame, file: str) -> DataFrame:
         return F.when(merges, b - F.call_function("shiftleft", inside, begin(x))).otherwise(b)
 
     several = F.filter("edges", lambda x: size_of(x) > 1)
-    walked = lattice.select("word", "n", "edges", F.aggregate(several, start, take).alias("b"))
+    walked = lattice.select("word", "edges", F.aggregate(several, start, take).alias("b"))
     chosen = F.filter("edges", lambda x: down(F.col("b"), x) == ends(x))
     by_place = F.transform(F.sort_array(F.transform(chosen, lambda x: begin(x).cast("long") * (1 << 24) + F.when(x >= (1 << 62), F.lit(1 << 20)).otherwise(number(x)))), lambda y: y.bitwiseAND((1 << 24) - 1).cast("int"))
     bare = F.element_at("edges", -1) < (1 << 62)
@@ -228,15 +232,15 @@ def word_table(words: DataFrame, file: str) -> DataFrame:
     octets = lambda c: F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: F.conv(F.hex(F.substring(F.encode(c, "UTF-8"), i, F.lit(1))), 16, 10).cast("int") + first_byte)
     starts = F.sort_array(F.transform(F.filter("edges", lambda x: down(F.col("b"), x) == ends(x)), begin))
     spelled = F.flatten(F.transform("ids", lambda y, i: F.when(y == (1 << 20), octets(F.col("word").substr(F.get(starts, i) + 1, F.lit(1)))).otherwise(F.array(y))))
-    cut = walked.select("word", "n", "edges", "b", by_place.alias("ids"), bare.alias("bare"))
-    smooth_rows = cut.select("word", "n", F.when(F.col("bare"), F.col("ids")).otherwise(spelled).alias("ids"))
+    cut = walked.select("word", "edges", "b", by_place.alias("ids"), bare.alias("bare"))
+    smooth_rows = cut.select("word", F.when(F.col("bare"), F.col("ids")).otherwise(spelled).alias("ids"))
 
     def queued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge = model(file).merge
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([merge(w) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([merge(w) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
 
-    return smooth_rows.unionByName(words.where(~smooth).select("word", "n").mapInArrow(queued, "word string, n long, ids array<int>"))
+    return smooth_rows.unionByName(words.where(~smooth).select("word").mapInArrow(queued, "word string, ids array<int>"))
 
 
 class Known:
@@ -284,6 +288,12 @@ def _read(uri: str) -> pa.Table:
     return pads.dataset(path, filesystem=fs, format="parquet").to_table(columns=["word", "ids"])
 
 
+@lru_cache(maxsize=1)
+def at_hand(uri: str) -> frozenset[str]:
+    fs, path = place(uri)
+    return frozenset(pads.dataset(path, filesystem=fs, format="parquet").to_table(columns=["word"])["word"].to_pylist())
+
+
 @lru_cache(maxsize=1)
 def frequent(uri: str) -> Known:
     return Known(_read(uri))
@@ -311,28 +321,33 @@ def encode(docs: DataFrame, file: str, known: int = KNOWN) -> DataFrame:
         counts.clear()
         give_back()
 
-    words = stored(rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    with hashed_groups(spark):
-        table = stored(word_table(words, file), "words")
-    top = fresh_path(spark, "frequent-words")
-    table.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(known).select("word", "ids").write.parquet(top)
+    share = min(1.0, SAMPLE / max(1, rows.count()))
+    counted = rows.sample(share, seed=1).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.length("word") <= LONGEST)
+    listed = stored(counted.orderBy(F.desc("n"), "word").limit(known).select("word"), "listed-words")
+    listed_at = listed.stored_at
 
     def wants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, task, new = frequent(top).place, 0, set()
+        have, task, new = at_hand(listed_at), 0, set()
         for part in slices(batches):
             task = part.column(2)[0].as_py()
             for t in part.column(1).to_pylist():
-                new.update(w for w in find(marked(t)) if w not in have)
-            if len(new) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array([task] * len(new), pa.int32()), pa.array(sorted(new))], ["task", "word"])
+                new.update(find(marked(t)))
+            if len(new) > COUNTED:
+                new -= have
+                yield pa.RecordBatch.from_arrays([pa.array([task] * len(new), pa.int32()), pa.array(sorted(new), pa.string())], ["task", "word"])
                 new = set()
+        new -= have
         yield pa.RecordBatch.from_arrays([pa.array([task] * len(new), pa.int32()), pa.array(sorted(new), pa.string())], ["task", "word"])
         new.clear()
         give_back()
 
-    answers = fresh_path(spark, "wanted-words")
-    wanted = stored(rows.mapInArrow(wants, "task int, word string"), "wants").distinct()
-    wanted.join(table.select("word", "ids"), "word").repartition("task").sortWithinPartitions("task").write.partitionBy("task").parquet(answers)
+    wanted = stored(rows.mapInArrow(wants, "task int, word string"), "wants", "zstd")
+    with hashed_groups(spark):
+        table = stored(word_table(wanted.select("word").union(listed).distinct(), file), "words", "zstd")
+    top, answers = fresh_path(spark, "frequent-words"), fresh_path(spark, "wanted-words")
+    listed.join(table, "word").write.parquet(top)
+    wanted.join(table, "word").repartition("task").sortWithinPartitions("task").write.option("compression", "zstd").partitionBy("task").parquet(answers)
+    discard(wanted, table, listed)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, all_know = model(file), frequent(top)
