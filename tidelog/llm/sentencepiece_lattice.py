@@ -74,6 +74,10 @@ SAMPLE = 20_000
 COUNTED = 400_000
 
 
+#: Wanted words, repeated over tasks, for each part of the word table.
+PART_WANTS = 400_000
+
+
 class Model:
     """The piece table of a SentencePiece BPE model with byte fallback."""
 
@@ -181,8 +185,8 @@ def hashed_groups(spark: SparkSession, keys: int = 200_000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def word_table(words: DataFrame, file: str) -> DataFrame:
-    """(word, ids) of words: word, each once."""
+def word_table(words: DataFrame, file: str, parts: int) -> DataFrame:
+    """(word, ids) of words: word, each once; dealt into so many parts."""
     m = model(file)
     spark = words.sparkSession
     rows = m.rows()
@@ -196,7 +200,7 @@ def word_table(words: DataFrame, file: str) -> DataFrame:
     heads = F.broadcast(heads)
     size = F.length("word")
     # Dealt by word before anything grows; what follows leaves each word where it is.
-    places = words.where(smooth).repartition("word").select("word", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
+    places = words.where(smooth).repartition(parts, "word").select("word", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
     at = F.col("s") + 1
     joined = places.withColumn("rest", F.col("word").substr(at, F.lit(m.longest)))
     for n in range(1, HEAD + 1):
@@ -342,8 +346,10 @@ def encode(docs: DataFrame, file: str, known: int = KNOWN) -> DataFrame:
         give_back()
 
     wanted = stored(rows.mapInArrow(wants, "task int, word string"), "wants", "zstd")
+    # Few enough words a task for groups to be hashed: different words are at most all that are wanted.
+    parts = max(1, -(-(wanted.count() + known) // PART_WANTS))
     with hashed_groups(spark):
-        table = stored(word_table(wanted.select("word").union(listed).distinct(), file), "words", "zstd")
+        table = stored(word_table(wanted.select("word").union(listed).distinct(), file, parts), "words", "zstd")
     top, answers = fresh_path(spark, "frequent-words"), fresh_path(spark, "wanted-words")
     listed.join(table, "word").write.parquet(top)
     wanted.join(table, "word").repartition("task").sortWithinPartitions("task").write.option("compression", "zstd").partitionBy("task").parquet(answers)
