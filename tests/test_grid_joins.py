@@ -15,7 +15,7 @@ def planned(df):
     return df._jdf.queryExecution().sparkPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["j10_range_join_counts", "w12_state_transitions", "d08_observability", "e02_window_status", "e03_numeric_block", "w11_maximum_gap", "w13_distinct_states"])
+@pytest.mark.parametrize("name", ["j10_range_join_counts", "w12_state_transitions", "d08_observability", "e02_window_status", "e03_numeric_block", "w11_maximum_gap", "w13_distinct_states", "e01_snapshot", "e05_frozen_baseline"])
 def test_grid_is_merged_and_not_broadcast(spark, name):
     plan = planned(registry.QUERIES[name](spark, DATA))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
