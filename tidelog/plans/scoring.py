@@ -164,7 +164,7 @@ def a16_linear_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    rows = rule_rows(spark, sf_dir).join(labelled(spark, sf_dir).select("channel_id", F.col("prediction_time").alias("t"), "target"), ["channel_id", "t"])
+    rows = rule_rows(spark, sf_dir).hint("merge").join(labelled(spark, sf_dir).select("channel_id", F.col("prediction_time").alias("t"), "target"), ["channel_id", "t"])  # a grid looks small to Spark, and is not
     matrix = VectorAssembler(inputCols=list(alerts.TERMS), outputCol="x").transform(rows)
     fitted = LogisticRegression(featuresCol="x", labelCol="target", maxIter=50, regParam=0.01).fit(matrix)
     return spark.createDataFrame([(n, float(w)) for n, w in zip(alerts.TERMS, fitted.coefficients.toArray(), strict=True)], "term string, weight double")
