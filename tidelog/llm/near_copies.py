@@ -5,8 +5,9 @@ of at least 4/5, and linked documents form components. Sizes and overlaps are wh
 
 Candidates come from prefixes: in any fixed order of all shingles, two sets that similar share one of their first
 n - ceil(4n/5) + 1, so no link is missed. The order puts shingles that many texts have last. Which ones these
-are is estimated (at most HOT_MOST of them); the estimate decides how long groups get, never what is found. Every
-candidate is confirmed by its whole sets.
+are is estimated (at most HOT_MOST of them); the estimate decides how long groups get, never what is found. Most
+candidates are ruled out by sketches, whose distance is never more than that of the sets; every other is
+confirmed by its whole sets.
 
 Texts with equal sets are one node. A group of more than SMALL nodes at one shingle gives a star first, around the
 node that has the shingle earliest, as it has the fewest shingles of its own before it: the text that the others
@@ -66,14 +67,34 @@ def similar(overlap, n, m):
     return 9 * overlap >= 4 * (n + m)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """The size of a set, and which of a power of two of buckets hold an odd number of its shingles: about a bit a shingle."""
+    m = 1 << max(6, (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return len(s).to_bytes(4, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(x: bytes, y: bytes) -> bool:
+    """False only if the sets of two sketches cannot be similar: what one set has alone changes at most one bit."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    a, b = (int.from_bytes(z[4:], "little") for z in (x, y))
+    size, bits = len(y) - 4, 8 * (len(y) - 4)
+    while size > len(x) - 4:
+        size, bits = size // 2, bits // 2
+        b = (b >> bits) ^ (b & ((1 << bits) - 1))
+    n, m = (int.from_bytes(z[:4], "little") for z in (x, y))
+    return 9 * (a ^ b).bit_count() <= n + m
+
+
 def _texts(docs: DataFrame, *also) -> DataFrame:
     return docs.select(*also, F.col("text").cast("binary").alias("text"))
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = pa.array([set_hash(shingles(t.as_py())) for t in b.column(2)], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp], ["doc_id", "text_hash", "fp"])
+        sets = [shingles(t.as_py()) for t in b.column(2)]
+        fp, sketches = pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, sketches], ["doc_id", "text_hash", "fp", "sketch"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,13 +239,32 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _confirm(docs: DataFrame, marks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of which the whole sets are similar. A set is moved once by its hash, and once beside each candidate."""
-    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    needed = marks.groupBy("fp").agg(F.min("text_hash").alias("needed")).join(nodes, "fp", "left_semi").select("needed")
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        good = [may_be_similar(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+
+
+def close_pairs(marks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that their sketches leave possible."""
+    own = marks.join(_nodes(pairs), "fp", "left_semi").select("fp", "sketch").dropDuplicates(["fp"])
+    both = pairs.join(own.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(own.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(_close, "a long, b long"), "close-pairs")
+
+
+def _confirm(docs: DataFrame, marks: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates of which the whole sets are similar. A set is moved once by its hash, and once beside each candidate that its sketch leaves."""
+    pairs = close_pairs(marks, candidates)
+    needed = marks.groupBy("fp").agg(F.min("text_hash").alias("needed")).join(_nodes(pairs), "fp", "left_semi").select("needed")
     sets = _texts(docs.join(needed, F.xxhash64("text") == F.col("needed"), "left_semi")).mapInArrow(_sets, "fp long, s binary").dropDuplicates(["fp"])
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long"), "links")
+    found = stored(both.select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long"), "links")
+    discard(pairs)
+    return found
 
 
 def links(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -247,7 +287,7 @@ def links(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs without the rows of which the group keeps a smaller id. A row is told by its id and its text."""
-    marks = stored(_texts(docs, F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash")).mapInArrow(_marks, "doc_id long, text_hash long, fp long"), "set-hashes")
+    marks = stored(_texts(docs, F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash")).mapInArrow(_marks, "doc_id long, text_hash long, fp long, sketch binary"), "set-hashes")
     roots = components(links(docs, marks)).withColumnRenamed("node", "fp")
     rooted = marks.join(roots, "fp", "left").select("doc_id", "text_hash", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
