@@ -38,3 +38,22 @@ def test_sets_are_moved_for_close_pairs_only(spark):
     marks = spark.createDataFrame([(i, i, n.set_hash(s), bytearray(n.sketch(s))) for i, s in enumerate(sets)], "doc_id long, text_hash long, fp long, sketch binary")
     pairs = spark.createDataFrame([(n.set_hash(a), n.set_hash(b)) for a, b in (near, far)], "a long, b long")
     assert [tuple(r) for r in n.close_pairs(marks, pairs).collect()] == [tuple(map(n.set_hash, near))]
+
+
+def test_simhash_gives_the_first_candidates_and_prefixes_the_rest(spark, monkeypatch):
+    """Links within four bits come from op2's index; those beyond from prefixes."""
+    import corpus_pipeline
+    from tidelog.llm import simhash
+
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(900)]
+    base = " ".join(rng.choice(words, 3000))
+    far = " ".join(rng.choice(words, 60))
+    docs = spark.createDataFrame([(1, base), (2, base + " end"), (3, far), (4, far.replace(far.split()[30], "new", 1))], "doc_id long, text string")
+    bits = [simhash.fingerprint(r.text.encode(), n.SHINGLE) for r in docs.orderBy("doc_id").collect()]
+    assert (bits[0] ^ bits[1]).bit_count() <= simhash.DISTANCE < (bits[2] ^ bits[3]).bit_count()
+    asked, confirm = [], n._confirm
+    monkeypatch.setattr(n, "_confirm", lambda d, m, pairs: asked.append(pairs.collect()) or confirm(d, m, pairs))
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()) == [1, 3]
+    fp = [n.set_hash(n.shingles(r.text.encode())) for r in docs.orderBy("doc_id").collect()]
+    assert [[{r.a, r.b} for r in step] for step in asked[:2]] == [[{fp[0], fp[1]}], [{fp[2], fp[3]}]]

@@ -3,7 +3,8 @@
 Two texts are linked if their sets of shingles (SHINGLE words, compared as 64-bit hashes) have a Jaccard similarity
 of at least 4/5, and linked documents form components. Sizes and overlaps are whole numbers, so nothing is rounded.
 
-Candidates come from prefixes: in any fixed order of all shingles, two sets that similar share one of their first
+The first candidates are the links of op2's index (simhash.py): fingerprints of the same shingles within its distance. It
+finds close copies only; at 4/5 most links lie beyond it. All the rest come from prefixes: in any fixed order of all shingles, two sets that similar share one of their first
 n - ceil(4n/5) + 1, so no link is missed. The order puts shingles that many texts have last. Which ones these
 are is estimated (at most HOT_MOST of them); the estimate decides how long groups get, never what is found. Most
 candidates are ruled out by sketches, whose distance is never more than that of the sets; every other is
@@ -28,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm import simhash
 from tidelog.llm.common import discard, stored
 from tidelog.llm.components import components
 
@@ -94,7 +96,8 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [shingles(t.as_py()) for t in b.column(2)]
         fp, sketches = pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, sketches], ["doc_id", "text_hash", "fp", "sketch"])
+        bits = pa.array(np.array([simhash.fingerprint(t.as_py(), SHINGLE) for t in b.column(2)], np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, sketches, bits], ["doc_id", "text_hash", "fp", "sketch", "bits"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,12 +270,34 @@ def _confirm(docs: DataFrame, marks: DataFrame, candidates: DataFrame) -> DataFr
     return found
 
 
+def index_candidates(marks: DataFrame) -> DataFrame:
+    """(a, b): set hashes that SimHash's index links, one set standing for all of its fingerprint, and these with that one."""
+    nodes = stored(marks.select("fp", "bits").distinct(), "fingerprints")
+    first = nodes.groupBy("bits").agg(F.min("fp").alias("first"))
+    same = nodes.join(first, "bits").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    near = simhash.links(first.select(F.col("bits").alias("fp"))).where("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+    named = near.join(first.select(F.col("bits").alias("x"), F.col("first").alias("a")), "x").join(first.select(F.col("bits").alias("y"), F.col("first").alias("b")), "y")
+    out = stored(same.unionByName(named.select("a", "b")), "candidates")
+    discard(nodes)
+    return out
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of nodes that lie in different components."""
+    own = lambda c: roots.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}"))
+    both = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def links(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """(a, b): links of set hashes whose components are those of all similar pairs."""
+    near = index_candidates(marks)
+    close = _confirm(docs, marks, near)
+    discard(near)
     heads = _texts(docs).mapInArrow(_prefixes(hot_shingles(docs)), "h long, fp long, w long")
     first = stored(heads.repartition("h").sortWithinPartitions("h", "fp").mapInArrow(_first, "h long, a long, b long"), "shared-shingles")
-    pairs = stored(first.where("h IS NULL").select("a", "b").distinct(), "candidates")
-    found = _confirm(docs, marks, pairs)
+    pairs = stored(apart(first.where("h IS NULL").select("a", "b").distinct(), components(close).withColumnRenamed("node", "fp")), "candidates")
+    found = close.unionByName(_confirm(docs, marks, pairs))
     large = first.where("h IS NOT NULL").select("h", F.col("a").alias("fp"), F.col("b").alias("w"))
     if large.isEmpty():
         discard(first, pairs)
@@ -287,7 +312,7 @@ def links(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs without the rows of which the group keeps a smaller id. A row is told by its id and its text."""
-    marks = stored(_texts(docs, F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash")).mapInArrow(_marks, "doc_id long, text_hash long, fp long, sketch binary"), "set-hashes")
+    marks = stored(_texts(docs, F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash")).mapInArrow(_marks, "doc_id long, text_hash long, fp long, sketch binary, bits long"), "set-hashes")
     roots = components(links(docs, marks)).withColumnRenamed("node", "fp")
     rooted = marks.join(roots, "fp", "left").select("doc_id", "text_hash", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
