@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import stored
-from tidelog.llm.components import components
+from tidelog.llm.components import components, join_labels
 
 BITS = 64
 DISTANCE = 4
@@ -92,23 +92,6 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return r
 
 
-def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """label with the components of a[i] and b[i] made one; a label is the least place in its component."""
-    while len(a):
-        la, lb = label[a], label[b]
-        apart = la != lb
-        if not apart.any():
-            break
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-    return label
-
-
 class GrayIndex:
     """The tree under one upper node; `links` walks it against itself."""
 
